@@ -50,7 +50,35 @@ q AS (SELECT p.doc_id, p.size, t.source_size, t.target, p.pos,
 SELECT doc_id, size, source_size, target, CAST(size * least(floor(off + share * (pos + 1)) - floor(off + share * pos), 2) AS BIGINT) AS taken FROM q"""
 
 
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha256(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS f FROM d WHERE n >= 100 GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN f <> page_id AND n >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f <> page_id AND n >= 100 THEN f END AS refers_to FROM d LEFT JOIN f USING (h)"""
+
+URL_FILTERS = r"""
+WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 365 AS INTEGER)) AS t,
+  regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '[.]$', '') AS host,
+  list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda v: v <> '') AS parts FROM pages),
+h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) AS n FROM c WHERE host <> ''),
+e AS (SELECT 'hosts' AS l, host AS k, 'block' AS a, n % 300 AS d FROM h WHERE n % 4 = 0
+  UNION SELECT 'hosts', host, 'remove', n % 300 + 60 FROM h WHERE n % 8 = 0
+  UNION SELECT 'hosts', host, 'block', n % 300 + 90 FROM h WHERE n % 16 = 0
+  UNION SELECT 'review', host || '/en', 'allow', n % 250 FROM h WHERE n % 12 = 0
+  UNION VALUES ('spam', 'cheap-pills.example.com', 'block', 0), ('spam', 'casino.example.net', 'block', 40), ('spam', 'example.org', 'block', 200), ('spam', 'example.org', 'remove', 220)),
+o AS (SELECT l, k, d, max(a) AS a FROM e GROUP BY l, k, d),
+v AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS since, TIMESTAMP '2024-01-01' + to_days(CAST(lead(d) OVER (PARTITION BY l, k ORDER BY d) AS INTEGER)) AS until FROM o),
+x AS (SELECT page_id, url, t, array_to_string(list_slice(string_split(host, '.'), len(string_split(host, '.')) - g + 1, len(string_split(host, '.'))), '.') AS k, g AS depth
+    FROM c, LATERAL (SELECT unnest(range(1, least(len(string_split(host, '.')), 8) + 1)) AS g) q WHERE host <> ''
+  UNION ALL SELECT page_id, url, t, host || '/' || array_to_string(parts[1:g], '/'), g + 100 FROM c, LATERAL (SELECT unnest(range(1, least(len(parts), 2) + 1)) AS g) q WHERE host <> ''),
+m AS (SELECT x.page_id, x.depth, v.a, v.l, v.k FROM x JOIN v ON x.k = v.k AND x.t >= v.since AND (v.until IS NULL OR x.t < v.until) WHERE v.a <> 'remove'),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY depth DESC, a <> 'block', l, k) AS r FROM m)
+SELECT c.page_id, c.t AS fetched_at, coalesce(b.a = 'block', FALSE) AS blocked, b.l AS by_list, b.k AS by_key FROM c LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (page_id)"""
+
 ORACLES = {
+    "op1_warc": WARC,
+    "op10_url_filters": URL_FILTERS,
     "op4_quality_rules": quality_sql(),
     "op7_mixing": mixing_sql(),
 }

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, near_dedup, quality_rules, substring_dedup
+import uuid
+
+from quern.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, url_filters, warc
+from quern.llm.shared import scratch_root
 from quern.session import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    rows = warc.read(spark, path)
+    page = lambda c: F.regexp_extract(c, "([0-9]+)>$", 1).cast("long")
+    return rows.select(
+        page(F.col("record_id")).alias("page_id"),
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        F.when(F.col("warc_type") == "revisit", page(F.col("refers_to"))).alias("refers_to"),
+    )
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2)
 
@@ -24,14 +41,53 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "n_lines", "n_letters", "n_upper", "failed_bits")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "contaminated", "item_ids", "similarity")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _number(text):
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def _day(n):
+    """A timestamp n days into 2024."""
+    return F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """The query's dated lists: what a few curators would have logged about the hosts of `pages`, day by day."""
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct().withColumn("n", _number(F.col("host")))
+
+    def some(name, every, key, action, day):
+        return hosts.filter(F.col("n") % every == 0).select(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), _day(day).alias("at"))
+
+    host, n = F.col("host"), F.col("n")
+    entries = some("hosts", 4, host, "block", n % 300)
+    for more in (some("hosts", 8, host, "remove", n % 300 + 60), some("hosts", 16, host, "block", n % 300 + 90), some("review", 12, F.concat(host, F.lit("/en")), "allow", n % 250)):
+        entries = entries.unionByName(more)
+    fixed = pages.sparkSession.createDataFrame([("spam", "cheap-pills.example.com", "block", 0), ("spam", "casino.example.net", "block", 40), ("spam", "example.org", "block", 200), ("spam", "example.org", "remove", 220)], "list string, key string, action string, day long")
+    return entries.unionByName(fixed.select("list", "key", "action", _day(F.col("day")).alias("at")))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", _day(_number(F.col("page_id").cast("string")) % 365))
+    rows = url_filters.judge(captures, list_entries(pages))
+    return rows.select("page_id", "fetched_at", "blocked", "by_list", "by_key")
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
+    "op10_url_filters": op10_url_filters,
 }
