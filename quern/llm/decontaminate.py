@@ -60,7 +60,7 @@ def index_items(items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), shingle_hashes(tokens("text")).alias("sh"))
     rows = rows.filter((F.size("sh") > 0) & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
     sizes = rows.select("item_id", F.size("sh").alias("size"))
-    each = rows.select("item_id", F.explode(F.array_distinct("sh")).alias("h"))
+    each = rows.select("item_id", F.explode_outer(F.array_distinct("sh")).alias("h"))
     n = sizes.count()
     spread = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).select("h", F.round(F.log(F.lit(1.0) + F.lit(float(n)) / F.col("df")) * 256).cast("long").alias("wt"))
     shingles = cut(each.join(spread, "h").select("h", "item_id", "wt"), "item-shingles")
@@ -75,7 +75,8 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFr
     facts = indexed.select("item_id", "size", "whole")
     known = shingles.join(F.broadcast(facts) if n_shingles <= 1_000_000 else facts, "item_id")
     parsed = docs.withColumn("_w", tokens("text")).select("k", shingle_hashes(F.col("_w")).alias("sh"))
-    placed = parsed.select("k", F.size("sh").alias("n"), F.posexplode("sh").alias("pos", "h"))
+    # the outer form: Spark would repeat the whole of `sh` in a filter ahead of the plain one
+    placed = parsed.select("k", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("pos", "h"))
     hits = placed.join(small(known, n_shingles), "h").select("k", "n", "pos", "item_id", "wt", "size", "whole")
     last = F.greatest(F.col("n") - F.col("size"), F.lit(0))
     starts = F.sequence(F.least(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)), last), F.least(F.col("pos"), last))
@@ -83,7 +84,7 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFr
     windows = cut(windows.filter(F.col("held") * 100 >= F.col("whole") * percent).drop("held"), "windows")
     wanted = windows.select("k").distinct()
     again = parsed.join(small(wanted, wanted.count()), "k", "left_semi")
-    inside = windows.join(again, "k").select("k", "item_id", "at", "whole", F.explode(F.array_distinct(F.slice("sh", F.col("at") + 1, F.col("size")))).alias("h"))
+    inside = windows.join(again, "k").select("k", "item_id", "at", "whole", F.explode_outer(F.array_distinct(F.slice("sh", F.col("at") + 1, F.col("size")))).alias("h"))
     weights = shingles.select("h", "wt").distinct()
     weighed = inside.join(small(weights, n_shingles), "h", "left").withColumn("wt", F.coalesce("wt", F.lit(other)))
     own = shingles.select(F.col("h").alias("_h"), F.col("item_id").alias("_i"))

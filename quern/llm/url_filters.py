@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import BROADCAST_ROWS, small
+from quern.llm.shared import BROADCAST_ROWS, cut, small
 
 #: Parameters: labels of a host that are tried as keys, from the right, and path segments of a prefix key.
 MOST_LABELS = 8
@@ -68,12 +68,13 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     (keys, fetch time) and joined by key, which Spark splits when a key is hot.
     """
     valid = intervals(entries).select(F.col("list").alias("_list"), F.col("key").alias("_key"), F.col("action").alias("_action"), "since", "until")
+    valid = cut(valid, "intervals")
     n = valid.count()
     captures = captures.drop("blocked", "by_list", "by_key")
     asked = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).distinct() if n > BROADCAST_ROWS else captures.withColumn("_row", F.monotonically_increasing_id())
     ident = ["_url", "_at"] if n > BROADCAST_ROWS else ["_row"]
     source = (F.col("_url"), F.col("_at")) if n > BROADCAST_ROWS else (F.col(url), F.col(at))
-    keyed = asked.select(*ident, source[1].alias("_t"), F.explode(keys_of(source[0])).alias("_k"))
+    keyed = asked.select(*ident, source[1].alias("_t"), F.explode_outer(keys_of(source[0])).alias("_k"))
     met = keyed.join(small(valid, n), (F.col("_k.key") == F.col("_key")) & (F.col("_t") >= F.col("since")) & (F.col("until").isNull() | (F.col("_t") < F.col("until"))))
     # the most specific key first, then block before allow, then the list's name
     best = met.groupBy(*ident).agg(F.min(F.struct((-F.col("_k.depth")).alias("d"), F.when(F.col("_action") == "block", 0).otherwise(1).alias("a"), F.col("_list").alias("l"), F.col("_key").alias("k"))).alias("_b"))
