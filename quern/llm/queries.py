@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from quern.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, url_filters, warc
+from quern.llm import decontaminate, features, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filters, warc
 from quern.llm.shared import scratch_root
 from quern.session import table
 
@@ -41,6 +41,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "n_lines", "n_letters", "n_upper", "failed_bits")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = features.fold(F.col("doc_id"), 5) == 0
+    model = quality_classifier.train(docs, labels.filter(~held))
+    rows = quality_classifier.score(docs, model)
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "meta_score")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "contaminated", "item_ids", "similarity")
@@ -51,6 +59,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = features.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, labels.filter(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = features.fold(F.col("doc_id"), 3) == 1
+    net = language_id.train(docs.filter(~held))
+    return language_id.predict(docs.select("doc_id", "text"), net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def _number(text):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
@@ -87,7 +109,10 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_url_filters": op10_url_filters,
 }
