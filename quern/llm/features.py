@@ -65,18 +65,27 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, rounds: int = 200) -> tuple[float, float]:
-    """Platt scaling: (a, b) such that logistic(a * score + b) is near the labels, by Newton steps on smoothed targets."""
+#: Scores beyond this are as sure as scores can be.
+MOST_SURE = 12.0
+
+
+def calibrate(scores: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Platt scaling: (a, b) such that logistic(a * score + b) is near the labels, on smoothed targets.
+
+    Newton steps of bounded length, and a held near 1, so that labels which a score splits clean don't
+    make it a step function. Scores have to be clipped to MOST_SURE when the scale is applied.
+    """
+    scores = np.clip(scores, -MOST_SURE, MOST_SURE)
     up, down = float(labels.sum()), float(len(labels) - labels.sum())
     goal = np.where(labels > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    a, b = 1.0, 0.0
+    at = np.array([1.0, 0.0])
+    x = np.stack((scores, np.ones(len(scores))), axis=1)
     for _ in range(rounds):
-        p = logistic(a * scores + b)
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([np.dot(p - goal, scores), np.sum(p - goal)])
-        h = np.array([[np.dot(w, scores * scores) + 1e-6, np.dot(w, scores)], [np.dot(w, scores), w.sum() + 1e-6]])
+        p = logistic(x @ at)
+        g = x.T @ (p - goal) + np.array([at[0] - 1.0, 1e-6 * at[1]])
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1.0, 1e-6]) + 1e-9 * np.eye(2)
         step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        at -= step * min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return float(at[0]), float(at[1])

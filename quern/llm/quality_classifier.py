@@ -121,7 +121,7 @@ class Views:
     prior: float
 
     def score(self, views: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        odds = [a * m.raw(x) + b for m, x, (a, b) in zip(self.models, views, self.scales, strict=True)]
+        odds = [a * np.clip(m.raw(x), -X.MOST_SURE, X.MOST_SURE) + b for m, x, (a, b) in zip(self.models, views, self.scales, strict=True)]
         both = self.prior + sum(t * (o - self.prior) for t, o in zip(self.trust, odds, strict=True))
         return X.logistic(both), [X.logistic(o) for o in odds]
 
@@ -156,7 +156,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
     for m, v in zip(models, views, strict=True):
         raw = m.raw(v[last])
         a, b = X.calibrate(raw, y[last])
-        p = np.clip(X.logistic(a * raw + b), 1e-6, 1 - 1e-6)
+        p = np.clip(X.logistic(a * np.clip(raw, -X.MOST_SURE, X.MOST_SURE) + b), 1e-6, 1 - 1e-6)
         loss = -np.mean(np.where(y[last] > 0, np.log(p), np.log(1 - p)))
         rate = np.clip(y[last].mean(), 1e-6, 1 - 1e-6)
         flat = -(rate * np.log(rate) + (1 - rate) * np.log(1 - rate))

@@ -77,7 +77,7 @@ class Machine:
         place = self.place[term]
         use = place < len(self.w) - 1
         a, b = self.scale
-        return X.logistic(a * self.raw(doc[use], place[use], n) + b)
+        return X.logistic(a * np.clip(self.raw(doc[use], place[use], n), -X.MOST_SURE, X.MOST_SURE) + b)
 
 
 def fit(labels: np.ndarray, lists: list[np.ndarray], factors: int = FACTORS) -> Machine:
