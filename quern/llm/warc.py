@@ -109,7 +109,7 @@ class WarcReader(DataSourceReader):
                 held, total = [], 0
             held.append((f"{root}/{name}", None))
             total += sizes[name]
-        return [*parts, Archives(held)] if held else parts
+        return [*parts, Archives(held)] if held or not parts else parts
 
     def accepts(self, headers: dict[str, str]) -> bool:
         for column, kind, wanted in self.tests:
