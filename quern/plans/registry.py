@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.canonical import content_id
-from quern.operators import gates, graph, mining, retrieval, scope
+from quern.operators import answers, gates, graph, mining, retrieval, review, scope
 from quern.plans.relational import SQL
 from quern.session import table
 from quern.sources import fragments
@@ -383,3 +383,69 @@ def excerpts(spark, sf_dir):
 @query()
 def folded_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query("""WITH d AS (SELECT doc_id AS decision_id, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 END AS sup, doc_id // 3 AS target, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'defer' END AS action, doc_id % 2 AS c FROM labels),
+st AS (SELECT * FROM d WHERE decision_id NOT IN (SELECT sup FROM d WHERE sup IS NOT NULL) AND action <> 'defer')
+SELECT target AS target_id FROM st GROUP BY target HAVING count(DISTINCT c) = 2""")
+def resolved_targets(spark, sf_dir):
+    action = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "accept").otherwise("defer")
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("decision_id"), F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") + 1).alias("supersedes_id"), F.floor(F.col("doc_id") / 3).alias("target_id"), F.lit("answer").alias("use"), action.alias("action"), F.array(F.concat(F.lit("c"), (F.col("doc_id") % 2).cast("string"))).alias("scope"))
+    targets = rows.select("target_id").distinct().withColumn("collections", F.array(F.lit("c0"), F.lit("c1")))
+    return review.resolved(rows, targets).select("target_id")
+
+
+@query("SELECT doc_id AS decision_id FROM labels WHERE doc_id NOT IN (SELECT doc_id + 1 FROM labels WHERE doc_id % 5 = 0)")
+def standing_decisions(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("decision_id"), F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") + 1).alias("supersedes_id"))
+    return review.standing(rows).select("decision_id")
+
+
+@query("""WITH r AS (SELECT DISTINCT lang AS task, source AS facet FROM documents), a AS (SELECT DISTINCT lang AS task, source AS facet FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
+p AS (SELECT r.task, count(*) AS required, count(a.facet) AS covered FROM r LEFT JOIN a ON a.task = r.task AND a.facet = r.facet GROUP BY r.task)
+SELECT *, CAST(floor(covered * 10000 / required) AS BIGINT) AS basis_points, CASE WHEN covered = required THEN 'covered' WHEN covered > 0 THEN 'partial' ELSE 'missing' END AS decision FROM p""")
+def facet_coverage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task"), F.col("source").alias("facet"))
+    weak = docs.join(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    return answers.facet_coverage(docs.select("task", "facet").distinct(), weak)
+
+
+@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE length(text) > 20)
+SELECT id, 0 AS "start", 5 AS "end", 'plain' AS kind, substr(text, 1, 5) AS part FROM t UNION ALL SELECT id, 5, 10, 'traced', substr(text, 6, 5) FROM t
+UNION ALL SELECT id, 10, 12, 'plain', substr(text, 11, 2) FROM t UNION ALL SELECT id, 12, 18, 'traced', substr(text, 13, 6) FROM t UNION ALL SELECT id, 18, CAST(length(text) AS INTEGER), 'plain', substr(text, 19) FROM t""")
+def traced_segments(spark, sf_dir):
+    texts = table(spark, sf_dir, "conversations").filter("length(text) > 20").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    spans = texts.select("id", F.explode(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((5, 10), (12, 18))])).alias("s")).select("id", "s.start", "s.end", F.lit("traced").alias("kind"))
+    return answers.segments(texts, spans)
+
+
+@query("""WITH e AS (SELECT l_orderkey || '.' || l_linenumber AS id, l_orderkey, l_suppkey, l_returnflag || l_linestatus AS q FROM lineitem WHERE l_quantity > 45)
+SELECT l_orderkey AS claim_id, count(*) AS cases, count(CASE WHEN q LIKE 'A%' OR q LIKE 'N%' OR q LIKE 'R%' THEN 1 END) AS exact, TRUE AS complete FROM e GROUP BY l_orderkey""")
+def claim_case_set(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").selectExpr("l_orderkey", "concat(l_orderkey, '.', l_linenumber, '.', xxhash64(l_partkey, l_suppkey, l_extendedprice, l_shipdate)) AS evidence_id", "l_suppkey AS source_id", "concat(l_returnflag, l_linestatus) AS text", "l_returnflag AS quote")
+    claims = items.groupBy(F.col("l_orderkey").alias("claim_id")).agg(F.collect_list("evidence_id").alias("evidence_ids"))
+    found = answers.case_set(claims, items.select("evidence_id", "source_id", "quote"), items.select("evidence_id", "text"))
+    return found.select("claim_id", F.size("cases").cast("long").alias("cases"), F.size(F.filter("cases", lambda c: c["exact"])).cast("long").alias("exact"), "complete")
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]+)/*$', 1) AS shown FROM pages")
+def redacted_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", answers.redact(F.col("url")).alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 900 THEN rtrim(substr(text, 1, 899)) || '…' ELSE text END AS clipped FROM documents")
+def clipped_excerpts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", answers.clip(F.col("text")).alias("clipped"))
+
+
+@query(f"""SELECT doc_id AS id, ordinal + 1 AS line, CAST(instr(text, term) AS INTEGER) AS "column", term, 'polite' AS replacement FROM (SELECT doc_id, ordinal, text, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1))) AS term FROM {LINES} x) y WHERE term IN ('idiot', 'moron')""")
+def deprecated_terms(spark, sf_dir):
+    known = spark.createDataFrame([("idiot", "polite"), ("moron", "polite")], "term string, replacement string")
+    return answers.terms_used(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), known)
+
+
+@query("""WITH c AS (SELECT doc_id // 10 AS packet_id, doc_id % 10 AS r, doc_id, CASE WHEN length(text) > 900 THEN rtrim(substr(text, 1, 899)) || '…' ELSE text END AS t FROM documents)
+SELECT packet_id, string_agg(r || '. ' || t || ' (0.500000)', chr(10) ORDER BY r) AS markdown FROM c GROUP BY packet_id""")
+def packet_markdown(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("packet_id"), (F.col("doc_id") % 10).alias("rank"), F.lit("0.500000").alias("score"), "text")
+    return answers.packet_lines(rows)
