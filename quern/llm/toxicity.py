@@ -28,7 +28,7 @@ BINS = 1 << 20
 FACTORS = 4
 #: Bytes from a word's start that are terms of their own, so inflected forms share weight.
 STEMS = (4, 5, 6, 7)
-SAMPLE = 16_000
+SAMPLE = 8_000
 MODEL_TERMS = 1024
 EPOCHS = 30
 #: Weight decay, and standard errors by which a term's share has to differ between the labels.
@@ -83,8 +83,8 @@ class Machine:
 def fit(labels: np.ndarray, lists: list[np.ndarray], factors: int = FACTORS) -> Machine:
     """Fit by Adam on batches, with weight decay; labels 0 or 1, a list of distinct bins per text."""
     counts = np.array([len(x) for x in lists], np.int64)
-    doc = np.repeat(np.arange(len(lists)), counts)
-    term = np.concatenate(lists) if len(lists) else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), counts)
+    term = np.concatenate(lists) if len(lists) else np.zeros(0, np.int32)
     up = labels > 0
     n1, n0 = max(1, int(up.sum())), max(1, int((~up).sum()))
     in1 = np.bincount(term[up[doc]], minlength=BINS)
@@ -101,7 +101,8 @@ def fit(labels: np.ndarray, lists: list[np.ndarray], factors: int = FACTORS) ->
         return model
     place = model.place[term]
     use = place < len(bins)
-    doc, place = doc[use], place[use].astype(np.int64)
+    doc, place = doc[use].astype(np.int64), place[use].astype(np.int64)
+    del term
     first = np.searchsorted(doc, np.arange(len(lists) + 1))
     weight = np.where(up, 0.5 / n1, 0.5 / n0) * len(lists)  # both labels weigh the same while fitting
     rng = np.random.default_rng(SEED)
@@ -154,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         return Machine(np.zeros(0, np.int64), FACTORS)
     lists = held.column("terms").combine_chunks()
     bounds = lists.offsets.to_numpy()
-    values = lists.values.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy()  # 32 bits each: the sample's terms are what the driver holds
     order = np.lexsort((np.diff(bounds), held.column("label").to_numpy()))  # the order rows come in is not fixed
     return fit(held.column("label").to_numpy()[order].astype(float), [values[bounds[i] : bounds[i + 1]] for i in order])
 
