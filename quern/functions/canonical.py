@@ -8,7 +8,7 @@ import unicodedata
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -66,6 +66,13 @@ def points(value: Column) -> Column:
     return F.bround(value, 3).cast("decimal(18,3)")
 
 
-def set_hash(*columns: str) -> Column:
-    """SHA-256 of a group's rows in sorted order: the same for any order of the rows. Bounded groups only."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\u001f", *columns))), "\u001e"), 256)
+def set_manifest(rows: DataFrame, by: str, member: str) -> DataFrame:
+    """Per group its number of members and a hash of them as a set: the same for any order of the rows.
+
+    Members fall into 65,536 buckets by their hash; a bucket hashes its sorted members and a group its sorted
+    buckets, so no task holds a whole group.
+    """
+    hashed = rows.select(by, F.sha2(member, 256).alias("_h"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\x1e"), 256)
+    buckets = hashed.groupBy(by, F.substring("_h", 1, 4).alias("_b")).agg(F.count(F.lit(1)).alias("_n"), joined("_h").alias("_x"))
+    return buckets.groupBy(by).agg(F.sum("_n").alias("members"), joined(F.concat("_b", "_x")).alias("manifest_hash"))

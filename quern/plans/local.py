@@ -1,13 +1,24 @@
-"""The checkpoint folder of a session: the shared one it names, or a local one where none is named."""
+"""The shared folder of a session: the one it names for checkpoints, or a local one where none is named."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
-def checkpointed(spark: SparkSession) -> None:
+def checkpointed(spark: SparkSession) -> str:
+    """Set the checkpoint folder if it is unset, and return it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session's file system closes."""
+    root = f"{checkpointed(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root

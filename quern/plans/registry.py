@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.canonical import content_id
+from quern.functions.canonical import content_id, set_manifest
 from quern.operators import answers, gates, graph, mining, retrieval, review, scope
+from quern.plans.local import checkpointed, scratch
 from quern.plans.relational import SQL
 from quern.session import table
 from quern.sources import fragments
@@ -147,11 +148,11 @@ def ingest_disposition(spark, sf_dir):
     return scope.disposition(incoming, history)
 
 
-@query(f"SELECT lang AS collection, count(*) AS members, sha256(string_agg(h, chr(30) ORDER BY h)) AS manifest_hash FROM (SELECT lang, doc_id || chr(31) || sha256(text) AS h FROM documents) x GROUP BY lang")
+@query("""WITH m AS (SELECT lang, sha256(doc_id || chr(31) || sha256(text)) AS h FROM documents), b AS (SELECT lang, substr(h, 1, 4) AS bucket, count(*) AS n, sha256(string_agg(h, chr(30) ORDER BY h)) AS bh FROM m GROUP BY lang, substr(h, 1, 4))
+SELECT lang AS collection, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(bucket || bh, chr(30) ORDER BY bucket)) AS manifest_hash FROM b GROUP BY lang""")
 def snapshot_members(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("collection"), F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), F.sha2("text", 256)).alias("h"))
-    # sorted before it is hashed: any order of the rows gives one manifest
-    return rows.groupBy("collection").agg(F.count(F.lit(1)).alias("members"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\x1e"), 256).alias("manifest_hash"))
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("collection"), F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), F.sha2("text", 256)).alias("member"))
+    return set_manifest(rows, "collection", "member")
 
 
 @query("SELECT doc_id, 'fragment_' || substr(sha256(text), 1, 32) AS content_id FROM documents")
@@ -246,8 +247,6 @@ def bounded_walk(spark, sf_dir):
 
 @query(f"WITH RECURSIVE e AS {EDGE}, w AS (SELECT 'c1' AS node UNION SELECT 'c2' UNION SELECT 'c4' UNION SELECT e.dst FROM w JOIN e ON e.src = w.node) SELECT node FROM w")
 def router_closure(spark, sf_dir):
-    from quern.plans.local import checkpointed
-
     checkpointed(spark)
     return graph.reach(_edges(spark, sf_dir), spark.createDataFrame([("c1",), ("c2",), ("c4",)], "node string"))
 
@@ -449,3 +448,13 @@ SELECT packet_id, string_agg(r || '. ' || t || ' (0.500000)', chr(10) ORDER BY r
 def packet_markdown(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("packet_id"), (F.col("doc_id") % 10).alias("rank"), F.lit("0.500000").alias("score"), "text")
     return answers.packet_lines(rows)
+
+
+@query("SELECT event_id, event_type FROM events")
+def outbox_stream(spark, sf_dir):
+    """The events as a stream, exported once each to the shared folder; the export is what is returned."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    sink = scratch(spark, "outbox")
+    journal.export_outbox(stream, sink, scratch(spark, "outbox-progress")).awaitTermination()
+    return spark.read.schema(schema).parquet(sink).select("event_id", "event_type")
