@@ -23,9 +23,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "orphan_having": "SELECT o.o_custkey, count(l.l_orderkey) AS links FROM {orders} o LEFT JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 49 GROUP BY o.o_custkey HAVING count(l.l_orderkey) = 0",
     "next_version": "SELECT source, max(doc_id) + 1 AS next_version FROM {documents} GROUP BY source",
     "independence_groups": "SELECT lang, count(DISTINCT source) AS independence_groups, count(DISTINCT source) >= 3 AS enough FROM {documents} GROUP BY lang",
-    "candidate_diagnostics": "SELECT count(*) AS sources, max(n) AS most_fragments, sum(n) AS fragments FROM (SELECT source, count(*) AS n FROM {documents} GROUP BY source) x",
+    "candidate_diagnostics": "SELECT count(*) AS sources, max(n) AS most_fragments, CAST(sum(n) AS BIGINT) AS fragments FROM (SELECT source, count(*) AS n FROM {documents} GROUP BY source) x",
     "facet_basis_points": "SELECT lang, count(q) AS covered, count(*) AS required, CAST(floor(count(q) * 10000 / count(*)) AS BIGINT) AS basis_points FROM (SELECT d.lang, l.quality AS q FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id) x GROUP BY lang",
-    "theme_metrics": "SELECT p.p_brand AS theme, count(DISTINCT l.l_orderkey) AS evidence, count(DISTINCT l.l_suppkey) AS families, sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS counter_evidence FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey GROUP BY p.p_brand",
+    "theme_metrics": "SELECT p.p_brand AS theme, count(DISTINCT l.l_orderkey) AS evidence, count(DISTINCT l.l_suppkey) AS families, CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS counter_evidence FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey GROUP BY p.p_brand",
     "review_status_counts": "SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'accept' WHEN toxic = 1 THEN 'reject' ELSE 'revise' END AS review_state, count(*) AS n FROM {labels} GROUP BY 1",
     "latest_decision": "SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM {events} GROUP BY user_id",
     "ingest_coverage": "SELECT CASE WHEN n_chars < 50 THEN 'skipped' WHEN text IS NULL THEN 'failed' ELSE 'processed' END AS outcome, lang, count(*) AS n FROM {documents} GROUP BY 1, 2",
@@ -37,11 +37,11 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM {events} GROUP BY event_type",
     ),
     "multi_source_ratio": "SELECT CAST(sum(CASE WHEN s >= 2 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS ratio FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS s FROM {lineitem} GROUP BY l_partkey) x",
-    "hypothesis_rollup": "SELECT n.n_regionkey AS hypothesis, sum(t.evidence) AS evidence, sum(t.families) AS families FROM (SELECT s.s_nationkey, count(*) AS evidence, count(DISTINCT l.l_partkey) AS families FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey GROUP BY s.s_nationkey) t JOIN {nation} n ON n.n_nationkey = t.s_nationkey GROUP BY n.n_regionkey",
-    "atlas_overview": "SELECT count(*) AS sources, count(DISTINCT source) AS families, sum(CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END) AS materials, count(DISTINCT lang) AS collections FROM {documents}",
+    "hypothesis_rollup": "SELECT n.n_regionkey AS hypothesis, CAST(sum(t.evidence) AS BIGINT) AS evidence, CAST(sum(t.families) AS BIGINT) AS families FROM (SELECT s.s_nationkey, count(*) AS evidence, count(DISTINCT l.l_partkey) AS families FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey GROUP BY s.s_nationkey) t JOIN {nation} n ON n.n_nationkey = t.s_nationkey GROUP BY n.n_regionkey",
+    "atlas_overview": "SELECT count(*) AS sources, count(DISTINCT source) AS families, CAST(sum(CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS materials, count(DISTINCT lang) AS collections FROM {documents}",
     "manifest_closure": "SELECT 'labels.doc_id' AS reference, l.doc_id AS id FROM {labels} l LEFT ANTI JOIN {documents} d ON d.doc_id = l.doc_id",
     "dangling_keys": "SELECT 'orders.o_custkey' AS foreign_key, count(*) AS dangling FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = o.o_custkey) UNION ALL SELECT 'lineitem.l_partkey', count(*) FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey = l.l_partkey)",
-    "recall_coverage": "SELECT lang, count(DISTINCT doc_id) AS processed, sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS omitted FROM {documents} GROUP BY lang",
+    "recall_coverage": "SELECT lang, count(DISTINCT doc_id) AS processed, CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS omitted FROM {documents} GROUP BY lang",
     # windows, order, limits
     "rank_assignment": "SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) * CAST(1 AS BIGINT) AS rank FROM {customer}",
     "contiguity": "SELECT conv_id, count(*) AS turns, min(turn) AS first_turn, max(turn) - min(turn) + 1 = count(*) AS contiguous FROM {conversations} GROUP BY conv_id",
@@ -49,7 +49,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "recent_k": "SELECT user_id, event_type, event_id, greatest(n - 3, 0) AS omitted FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM {events}) x WHERE r <= 3",
     "closest_three": "SELECT lang, doc_id, codes FROM (SELECT d.lang, d.doc_id, l.toxic + 1 - l.quality AS codes, row_number() OVER (PARTITION BY d.lang ORDER BY l.toxic + 1 - l.quality, d.doc_id) AS r FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.toxic = 1 OR l.quality = 0) x WHERE r <= 3",
     "source_diverse": "SELECT lang, doc_id, place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN r > 1 THEN 1 ELSE 0 END, CASE WHEN r = 1 THEN -n_chars END, doc_id) * CAST(1 AS BIGINT) AS place FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS r FROM {documents}) x) y WHERE place <= 25",
-    "running_offsets": "SELECT conv_id, turn, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * CAST(1 AS BIGINT) AS char_start FROM {conversations}",
+    "running_offsets": "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM {conversations}",
     "stable_listing": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
     "top_relations": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(*) AS shared FROM {lineitem} GROUP BY l_suppkey ORDER BY parts DESC, shared DESC, l_suppkey LIMIT 30",
     "page_of_rows": "SELECT doc_id, pages FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, CAST(ceil(count(*) OVER () / 30.0) AS BIGINT) AS pages FROM {documents} WHERE lang = 'es') x WHERE r BETWEEN 31 AND 60",
