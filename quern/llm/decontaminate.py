@@ -110,7 +110,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
     docs = docs.drop("contaminated", "item_ids", "similarity")
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
     found = matches(keyed.select(F.col("_k").alias("k"), "text"), items, percent)
-    per = cut(found.groupBy("k").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("similarity")), "contaminated")
-    joined = keyed.join(small(per, per.count()), F.col("_k") == F.col("k"), "left")
+    per = cut(found.groupBy(F.col("k").alias("_found")).agg(F.sort_array(F.collect_set("item_id")).alias("_items"), F.max("similarity").alias("_most")), "contaminated")
+    joined = keyed.join(small(per, per.count()), F.col("_k") == F.col("_found"), "left")
     none = F.array().cast("array<bigint>")
-    return joined.select(*docs.columns, F.col("k").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return joined.select(*docs.columns, F.col("_found").isNotNull().alias("contaminated"), F.coalesce("_items", none).alias("item_ids"), F.coalesce("_most", F.lit(0.0)).alias("similarity"))

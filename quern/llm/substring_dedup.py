@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     docs = docs.drop("n_words", "n_removed", "kept_text")
     keyed = docs.withColumn("_k", F.xxhash64(*[F.col(c) for c in ("doc_id", text) if c in docs.columns]))
     spans = repeated_spans(keyed.select(F.col("_k").alias("k"), F.col(text).cast("string").alias("text")), window)
-    spans = spans.distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = spans.distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     joined = keyed.join(spans.withColumnRenamed("k", "_k"), "_k", "left")
     others = [c for c in docs.columns if c != text]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -261,6 +261,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
                 at += part.num_rows
                 yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(n + 1)], *part.columns[1:]], names=[*others, text, "n_words", "n_removed", "kept_text"])
 
-    return joined.select(*others, F.col(text).cast("string").alias(text), "spans").mapInArrow(run, schema)
+    return joined.select(*others, F.col(text).cast("string").alias(text), "_spans").mapInArrow(run, schema)
 
 

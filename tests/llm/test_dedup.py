@@ -62,7 +62,7 @@ def test_substring_dedup_equals_brute_force(spark, hot, monkeypatch):
         monkeypatch.setattr(substring_dedup, "ANCHOR_SEGMENTS", 1)
         monkeypatch.setattr(substring_dedup, "ANCHOR_ROWS", 0)
     docs = corpus(2)
-    rows = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, n_removed string")
+    rows = spark.createDataFrame([(i, t, "x", [2]) for i, t in docs], "doc_id long, text string, n_removed string, spans array<int>")
     found = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(rows).collect())
     assert found == sorted(brute.repeats(docs, 35))
 

@@ -62,7 +62,7 @@ def test_decontamination_equals_brute_force(spark):
             w[rng.choice([0, len(w) - 1])] = "other"
         docs.append((k, say(30) + " " + ", ".join(w).upper() + ". " + say(30) if k % 3 else say(80)))
     docs += [(90, None), (91, ""), (92, "too few"), (93, items[0][1])]
-    rows = spark.createDataFrame([(i, t, [1]) for i, t in docs], "doc_id long, text string, item_ids array<int>")
+    rows = spark.createDataFrame([(i, t, [1], "x") for i, t in docs], "doc_id long, text string, item_ids array<int>, k string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {r.doc_id: set(r.item_ids) for r in decontaminate.decontaminate(rows, bench).collect() if r.contaminated}
     assert found == brute.leaks(docs, items) and len(found) > 20
