@@ -5,7 +5,9 @@
 2. Documents with equal sets form a class; only the least id of a class goes on.
 3. Representatives that share a band key form a bucket. The member whose band keys are the most common
    is the bucket's pivot, and each other member is paired with it: never all pairs of a bucket.
-4. Pairs whose signatures agree too little are dropped; the rest are confirmed on full shingle sets.
+4. A member whose signature agrees too little with the pivot's is compared by signature with all other
+   members of the pivot's group, in blocks of bounded size, and is dropped only if it is like none of
+   them. The rest are confirmed on full shingle sets.
    For a confirmed pivot group the members' sets are kept as differences from the pivot's set, and in
    blocks of bounded size the members that the pivot is not linked with are compared with the others.
    So a link between two members that both miss the pivot is found as well.
@@ -169,6 +171,28 @@ def _compare(percent: int):
     return run
 
 
+def _alike(group: pd.DataFrame) -> pd.DataFrame:
+    """Within a block of a pivot group: members that miss the pivot and whose signatures agree with another member's."""
+    marks = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
+    missed = np.flatnonzero(~group["near"].to_numpy())
+    live = [q for q in missed if ((marks == marks[q]).mean(axis=1) >= FLOOR).sum() > 1]  # one is the member itself
+    return group.iloc[live][["pivot", "id"]]
+
+
+def _dealt(rows: DataFrame, reached: str, name: str) -> DataFrame:
+    """Rows of pivot groups in blocks (pivot, r, c) of bounded size in which each row not `reached` meets all others once."""
+    groups = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col(reached), 1).otherwise(0)).alias("free")).filter("free > 0 AND n > 1")
+    groups = cut(groups.select("pivot", F.ceil(F.col("free") / BLOCK).cast("int").alias("fb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), name)
+    dealt = rows.join(groups, "pivot")
+    row = F.pmod(F.xxhash64("id", F.lit(1)), F.col("fb")).cast("int")
+    col = F.pmod(F.xxhash64("id", F.lit(2)), F.col("nb")).cast("int")
+    asked = dealt.filter(~F.col(reached)).withColumn("r", row).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    # a member is asked about in one row of blocks and stands in one column of them for the others to meet
+    others = dealt.withColumn("c", col).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("fb") - 1)))
+    others = others.filter(F.col(reached) | (F.col("r") != row))
+    return asked.select(*rows.columns, "r", "c").unionByName(others.select(*rows.columns, "r", "c"))
+
+
 def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles and class representative `rep` of each row, links between representatives a > b)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -196,7 +220,10 @@ def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
         return pd.Series((x == y).mean(axis=1) >= FLOOR)
 
-    likely = cut(marked.filter(agree("signature", "mark")).select("pivot", "id"), "likely")
+    met = cut(marked.select("pivot", "id", agree("signature", "mark").alias("near")), "met")
+    blocks = _dealt(met, "near", "missed-groups").join(marks, "id")
+    alike = blocks.groupBy("pivot", "r", "c").applyInPandas(_alike, "pivot long, id long").distinct()
+    likely = cut(met.filter("near").select("pivot", "id").unionByName(alike), "likely")
     wanted = likely.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
     wanted = cut(wanted, "wanted")
     held = texts.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count(), WANTED_ROWS), "id", "left_semi")
@@ -205,17 +232,7 @@ def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     full = full.join(sets.select(F.col("id").alias("pivot"), F.col("members").alias("its")), "pivot").select("pivot", "id", "its", "own")
     stars = cut(full.mapInArrow(_confirm(percent), "pivot long, id long, linked boolean, size long, shared binary, extra binary"), "stars")
 
-    open_groups = stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("free")).filter("free > 0 AND n > 1")
-    open_groups = cut(open_groups.select("pivot", F.ceil(F.col("free") / BLOCK).cast("int").alias("fb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "open-groups")
-    dealt = stars.join(open_groups, "pivot")
-    row = F.pmod(F.xxhash64("id", F.lit(1)), F.col("fb")).cast("int")
-    col = F.pmod(F.xxhash64("id", F.lit(2)), F.col("nb")).cast("int")
-    whole = ["pivot", "id", "linked", "size", "shared", "extra"]
-    asked = dealt.filter("NOT linked").withColumn("r", row).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    # a member is asked about in one row of blocks and stands in one column of them for the others to meet
-    others = dealt.withColumn("c", col).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("fb") - 1)))
-    others = others.filter(F.col("linked") | (F.col("r") != row))
-    blocks = asked.select(*whole, "r", "c").unionByName(others.select(*whole, "r", "c"))
+    blocks = _dealt(stars, "linked", "open-groups")
     more = blocks.groupBy("pivot", "r", "c").applyInPandas(_compare(percent), "a long, b long")
     found = stars.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(more)
     found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

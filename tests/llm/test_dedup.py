@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quern.llm import near_dedup, substring_dedup
+from quern.llm import words as W
 from quern.llm.fm_index import FMIndex
 from tests.llm import brute
 
@@ -31,6 +32,27 @@ def test_near_duplicates_equal_brute_force(spark, n):
     assert found == brute.near(docs, n)
 
 
+@pytest.mark.parametrize("reach", ["neither", "one"])
+def test_near_duplicates_that_share_only_buckets_of_an_unlike_pivot(spark, reach, monkeypatch):
+    if reach == "one":
+        monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    hashes = lambda words: near_dedup.shingles(W.cut(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]), lower=True).hashes, 1)
+    x = [f"v{k}" for k in range(200)]
+    y = x[:180] + [f"y{k}" for k in range(20)]
+    one = np.array([near_dedup.minima(hashes([w])) for w in x[:180]])
+    least_x, least_y = near_dedup.minima(hashes(x)), near_dedup.minima(hashes(y))
+    shared = (least_x == least_y).reshape(near_dedup.BANDS, near_dedup.ROWS).all(axis=1)
+    own = sorted({int(np.flatnonzero(one[:, k] == least_x[k])[0]) for b in np.flatnonzero(shared) for k in range(b * near_dedup.ROWS, (b + 1) * near_dedup.ROWS)})
+    hub = [x[k] for k in own]  # a hub that shares every band that x and y share, and is unlike one or both of them
+    if reach == "one":
+        hub += y[180:] + [w for w in x[:180] if w not in hub][: 110 - len(hub)]
+    docs = [(1, " ".join(x)), (2, " ".join(y))] + [(10 + k, " ".join(hub + [f"h{k}"])) for k in range(30)]
+    sims = [len({*t} & {*hub}) / len({*t} | {*hub}) for t in (x, y)]
+    assert shared.sum() > 3 and sims[0] < 0.54 and (sims[1] > 0.62 if reach == "one" else sims[1] < 0.54)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 1).collect()}
+    assert found == brute.near(docs, 1) and found[2][1] == 1
+
+
 def test_near_duplicates_edges(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
