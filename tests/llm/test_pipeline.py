@@ -49,6 +49,20 @@ def test_stages_equal_brute_force(spark, folder):
     assert 1.2 * total <= taken <= 1.8 * total and dirty and len(kept3) < len(rows)
 
 
+def test_one_row_of_each_group_of_repeated_rows_stays(spark, tmp_path):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"word{rng.randrange(900)}" for _ in range(80)) for _ in range(4))
+    rows = [(7, a), (7, a), (3, a + " more"), (5, b), (5, b), (None, c), (None, c), (9, c), (None, d), (None, d), (4, a[:20] + b), (4, d + " more"), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SIZES["documents"])
+    out = corpus_pipeline.near_copies(spark, docs, str(tmp_path))
+    out.write.parquet(f"{tmp_path}/near")
+    kept = sorted((r.doc_id or 0, r.text) for r in spark.read.parquet(f"{tmp_path}/near").collect())
+    want = sorted([(0, ""), (0, ""), (3, a + " more"), (4, a[:20] + b), (4, d + " more"), (9, c)])
+    assert out.columns == docs.columns and kept == want
+    left = corpus_pipeline.repeated_passages(spark, spark.read.parquet(f"{tmp_path}/near"), str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == want
+
+
 def test_run_over_no_documents(spark, tmp_path):
     for name in SIZES:
         spark.createDataFrame([], SIZES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
