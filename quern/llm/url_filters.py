@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import BROADCAST_ROWS, cut, small
 
-#: Parameters: labels of a host that are tried as keys, from the right, and path segments of a prefix key.
-MOST_LABELS = 8
-PATH_SEGMENTS = 2
+#: Specificity of a path prefix besides its segments: more than any host has labels.
+PATH_DEPTH = 1 << 24
 
 
 def host_of(url: Column) -> Column:
@@ -29,23 +28,33 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys_of(url: Column) -> Column:
-    """(key, specificity) pairs of a URL: its host's suffixes from the right, then host and path prefixes."""
+def keys_of(url: Column, labels: list[int] | None = None, segments: list[int] | None = None) -> Column:
+    """(key, specificity) pairs of a URL: its host's suffixes from the right, then host and path prefixes.
+
+    Of all suffixes and prefixes, or of those with the given numbers of labels and path segments.
+    """
     host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    hosts = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(MOST_LABELS))),
-        lambda k: F.struct(F.array_join(F.slice(labels, n - k + 1, k), ".").alias("key"), k.alias("depth")),
-    )
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    prefixes = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(PATH_SEGMENTS)), lambda k: (k > 0) & (k <= F.size(parts))),
-        lambda k: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")).alias("key"), (k + 100).alias("depth")),
-    )
+    parts = F.split(host, r"\.")
+    n = F.size(parts)
+    steps = F.sequence(F.lit(1), n) if labels is None else F.filter(_numbers(labels), lambda k: k <= n)
+    hosts = F.transform(steps, lambda k: F.struct(F.array_join(F.slice(parts, n - k + 1, k), ".").alias("key"), k.alias("depth")))
+    names = F.filter(F.split(path, "/"), lambda p: p != "")
+    steps = F.filter(F.sequence(F.lit(0), F.size(names)), lambda k: k > 0) if segments is None else F.filter(_numbers(segments), lambda k: k <= F.size(names))
+    prefixes = F.transform(steps, lambda k: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(names, 1, k), "/")).alias("key"), (k + PATH_DEPTH).alias("depth")))
     return F.when(host == "", F.array().cast("array<struct<key:string,depth:int>>")).otherwise(F.concat(hosts, prefixes))
 
 
+def _numbers(of: list[int]) -> Column:
+    return F.array(*map(F.lit, of)).cast("array<int>")
+
+
+def depths(valid: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of labels of the host keys of a list and of segments of its path keys; keys of other depths can't match."""
+    slashes, dots = (F.length("_key") - F.length(F.replace(F.col("_key"), F.lit(c))) for c in "/.")
+    rows = valid.select((slashes > 0).alias("path"), F.when(slashes > 0, slashes).otherwise(dots + 1).alias("n")).distinct().collect()
+    return sorted(r.n for r in rows if not r.path), sorted(r.n for r in rows if r.path)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, action, at) to (list, key, action, since, until): in force from `at` to the key's next entry on that list.
 
@@ -70,11 +79,12 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     valid = intervals(entries).select(F.col("list").alias("_list"), F.col("key").alias("_key"), F.col("action").alias("_action"), "since", "until")
     valid = cut(valid, "intervals")
     n = valid.count()
+    labels, segments = depths(valid)
     captures = captures.drop("blocked", "by_list", "by_key")
     asked = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).distinct() if n > BROADCAST_ROWS else captures.withColumn("_row", F.monotonically_increasing_id())
     ident = ["_url", "_at"] if n > BROADCAST_ROWS else ["_row"]
     source = (F.col("_url"), F.col("_at")) if n > BROADCAST_ROWS else (F.col(url), F.col(at))
-    keyed = asked.select(*ident, source[1].alias("_t"), F.explode_outer(keys_of(source[0])).alias("_k"))
+    keyed = asked.select(*ident, source[1].alias("_t"), F.explode_outer(keys_of(source[0], labels, segments)).alias("_k"))
     met = keyed.join(small(valid, n), (F.col("_k.key") == F.col("_key")) & (F.col("_t") >= F.col("since")) & (F.col("until").isNull() | (F.col("_t") < F.col("until"))))
     # the most specific key first, then block before allow, then the list's name
     best = met.groupBy(*ident).agg(F.min(F.struct((-F.col("_k.depth")).alias("d"), F.when(F.col("_action") == "block", 0).otherwise(1).alias("a"), F.col("_list").alias("l"), F.col("_key").alias("k"))).alias("_b"))

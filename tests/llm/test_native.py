@@ -104,3 +104,19 @@ def test_url_filters_join_alike_when_lists_are_long(spark, monkeypatch):
     first = sorted(map(str, url_filters.judge(rows, entries).collect()))
     monkeypatch.setattr(url_filters, "BROADCAST_ROWS", 0)
     assert sorted(map(str, url_filters.judge(rows, entries).collect())) == first
+
+
+def test_url_filters_meet_hosts_and_paths_of_any_depth(spark):
+    deep = "a.b.c.d.e.f.g.h.i.com"
+    lists = [("l", deep, "block"), ("l", "x.com", "block"), ("l", "x.com/1/2/3/4", "allow"), ("l", "x.com/1/2/3/4/5/6", "block"), ("l", "y.com/q/r/s", "block"), ("l", "k." * 120 + "com", "block"), ("l", "k." * 120 + "com/p", "allow")]
+    entries = spark.createDataFrame(lists, "list string, key string, action string").withColumn("at", F.timestamp_seconds(F.lit(0)))
+    asked = [
+        (f"http://{deep}/", deep), (f"http://z.{deep}/p", deep), ("http://b.c.d.e.f.g.h.i.com/", None), ("http://x.com/1/2/3", "x.com"), ("http://x.com/1/2/3/4/5", "x.com/1/2/3/4"),
+        ("http://x.com/1//2/3/4/5/6/7?q", "x.com/1/2/3/4/5/6"), ("http://y.com/q/r/s/t", "y.com/q/r/s"), ("http://y.com/q/r", None), ("http://" + "k." * 120 + "com/p", "k." * 120 + "com/p"), (None, None),
+    ]
+    rows = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(asked)], "k int, url string").withColumn("fetched_at", F.timestamp_seconds(F.lit(9)))
+    action = {key: a for _, key, a in lists}
+    found = [(r.by_key, r.blocked) for r in url_filters.judge(rows, entries).orderBy("k").collect()]
+    assert found == [(key, action.get(key) == "block") for _, key in asked]
+    keys = [[k.key for k in r[0]] for r in rows.orderBy("k").select(url_filters.keys_of(F.col("url"))).collect()]
+    assert len(keys[1]) == 12 and keys[5][-1] == "x.com/1/2/3/4/5/6/7" and keys[9] == []
