@@ -5,12 +5,14 @@ those of the tasks that won in a manifest, so a task that runs twice leaves noth
 
 Reading: archives are dealt to partitions by size. Equality and membership filters on WARC-Type, and
 comparisons on the record's other headers, are pushed down. A record's headers are parsed first; the
-payload of a record that a filter rejects, or that the query doesn't select, is skipped without decoding
-where the writer's index of member lengths allows it, and otherwise inflated only to find its end.
+payload of a record that a filter rejects, or all payloads with the option payload=false, are skipped without
+decoding where the writer's index of member lengths allows it, and otherwise inflated only to find their end.
+Spark doesn't tell a Python source which columns a query selects, so that option has to be given.
 
 Paths go through Arrow's file systems, so a store needs no mount: file, hdfs, s3, gs.
 
-Records with nulls: a null payload is written empty; a null header is left out and read back as null.
+Records with nulls: a null payload is written empty; a null header is left out and read back as null. Carriage
+returns and line feeds in a header's value are written as %0D and %0A, so no value can end its line.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ def open_store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def head(values: dict[str, str | None], length: int) -> bytes:
-    lines = ["WARC/1.1", *(f"{HEADERS[c]}: {v}" for c, v in values.items() if v is not None), f"Content-Length: {length}"]
+    whole = lambda v: v.replace("\r", "%0D").replace("\n", "%0A")
+    lines = ["WARC/1.1", *(f"{HEADERS[c]}: {whole(v)}" for c, v in values.items() if v is not None), f"Content-Length: {length}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 

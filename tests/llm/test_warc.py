@@ -35,6 +35,18 @@ def test_archives_of_others(spark, tmp_path):
     assert warc.read(spark, str(folder)).filter("warc_type = 'response'").count() == 4
 
 
+def test_hostile_headers_and_ids(spark, tmp_path):
+    from quern.llm import queries
+
+    url = "http://x/\r\n\r\nWARC/1.1\r\nWARC-Type: revisit"
+    rows = [(-5, url, "y" * 120), (-7, "http://z/\nWARC-Type: revisit", "y" * 120), (None, None, "y" * 120), (None, "http://n/", None), (9, " spaced ", "q")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in queries.op1_warc(spark, str(tmp_path)).collect())
+    assert found == [(-7, "response", None, 120), (-5, "revisit", -7, 120), (0, "response", None, 0), (0, "response", None, 120), (9, "response", None, 1)]
+    data = warc.head({"warc_type": "response", "target_uri": url}, 3)
+    assert warc.parse_head(data[: data.index(b"\r\n\r\n")]) == {"warc-type": "response", "warc-target-uri": url.replace("\r", "%0D").replace("\n", "%0A"), "content-length": "3"}
+
+
 def test_no_pages(spark, tmp_path):
     warc.write(warc.page_records(spark.createDataFrame([], "page_id long, url string, html string")), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
