@@ -16,7 +16,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
     rows = warc.read(spark, path)
-    page = lambda c: F.regexp_extract(c, "([0-9]+)>$", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, "(-?[0-9]+)>$", 1).cast("long")
     return rows.select(
         page(F.col("record_id")).alias("page_id"),
         F.length("payload").cast("long").alias("payload_bytes"),
@@ -93,7 +93,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
     entries = some("hosts", 4, host, "block", n % 300)
     for more in (some("hosts", 8, host, "remove", n % 300 + 60), some("hosts", 16, host, "block", n % 300 + 90), some("review", 12, F.concat(host, F.lit("/en")), "allow", n % 250)):
         entries = entries.unionByName(more)
-    fixed = pages.sparkSession.createDataFrame([("spam", "cheap-pills.example.com", "block", 0), ("spam", "casino.example.net", "block", 40), ("spam", "example.org", "block", 200), ("spam", "example.org", "remove", 220)], "list string, key string, action string, day long")
+    fixed = pages.sparkSession.sql("SELECT * FROM VALUES ('spam', 'cheap-pills.example.com', 'block', 0L), ('spam', 'casino.example.net', 'block', 40L), ('spam', 'example.org', 'block', 200L), ('spam', 'example.org', 'remove', 220L) AS t(list, key, action, day)")
     return entries.unionByName(fixed.select("list", "key", "action", _day(F.col("day")).alias("at")))
 
 

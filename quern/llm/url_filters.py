@@ -72,24 +72,19 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     """Every row of `captures` with blocked, by_list and by_key.
 
     A null or malformed URL has no keys and a null fetch time meets no interval: such rows are not
-    blocked. With equal specificity a block wins, then the list that sorts first. The list's intervals
-    are broadcast if they are counted few enough; else captures are first brought down to distinct
-    (keys, fetch time) and joined by key, which Spark splits when a key is hot.
+    blocked. With equal specificity a block wins, then the list that sorts first. Captures are first brought
+    down to distinct (URL, fetch time). The list's intervals are broadcast if they are counted few enough;
+    else they are joined by key, which Spark splits when a key is hot.
     """
     valid = intervals(entries).select(F.col("list").alias("_list"), F.col("key").alias("_key"), F.col("action").alias("_action"), "since", "until")
     valid = cut(valid, "intervals")
     n = valid.count()
     labels, segments = depths(valid)
     captures = captures.drop("blocked", "by_list", "by_key")
-    asked = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).distinct() if n > BROADCAST_ROWS else captures.withColumn("_row", F.monotonically_increasing_id())
-    ident = ["_url", "_at"] if n > BROADCAST_ROWS else ["_row"]
-    source = (F.col("_url"), F.col("_at")) if n > BROADCAST_ROWS else (F.col(url), F.col(at))
-    keyed = asked.select(*ident, source[1].alias("_t"), F.explode_outer(keys_of(source[0], labels, segments)).alias("_k"))
-    met = keyed.join(small(valid, n), (F.col("_k.key") == F.col("_key")) & (F.col("_t") >= F.col("since")) & (F.col("until").isNull() | (F.col("_t") < F.col("until"))))
+    asked = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).distinct()
+    keyed = asked.select("_url", "_at", F.explode_outer(keys_of(F.col("_url"), labels, segments)).alias("_k"))
+    met = keyed.join(small(valid, n), (F.col("_k.key") == F.col("_key")) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
     # the most specific key first, then block before allow, then the list's name
-    best = met.groupBy(*ident).agg(F.min(F.struct((-F.col("_k.depth")).alias("d"), F.when(F.col("_action") == "block", 0).otherwise(1).alias("a"), F.col("_list").alias("l"), F.col("_key").alias("k"))).alias("_b"))
-    if n > BROADCAST_ROWS:
-        joined = captures.join(best, F.col(url).eqNullSafe(F.col("_url")) & F.col(at).eqNullSafe(F.col("_at")), "left")
-    else:
-        joined = asked.join(best, "_row", "left")
+    best = met.groupBy("_url", "_at").agg(F.min(F.struct((-F.col("_k.depth")).alias("d"), F.when(F.col("_action") == "block", 0).otherwise(1).alias("a"), F.col("_list").alias("l"), F.col("_key").alias("k"))).alias("_b"))
+    joined = captures.join(best, F.col(url).eqNullSafe(F.col("_url")) & F.col(at).eqNullSafe(F.col("_at")), "left")
     return joined.select(*captures.columns, F.coalesce(F.col("_b.a") == 0, F.lit(False)).alias("blocked"), F.col("_b.l").alias("by_list"), F.col("_b.k").alias("by_key"))
