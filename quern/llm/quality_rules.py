@@ -90,10 +90,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     for name, fails in RULES:
         bit = F.when(F.expr(fails), F.lit(BIT[name])).otherwise(F.lit(0))
         bits = bit if bits is None else bits.bitwiseOR(bit)
-    # floor(rand()) is 0; as a value that isn't fixed it keeps Spark from moving a filter on the ledger below the
-    # measurements, where each of them would be evaluated again inside the filter
-    held = F.floor(F.rand(0)).cast("long")
-    return measure(docs.drop("failed_bits"), text).withColumn("failed_bits", bits.cast("long").bitwiseOR(held))
+    return measure(docs.drop("failed_bits"), text).withColumn("failed_bits", bits.cast("long"))
 
 
 def apply_policy(rows: DataFrame, policy: str, out: str = "kept") -> DataFrame:
@@ -101,6 +98,16 @@ def apply_policy(rows: DataFrame, policy: str, out: str = "kept") -> DataFrame:
     return rows.withColumn(out, F.col("failed_bits").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def passing(rows: DataFrame, policy: str) -> DataFrame:
+    """Ledger rows that pass a policy version.
+
+    A plain filter on the ledger would be moved below the measurements and evaluate each of them again. What a
+    generator makes can't be tested before it, so the filter stays behind and every rule is evaluated once.
+    """
+    bits = F.col("failed_bits").bitwiseAND(F.lit(mask(policy)))
+    return rows.withColumn("_passes", F.explode_outer(F.array(bits == 0))).filter("_passes").drop("_passes")
+
+
 def ablation(rows: DataFrame, policy: str) -> DataFrame:
     """For each rule of a policy: rows that fail it, and rows that fail nothing else (kept if the rule were dropped)."""
     m = mask(policy)
