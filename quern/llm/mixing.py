@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import words_of
+from quern.llm.shared import cut, words_of
 
 #: Weights of the sources in order of code point, repeating.
 WEIGHTS = [5, 2, 1]
 #: Parameters: all targets together as a share of all sizes; the most a source may be repeated; blocks of a size class.
 TOTAL = 1.5
 MOST = 2
-SPREAD = 64
+SPREAD = 1024
 
 
 def targets(sizes: DataFrame, weights: list[int] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -53,15 +53,16 @@ def mix(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
 
     A null or empty text has size 0 and weighs nothing; a null source is a source of its own, the last.
     Rows with equal ids are rows of their own; which of them is repeated follows their order, as they are
-    alike. Columns named like those added are replaced.
+    alike. A null id is dealt to blocks by its text. Columns named like those added are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "n_docs")
     rows = docs.withColumn("size", F.size(words_of(text)).cast("long"))
     rows = rows.withColumn("_bits", F.length(F.bin("size")))
     rows = rows.withColumn("_class", (F.col("_bits") * 8 + F.call_function("shiftright", F.col("size") * 8, F.col("_bits") - 1)).cast("int")).drop("_bits")
-    rows = rows.withColumn("_mix", number(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
+    rows = rows.withColumn("_mix", number(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(text)))))
     rows = rows.withColumn("_block", (F.col("_mix") % SPREAD).cast("int"))
     per_block = rows.groupBy("source", "_class", "_block").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
+    per_block = cut(per_block, "blocks")
     per_source = per_block.groupBy("source").agg(F.sum("_size").alias("source_size"), F.sum("_rows").alias("n_docs"))
     goal = targets(per_source)
     before = Window.partitionBy("source").orderBy("_class", "_block").rowsBetween(Window.unboundedPreceding, -1)

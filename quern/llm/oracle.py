@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.mixing import SPREAD
 from quern.llm.quality_rules import BIT, MEASURES, RULES, mask
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '')"
@@ -33,8 +34,8 @@ def mixing_sql(docs: str = "documents", seed: int = 7) -> str:
     """The systematic sample over a relation: doc_id, size, source_size, target, taken."""
     number = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
     return rf"""
-WITH r AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, row_number() OVER () AS rid FROM {docs}),
-c AS (SELECT *, length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) AS cls, {number.format(f"concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR))")} AS mx FROM r),
+WITH r AS (SELECT doc_id, source, text, CAST(len({WORDS}) AS BIGINT) AS size, row_number() OVER () AS rid FROM {docs}),
+c AS (SELECT *, length(bin(size)) * 8 + ((size * 8) >> (length(bin(size)) - 1)) AS cls, {number.format(f"concat_ws(':', '{seed}', coalesce(CAST(doc_id AS VARCHAR), md5(text)))")} AS mx FROM r),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM c GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, CAST(source AS BLOB)) - 1 AS k FROM s),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 2 AS cap FROM k),
@@ -42,7 +43,7 @@ f AS (SELECT *, coalesce(CAST(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING
 l AS (SELECT *, (CAST(all_ AS DOUBLE) * CAST(1.5 AS DOUBLE) - full_) / open_ AS level_ FROM f),
 g AS (SELECT *, level_ * w >= cap AS fills FROM l),
 t AS (SELECT source, source_size, CASE WHEN fills THEN CAST(cap AS DOUBLE) ELSE (SELECT level_ FROM g WHERE NOT fills ORDER BY CAST(cap AS DOUBLE) / w, k LIMIT 1) * w END AS target FROM g),
-p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, mx % 64, size, mx, doc_id, rid) - 1 AS pos FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, mx % {SPREAD}, size, mx, doc_id, rid) - 1 AS pos FROM c),
 q AS (SELECT p.doc_id, p.size, t.source_size, t.target, p.pos,
   CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS share,
   CAST({number.format(f"concat_ws(':', '{seed}', p.source)")} % 1048576 AS DOUBLE) / 1048576 AS off
@@ -70,8 +71,8 @@ e AS (SELECT 'hosts' AS l, host AS k, 'block' AS a, n % 300 AS d FROM h WHERE n
 o AS (SELECT l, k, d, max(a) AS a FROM e GROUP BY l, k, d),
 v AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS since, TIMESTAMP '2024-01-01' + to_days(CAST(lead(d) OVER (PARTITION BY l, k ORDER BY d) AS INTEGER)) AS until FROM o),
 x AS (SELECT page_id, url, t, array_to_string(list_slice(string_split(host, '.'), len(string_split(host, '.')) - g + 1, len(string_split(host, '.'))), '.') AS k, g AS depth
-    FROM c, LATERAL (SELECT unnest(range(1, least(len(string_split(host, '.')), 8) + 1)) AS g) q WHERE host <> ''
-  UNION ALL SELECT page_id, url, t, host || '/' || array_to_string(parts[1:g], '/'), g + 100 FROM c, LATERAL (SELECT unnest(range(1, least(len(parts), 2) + 1)) AS g) q WHERE host <> ''),
+    FROM c, LATERAL (SELECT unnest(range(1, len(string_split(host, '.')) + 1)) AS g) q WHERE host <> ''
+  UNION ALL SELECT page_id, url, t, host || '/' || array_to_string(parts[1:g], '/'), g + 16777216 FROM c, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS g) q WHERE host <> ''),
 m AS (SELECT x.page_id, x.depth, v.a, v.l, v.k FROM x JOIN v ON x.k = v.k AND x.t >= v.since AND (v.until IS NULL OR x.t < v.until) WHERE v.a <> 'remove'),
 b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY depth DESC, a <> 'block', l, k) AS r FROM m)
 SELECT c.page_id, c.t AS fetched_at, coalesce(b.a = 'block', FALSE) AS blocked, b.l AS by_list, b.k AS by_key FROM c LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (page_id)"""
