@@ -1,12 +1,16 @@
 """Benchmark decontamination in DataFrame functions only: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-1. Five-word shingles of every document meet the benchmark's shingles. A window can only be as similar to
-   an item as the item's shingles in it weigh, so windows that hold too little of the item are left out.
-2. The other windows, as long as their item, get a 64-bit SimHash of their weighted shingles.
+1. Windows are as long as some item (in five-word shingles). Where a window can't reach the threshold with
+   any item of its length, because the shingles that items of that length hold weigh too little in it, it
+   gets no fingerprint: a running sum over the places of such shingles tells. No item is chosen here.
+2. The other windows get a 64-bit SimHash of their weighted shingles.
 3. Fingerprints are cut in RADIUS + 1 blocks; two within RADIUS bits agree in one block at least, so an
-   equality join on (item, block, value) finds all of them.
+   equality join on (length, block, value) finds all items within RADIUS bits of a window.
 4. Candidates are confirmed by exact weighted Jaccard similarity of their shingle sets.
 
+At a similarity of 0.8 two fingerprints differ by about 10 +- 3 of 64 bits, so a window at just that similarity
+lies beyond the radius about once in a hundred cases, one at 0.9 never in practice.
+
 Weights are whole numbers, rarer shingles of the benchmark weighing more, so sums don't depend on order.
 """
 
@@ -14,14 +18,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import cut, small
+from quern.llm.shared import cut, row_key, small
 
 SHINGLE = 5
 PERCENT = 80
-RADIUS = 20
+RADIUS = 16
 _BITS = 64
 
 
@@ -72,31 +76,35 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFr
     """(k, item_id, similarity) for rows (k, text) that hold a window at least `percent` similar to an item."""
     indexed, shingles, other = index_items(items)
     n_shingles = shingles.count()
-    facts = indexed.select("item_id", "size", "whole")
-    known = shingles.join(F.broadcast(facts) if n_shingles <= 1_000_000 else facts, "item_id")
+    sizes = indexed.groupBy("size").agg(F.min("whole").alias("least"))
+    known = shingles.join(indexed.select("item_id", "size"), "item_id").select("h", "size", "wt").distinct().join(sizes, "size")
     parsed = docs.withColumn("_w", tokens("text")).select("k", shingle_hashes(F.col("_w")).alias("sh"))
     # the outer form: Spark would repeat the whole of `sh` in a filter ahead of the plain one
     placed = parsed.select("k", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("pos", "h"))
-    hits = placed.join(small(known, n_shingles), "h").select("k", "n", "pos", "item_id", "wt", "size", "whole")
+    hits = placed.join(small(known, n_shingles), "h").select("k", "n", "pos", "size", "wt", "least")
+    # what windows hold changes at two starts for each hit; between changes it stays
     last = F.greatest(F.col("n") - F.col("size"), F.lit(0))
-    starts = F.sequence(F.least(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)), last), F.least(F.col("pos"), last))
-    windows = hits.withColumn("at", F.explode(starts)).groupBy("k", "item_id", "at", "size", "whole").agg(F.sum("wt").alias("held"))
-    windows = cut(windows.filter(F.col("held") * 100 >= F.col("whole") * percent).drop("held"), "windows")
+    comes, goes = F.least(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)), last), F.least(F.col("pos"), last) + 1
+    steps = hits.select("k", "size", "least", F.explode(F.array(F.struct(comes.alias("at"), F.col("wt").alias("d")), F.struct(goes.alias("at"), (-F.col("wt")).alias("d")))).alias("s"))
+    steps = steps.groupBy("k", "size", "least", F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d"))
+    by = Window.partitionBy("k", "size").orderBy("at")
+    runs = steps.withColumn("held", F.sum("d").over(by)).withColumn("to", F.lead("at").over(by))
+    runs = runs.filter(F.col("held") * 100 >= F.col("least") * percent)
+    windows = cut(runs.select("k", "size", F.explode(F.sequence(F.col("at"), F.col("to") - 1)).alias("at")), "windows")
     wanted = windows.select("k").distinct()
-    again = parsed.join(small(wanted, wanted.count()), "k", "left_semi")
-    inside = windows.join(again, "k").select("k", "item_id", "at", "whole", F.explode_outer(F.array_distinct(F.slice("sh", F.col("at") + 1, F.col("size")))).alias("h"))
+    again = docs.join(small(wanted, wanted.count()), "k", "left_semi").dropDuplicates(["k"])  # only these are parsed again
+    again = again.withColumn("_w", tokens("text")).select("k", shingle_hashes(F.col("_w")).alias("sh"))
+    inside = windows.join(again, "k").select("k", "size", "at", F.explode_outer(F.array_distinct(F.slice("sh", F.col("at") + 1, F.col("size")))).alias("h"))
     weights = shingles.select("h", "wt").distinct()
-    weighed = inside.join(small(weights, n_shingles), "h", "left").withColumn("wt", F.coalesce("wt", F.lit(other)))
-    own = shingles.select(F.col("h").alias("_h"), F.col("item_id").alias("_i"))
-    weighed = weighed.join(small(own, n_shingles), (F.col("h") == F.col("_h")) & (F.col("item_id") == F.col("_i")), "left")
-    prints = _fingerprint(weighed, ["k", "item_id", "at", "whole"], F.sum("wt").alias("held"), F.sum(F.when(F.col("_h").isNotNull(), F.col("wt")).otherwise(0)).alias("inter"))
-    blocks = prints.withColumn("_b", F.explode(_blocks("print")))
-    theirs = indexed.select(F.col("item_id").alias("_i"), F.col("print").alias("_p")).withColumn("_c", F.explode(_blocks("_p")))
-    near = blocks.join(small(theirs, indexed.count() * (RADIUS + 1)), (F.col("item_id") == F.col("_i")) & (F.col("_b.b") == F.col("_c.b")) & (F.col("_b.v") == F.col("_c.v")))
-    near = near.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("_p"))) <= RADIUS)
+    inside = cut(inside.join(small(weights, n_shingles), "h", "left").withColumn("wt", F.coalesce("wt", F.lit(other))), "window-shingles")
+    prints = _fingerprint(inside, ["k", "size", "at"], F.sum("wt").alias("held")).withColumn("_b", F.explode(_blocks("print")))
+    theirs = indexed.select("item_id", F.col("size").alias("_s"), "whole", F.col("print").alias("_p")).withColumn("_c", F.explode(_blocks("_p")))
+    near = prints.join(small(theirs, indexed.count() * (RADIUS + 1)), (F.col("size") == F.col("_s")) & (F.col("_b.b") == F.col("_c.b")) & (F.col("_b.v") == F.col("_c.v")))
+    near = near.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("_p"))) <= RADIUS).select("k", "size", "at", "held", "item_id", "whole").distinct()
+    both = near.join(small(shingles.select("item_id", "h"), n_shingles), "item_id").join(inside, ["k", "size", "at", "h"])
+    found = both.groupBy("k", "at", "item_id", "held", "whole").agg(F.sum("wt").alias("inter"))
     union = F.col("whole") + F.col("held") - F.col("inter")
-    sure = near.filter(F.col("inter") * 100 >= union * percent)
-    return sure.groupBy("k", "item_id").agg(F.max(F.col("inter") / union).alias("similarity"))
+    return found.filter(F.col("inter") * 100 >= union * percent).groupBy("k", "item_id").agg(F.max(F.col("inter") / union).alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -108,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
     Columns named like those added are replaced.
     """
     docs = docs.drop("contaminated", "item_ids", "similarity")
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_k", row_key("doc_id", "text"))
     found = matches(keyed.select(F.col("_k").alias("k"), "text"), items, percent)
     per = cut(found.groupBy(F.col("k").alias("_found")).agg(F.sort_array(F.collect_set("item_id")).alias("_items"), F.max("similarity").alias("_most")), "contaminated")
     joined = keyed.join(small(per, per.count()), F.col("_k") == F.col("_found"), "left")

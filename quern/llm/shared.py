@@ -25,6 +25,8 @@ def scratch_root(spark: SparkSession) -> str:
     if app not in _scratch:
         shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not shared:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="quern-")  # unset: a local session, as in tests
             spark.sparkContext.setCheckpointDir(shared)
         root = f"{shared.rstrip('/')}/quern-{uuid.uuid4().hex}"
@@ -51,11 +53,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame | None) -> None:
+    """Delete what `cut` wrote for `df`, once nothing that is still to run reads it."""
+    if df is not None:
+        for name in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if its counted rows are within `limit`; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits that name a row by its content: two rows of 10**12 agree by chance once in 10**14 tables."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *reversed(columns)).alias("b"))
+
+
 def words_of(text: str | Column) -> Column:
     """The words of a text; none for null."""
     text = F.col(text) if isinstance(text, str) else text

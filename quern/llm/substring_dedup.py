@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import words as W
 from quern.llm.fm_index import FMIndex
-from quern.llm.shared import cut, small
+from quern.llm.shared import cut, row_key, small
 
 WINDOW = 35
 GRAM = 8
@@ -98,7 +98,8 @@ def _anchor_counts(window: int, by_document: bool):
     return run
 
 
-OCCURRENCES = "anchor long, seg long, k long, start int, n_words int, words string"
+KEY = "struct<a:bigint,b:bigint>"
+OCCURRENCES = f"anchor long, seg long, k {KEY}, start int, n_words int, words string"
 
 
 def _occurrences(window: int, known):
@@ -204,7 +205,7 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
         source = keyed
     else:
         known = None
-        own = keyed.mapInArrow(_anchor_counts(window, True), "k long, anchor long").distinct()
+        own = keyed.mapInArrow(_anchor_counts(window, True), f"k {KEY}, anchor long").distinct()
         own = own.join(repeated, "anchor").groupBy("k").agg(F.collect_list("anchor").alias("anchors"))
         source = keyed.join(own, "k")
     found = cut(source.mapInArrow(_occurrences(window, known), OCCURRENCES), "segments")
@@ -212,10 +213,9 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     distinct = cut(distinct, "distinct-segments")
     per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum("n").alias("all"), F.sum("n_words").alias("w"))
     # an anchor whose windows' segments all occur once and alone has nothing repeated
-    per_anchor = cut(per_anchor.filter("all > 1"), "per-anchor")
+    per_anchor = per_anchor.filter("all > 1")
     hot = per_anchor.filter(F.col("segs") > ANCHOR_SEGMENTS).select("anchor")
-    n_hot = hot.count()
-    total = per_anchor.agg(F.sum("w")).first()[0] or 0
+    n_hot, total = per_anchor.agg(F.count_if(F.col("segs") > ANCHOR_SEGMENTS), F.coalesce(F.sum("w"), F.lit(0))).first()
     shards = max(1, -(-int(total) // SHARD_WORDS))
     result = "anchor long, seg long, lo int, hi int"
     cold = distinct.select("anchor", "seg", "n", "words").join(small(hot, n_hot), "anchor", "left_anti") if n_hot else distinct.select("anchor", "seg", "n", "words")
@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     what they share. Columns named like those added are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    keyed = docs.withColumn("_k", F.xxhash64(*[F.col(c) for c in ("doc_id", text) if c in docs.columns]))
+    keyed = docs.withColumn("_k", row_key(*[c for c in ("doc_id", text) if c in docs.columns]))
     spans = repeated_spans(keyed.select(F.col("_k").alias("k"), F.col(text).cast("string").alias("text")), window)
     spans = spans.distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     joined = keyed.join(spans.withColumnRenamed("k", "_k"), "_k", "left")

@@ -19,6 +19,7 @@ def test_quality_measures_equal_brute_force(spark):
 def test_policies_and_ablation_read_the_ledger(spark):
     rows = quality_rules.ledger(spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")).cache()
     kept = {r.doc_id for r in quality_rules.apply_policy(rows, "base-1").filter("kept").collect()}
+    assert kept == {r.doc_id for r in quality_rules.passing(rows, "base-1").collect()}
     assert kept == {k for k, t in enumerate(TEXTS) if (m := brute.quality(t))[0] >= 20 and 100 * m[4] <= 30 * m[0]}
     parts = {r.rule: (r.failed, r.only_failure) for r in quality_rules.ablation(rows, "base-1").collect()}
     assert parts["few_words"][0] == sum(brute.quality(t)[0] < 20 for t in TEXTS)
@@ -42,6 +43,8 @@ def test_mixing_meets_its_targets(spark):
     assert again == sorted(map(str, [r for r in mixing.mix(docs).select("doc_id", "copies").collect()]))
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.emit(docs).count() == sum(r.copies for r in found)
+    nulls = mixing.mix(spark.createDataFrame([(None, f"w{k} " * (k % 9), "a") for k in range(400)], "doc_id long, text string, source string")).collect()
+    assert abs(sum(r["size"] * r.copies for r in nulls) - nulls[0].target) <= 20
 
 
 def test_targets_stop_at_the_cap_and_reshare(spark):
@@ -70,6 +73,38 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminate(rows.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repeated_and_long_rows(spark):
+    rng = random.Random(15)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    items = [(1, say(30)), (1, say(30)), (2, say(1500)), (3, "a b c d e f g " * 6), (None, say(20))]
+    long = items[2][1].split()
+    long[700:740] = ["other"] * 40
+    docs = [(1, say(9) + " " + items[0][1]), (1, say(9) + " " + items[0][1]), (2, say(4000) + " " + " ".join(long)), (3, say(40) + " " + items[3][1] + " " + say(8)), (None, items[4][1]), (5, say(50)), (None, None)]
+    docs[1] = docs[0]
+    found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[:1] + items[2:], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, tuple(r.item_ids)) for r in found) == [(0, ()), (0, ()), (1, (1,)), (1, (1,)), (2, (2,)), (3, (3,)), (5, ())]
+
+
+def test_fingerprints_find_what_an_exact_join_finds(spark):
+    """Recall of the radius: windows at similarities from 0.8 up, against all windows compared exactly."""
+    rng = random.Random(16)
+    say = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    items = [(k, say(rng.randint(25, 50))) for k in range(40)]
+    docs = []
+    for k in range(240):
+        w = list(items[k % 40][1])
+        w[: rng.choice([0, 1, 2, 3])] = say(2)
+        if rng.random() < 0.6:
+            w[-1] = "zz"
+        docs.append((k, " ".join(say(20) + w + say(20))))
+    items = [(i, " ".join(w)) for i, w in items]
+    want = brute.leaks(docs, items)
+    rows = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {r.doc_id: set(r.item_ids) for r in rows.collect() if r.contaminated}
+    assert len(want) > 120 and all(found[i] <= want[i] for i in found)
+    assert sum(len(x) for x in found.values()) >= 0.98 * sum(len(x) for x in want.values())
+
+
 def test_blocks_find_every_fingerprint_in_the_radius(spark):
     rng = random.Random(6)
     pairs = []
@@ -119,4 +154,7 @@ def test_url_filters_meet_hosts_and_paths_of_any_depth(spark):
     found = [(r.by_key, r.blocked) for r in url_filters.judge(rows, entries).orderBy("k").collect()]
     assert found == [(key, action.get(key) == "block") for _, key in asked]
     keys = [[k.key for k in r[0]] for r in rows.orderBy("k").select(url_filters.keys_of(F.col("url"))).collect()]
+    odd = spark.createDataFrame([(k, u) for k, u in enumerate(["http://10.0.0.1:80/a", "http://[::1]:8080/p", "http://u@10.0.0.1/", "http://10.0.0.1/a"])], "k int, url string").withColumn("fetched_at", F.timestamp_seconds(F.lit(9)))
+    hosts = spark.createDataFrame([("l", "10.0.0.1", "block"), ("l", "[::1]", "block")], "list string, key string, action string").withColumn("at", F.timestamp_seconds(F.lit(0)))
+    assert [r.by_key for r in url_filters.judge(odd, hosts).orderBy("k").collect()] == ["10.0.0.1", "[::1]", "10.0.0.1", "10.0.0.1"]
     assert len(keys[1]) == 12 and keys[5][-1] == "x.com/1/2/3/4/5/6/7" and keys[9] == []
