@@ -4,10 +4,12 @@
    of minima, and one byte of each minimum as its signature.
 2. Documents with equal sets form a class; only the least id of a class goes on.
 3. Representatives that share a band key form a bucket. The member whose band keys are the most common
-   is the bucket's pivot, and each other member is paired with it: never all pairs of a bucket.
+   (the least id of several) is the bucket's pivot, and each other member is paired with it: never all
+   pairs of a bucket.
 4. A member whose signature agrees too little with the pivot's is compared by signature with all other
    members of the pivot's group, in blocks of bounded size, and is dropped only if it is like none of
-   them. The rest are confirmed on full shingle sets.
+   them. The rest are confirmed on full shingle sets: a block of a group's members is read as a stream
+   behind one copy of the pivot's set, so a task holds that set and a batch.
    For a confirmed pivot group the members' sets are kept as differences from the pivot's set, and in
    blocks of bounded size the members that the pivot is not linked with are compared with the others.
    So a link between two members that both miss the pivot is found as well.
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
-from quern.llm.shared import cut, small, with_group_min
+from quern.llm.shared import cut, forget, small, with_group_min
 
 ROWS = 6
 BANDS = 48
@@ -35,8 +37,9 @@ BANDS = 48
 FLOOR = 0.58
 #: Ids of documents whose sets are wanted that may be broadcast; beyond it the texts are joined by a shuffle.
 WANTED_ROWS = 1_000_000
-#: Members of a pivot group that one task compares with one another.
-BLOCK = 2048
+#: Members of a pivot group that one task compares with one another, and bytes of what it holds of them.
+BLOCK = 512
+BLOCK_BYTES = 32 << 20
 
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -97,8 +100,9 @@ def _sets(n: int):
         for batch in batches:
             for a, b, buf, offs in W.slices(batch.column(1)):
                 words = W.cut(buf, offs, lower=True)
-                sets = [shingles(words.hashes[words.first[i] : words.first[i + 1]], n).tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "members"])
+                sets = [shingles(words.hashes[words.first[i] : words.first[i + 1]], n) for i in range(b - a)]
+                digests = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "members"])
 
     return run
 
@@ -109,28 +113,33 @@ def _similar(percent: int):
 
 
 def _confirm(percent: int):
-    """(pivot, id, pivot's set, set) to (pivot, id, linked, size, shared, extra): shared as bits over the pivot's set, extra the other shingles."""
+    """Rows (pivot, block, id, set), a block's pivot first, to (pivot, id, linked, size, shared, extra) of its members.
+
+    shared holds bits over the pivot's set, extra the other shingles. Only the pivot's set outlives a batch.
+    """
     linked = _similar(percent)
+    schema = pa.schema([("pivot", pa.int64()), ("id", pa.int64()), ("linked", pa.bool_()), ("size", pa.int64()), ("shared", pa.binary()), ("extra", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("pivot", pa.int64()), ("id", pa.int64()), ("linked", pa.bool_()), ("size", pa.int64()), ("shared", pa.binary()), ("extra", pa.binary())])
+        held, p = None, np.zeros(0, np.uint64)
         for batch in batches:
-            pivots, ids = batch.column(0), batch.column(1)
+            pivots, blocks, ids = (batch.column(k).to_pylist() for k in range(3))
             for at in range(0, batch.num_rows, 512):
-                to = min(at + 512, batch.num_rows)
-                out: list[list] = [[], [], [], []]
-                for i in range(at, to):
-                    p = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+                out: list[list] = [[], [], [], [], [], []]
+                for i in range(at, min(at + 512, batch.num_rows)):
                     x = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                    if ids[i] == pivots[i]:
+                        held, p = (pivots[i], blocks[i]), x.copy()
+                        continue
+                    if held != (pivots[i], blocks[i]):
+                        raise ValueError("a block's pivot has to come first")
                     place = np.minimum(np.searchsorted(p, x), len(p) - 1)
                     hit = p[place] == x
                     bits = np.zeros(len(p), bool)
                     bits[place[hit]] = True
-                    out[0].append(bool(linked(int(hit.sum()), len(p), len(x))))
-                    out[1].append(len(x))
-                    out[2].append(np.packbits(bits).tobytes())
-                    out[3].append(x[~hit].tobytes())
-                yield pa.RecordBatch.from_arrays([pivots.slice(at, to - at), ids.slice(at, to - at), pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], schema=schema)
+                    for column, value in zip(out, (pivots[i], ids[i], bool(linked(int(hit.sum()), len(p), len(x))), len(x), np.packbits(bits).tobytes(), x[~hit].tobytes()), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
@@ -179,20 +188,34 @@ def _alike(group: pd.DataFrame) -> pd.DataFrame:
     return group.iloc[live][["pivot", "id"]]
 
 
-def _dealt(rows: DataFrame, reached: str, name: str) -> DataFrame:
-    """Rows of pivot groups in blocks (pivot, r, c) of bounded size in which each row not `reached` meets all others once."""
-    groups = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col(reached), 1).otherwise(0)).alias("free")).filter("free > 0 AND n > 1")
-    groups = cut(groups.select("pivot", F.ceil(F.col("free") / BLOCK).cast("int").alias("fb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), name)
+def _dealt(rows: DataFrame, reached: str, held: Column) -> DataFrame:
+    """Rows of pivot groups in blocks (pivot, r, c) of bounded size in which each row not `reached` meets all others once.
+
+    A block has about BLOCK rows of either kind, or fewer if they hold more than BLOCK_BYTES.
+    """
+    free = ~F.col(reached)
+    blocks = lambda n, of: F.ceil(F.greatest(n / BLOCK, of / BLOCK_BYTES)).cast("int")
+    groups = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(held).alias("of"), F.count_if(free).alias("_n"), F.sum(F.when(free, held).otherwise(0)).alias("_of"))
+    groups = groups.filter("_n > 0 AND n > 1").select("pivot", blocks(F.col("_n"), F.col("_of")).alias("fb"), blocks(F.col("n"), F.col("of")).alias("nb"))
     dealt = rows.join(groups, "pivot")
     row = F.pmod(F.xxhash64("id", F.lit(1)), F.col("fb")).cast("int")
     col = F.pmod(F.xxhash64("id", F.lit(2)), F.col("nb")).cast("int")
-    asked = dealt.filter(~F.col(reached)).withColumn("r", row).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    asked = dealt.filter(free).withColumn("r", row).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     # a member is asked about in one row of blocks and stands in one column of them for the others to meet
     others = dealt.withColumn("c", col).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("fb") - 1)))
     others = others.filter(F.col(reached) | (F.col("r") != row))
     return asked.select(*rows.columns, "r", "c").unionByName(others.select(*rows.columns, "r", "c"))
 
 
+def _streams(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, id) pairs to (pivot, block, id, members), dealt by block, each block's pivot before its members."""
+    heavy = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    dealt = pairs.join(small(heavy, heavy.count()), "pivot", "left").select("pivot", F.pmod(F.xxhash64("id"), F.coalesce("nb", F.lit(1))).cast("int").alias("block"), "id")
+    every = dealt.unionByName(dealt.select("pivot", "block").distinct().withColumn("id", F.col("pivot")))
+    rows = every.join(sets, "id").select("pivot", "block", "id", "members")
+    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.col("id") != F.col("pivot"))
+
+
 def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles and class representative `rep` of each row, links between representatives a > b)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -201,14 +224,15 @@ def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     whole_set = ["n_shingles", "digest_a", "digest_b"]
     classes = cut(with_group_min(usable.select("doc_id", *whole_set), whole_set, "doc_id", "rep"), "classes")
     reps = classes.filter("doc_id = rep").select("doc_id", *whole_set)
-    chosen = cut(usable.join(reps, ["doc_id", *whole_set], "left_semi").dropDuplicates(["doc_id"]), "representatives")
+    repeated = not usable.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    chosen = usable.join(reps, ["doc_id", *whole_set], "left_semi")
+    chosen = cut(chosen.dropDuplicates(["doc_id"]) if repeated else chosen, "representatives")
 
     keyed = chosen.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    buckets = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "buckets")
+    buckets = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     members = cut(keyed.join(buckets, "bucket"), "members")
     common = members.groupBy("id").agg(F.sum("held").alias("common"))
-    ranked = members.join(common, "id")
-    pivots = cut(ranked.groupBy("bucket").agg(F.max_by("id", "common").alias("pivot")), "pivots")
+    pivots = members.join(common, "id").groupBy("bucket").agg(F.max(F.struct("common", (-F.col("id")).alias("id"))).alias("_p")).select("bucket", (-F.col("_p.id")).alias("pivot"))
     pairs = members.join(pivots, "bucket").filter("id <> pivot").select("pivot", "id").distinct()
 
     marks = chosen.select(F.col("doc_id").alias("id"), "signature")
@@ -221,18 +245,18 @@ def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         return pd.Series((x == y).mean(axis=1) >= FLOOR)
 
     met = cut(marked.select("pivot", "id", agree("signature", "mark").alias("near")), "met")
-    blocks = _dealt(met, "near", "missed-groups").join(marks, "id")
+    blocks = _dealt(met, "near", F.lit(ROWS * BANDS)).join(marks, "id")
     alike = blocks.groupBy("pivot", "r", "c").applyInPandas(_alike, "pivot long, id long").distinct()
     likely = cut(met.filter("near").select("pivot", "id").unionByName(alike), "likely")
     wanted = likely.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
-    wanted = cut(wanted, "wanted")
     held = texts.withColumnRenamed("doc_id", "id").join(small(wanted, wanted.count(), WANTED_ROWS), "id", "left_semi")
-    sets = cut(held.mapInArrow(_sets(n), "id long, members binary"), "sets")
-    full = likely.join(sets, "id").select("pivot", "id", F.col("members").alias("own"))
-    full = full.join(sets.select(F.col("id").alias("pivot"), F.col("members").alias("its")), "pivot").select("pivot", "id", "its", "own")
-    stars = cut(full.mapInArrow(_confirm(percent), "pivot long, id long, linked boolean, size long, shared binary, extra binary"), "stars")
+    sets = held.mapInArrow(_sets(n), "id long, digest long, members binary")
+    if repeated:  # a row that repeats an id may have another set; the one that was chosen stands for the id
+        sets = sets.join(chosen.select(F.col("doc_id").alias("id"), F.col("digest_a").alias("digest")), ["id", "digest"], "left_semi").dropDuplicates(["id"])
+    sets = cut(sets.drop("digest"), "sets")
+    stars = cut(_streams(likely, sets).mapInArrow(_confirm(percent), "pivot long, id long, linked boolean, size long, shared binary, extra binary"), "stars")
 
-    blocks = _dealt(stars, "linked", "open-groups")
+    blocks = _dealt(stars, "linked", F.octet_length("shared") + F.octet_length("extra"))
     more = blocks.groupBy("pivot", "r", "c").applyInPandas(_compare(percent), "a long, b long")
     found = stars.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(more)
     found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -246,20 +270,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Every round is written to the shared folder. Ids that no link touches are not returned. A node with
     any number of neighbours is safe: minima are pre-aggregated, and the joins on a node split when skewed.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    seen = written = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = cut(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small_star = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("x"), "m").select(F.col("x").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        then = cut(small_star, "small-star")
-        was, seen = seen, then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = cut(small_star, "stars-of-round")
+        was, seen = seen, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == seen:
-            return then.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        now = then
+            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        forget(written)
+        written = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -270,7 +294,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sequence where it has fewer words. Documents are linked when 100 * intersection >= percent * union;
     component_id is the least doc_id reachable. A null or empty text, or one without words, has an
     empty set, is linked with nothing and is kept. A row with a null doc_id has a null component_id and
-    is kept. Repeated rows with one id are one document and stay so many rows.
+    is kept. Repeated rows with one id are one document and stay so many rows; rows with one id and
+    different texts keep their own sizes and classes, and one of them stands for the id where it is compared.
     """
     rows, found = links(docs, n, percent)
     roots = components(found)

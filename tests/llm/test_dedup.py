@@ -60,6 +60,29 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (3, 3, True), (4, 4, True), (5, 4, False), (5, 4, False)]
 
 
+def test_a_large_family_in_many_blocks(spark, monkeypatch):
+    """Several thousand near copies, some far from the pivot: every block of a group has the pivot's set first."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    docs = []
+    for k in range(2500):
+        w = list(base)
+        for at in rng.sample(range(60), rng.choice([0, 1, 2, 3, 12])):
+            w[at] = rng.choice(vocabulary)
+        docs.append((k, " ".join(w)))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), 1).collect()}
+    assert found == brute.near(docs, 1) and len({c for _, c in found.values()}) > 10
+
+
+def test_repeated_ids_with_other_texts(spark):
+    long = " ".join(f"v{k}" for k in range(50))
+    rows = [(1, long), (1, "p q r s"), (2, long + " x"), (3, "p q r s"), (3, "p q r s")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(found) == 5 and {r.component_id for r in found if r.doc_id == 3} == {1}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     found = {r.id: r.root for r in near_dedup.components(edges).collect()}
