@@ -16,8 +16,7 @@ from quern.session import table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current quality policy."""
-    rows = quality_rules.apply_policy(quality_rules.ledger(docs), "web-1", "_passes")
-    return rows.filter("_passes").select(*docs.columns)
+    return quality_rules.passing(quality_rules.ledger(docs), "web-1").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
