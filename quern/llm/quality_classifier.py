@@ -1,12 +1,12 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view has a logistic model of its own. In every round each model labels the rows of an unlabelled pool
-that it is surest of, and those pseudo-labels go to the other view's training rows. In the end each view
-is calibrated on labelled rows that neither was fitted on, and a document's score combines the calibrated
-log-odds of both views, weighted by how well each does there.
+Each view has a logistic model of its own. In every round both models score all documents; the TAUGHT rows
+that a model is surest of, of either label, go with that label to the other view's training rows. In the end
+each view is calibrated on labelled rows that neither was fitted on, and a document's score combines the
+calibrated log-odds of both views, weighted by how well each does there.
 
-The models are fitted on at most SAMPLE labelled rows and a pool of at most POOL unlabelled ones, both by
-a hash of the id; every document is scored, on its whole text.
+The models are fitted on at most SAMPLE labelled rows, by a hash of the id, and on those pseudo-labelled rows;
+the pool that pseudo-labels come from is every document, and every document is scored, on its whole text.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from quern.llm import words as W
 from quern.llm.shared import cut
 
 SAMPLE = 8_000
-POOL = 16_000
-ROUNDS = 4
-#: Rows that each view labels for the other in a round, as a share of the pool, and how sure it has to be.
-SHARE = 0.05
+ROUNDS = 2
+#: Rows of a label that each view labels for the other in a round, and how sure it has to be.
+TAUGHT = 400
 SURE = 0.9
+#: Bins of hashed words in the text view; classes of line counts and of sizes in the metadata view.
+WORD_BINS = 256
+LINES, SIZES = 10, 20
 SOURCES = 64
 LANGS = 16
 
@@ -43,7 +45,7 @@ CLASSES = 6 + len(_MARKS)
 
 
 def text_view(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Shares of byte classes and their square roots, and sizes and repeats of words."""
+    """Shares of byte classes and of hashed words, square roots of them, and sizes and repeats of words."""
     n = len(offs) - 1
     size = np.maximum(np.diff(offs), 1)
     owner = np.repeat(np.arange(n), np.diff(offs))
@@ -59,7 +61,8 @@ def text_view(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     distinct = np.bincount(d[fresh], minlength=n) / np.maximum(count, 1)
     marks = share[:, 6:].sum(axis=1, keepdims=True)
     rest = np.stack((length / 10, np.log1p(length), distinct, count == 0, np.log1p(count) / 5), axis=1)
-    return np.concatenate((share, np.sqrt(share), marks, np.sqrt(marks), rest), axis=1)
+    bins = np.bincount(doc * WORD_BINS + X.terms(words.hashes, WORD_BINS), minlength=n * WORD_BINS).reshape(n, WORD_BINS) / np.maximum(count, 1)[:, None]
+    return np.concatenate((share, np.sqrt(share), marks, np.sqrt(marks), rest, np.sqrt(bins)), axis=1)
 
 
 def _slot(value: str | None, slots: int) -> int:
@@ -67,9 +70,9 @@ def _slot(value: str | None, slots: int) -> int:
 
 
 def meta_view(lang: list, source: list, n_chars: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Language, source, size and layout; nulls have a slot, and a size of 0."""
+    """Language, source, size and layout, and classes of line counts by classes of sizes; nulls have a slot, and a size of 0."""
     n = len(lang)
-    out = np.zeros((n, LANGS + SOURCES + 5))
+    out = np.zeros((n, LANGS + SOURCES + 5 + LINES + SIZES + LINES * SIZES))
     out[np.arange(n), [_slot(x, LANGS) for x in lang]] = 1
     out[np.arange(n), [LANGS + _slot(x, SOURCES) for x in source]] = 1
     size, at = np.log1p(np.maximum(n_chars, 0)), LANGS + SOURCES
@@ -78,6 +81,10 @@ def meta_view(lang: list, source: list, n_chars: np.ndarray, lines: np.ndarray)
     out[:, at + 2] = np.log1p(lines) / 4
     out[:, at + 3] = np.log1p(np.maximum(n_chars, 0) / np.maximum(lines, 1)) / 6
     out[:, at + 4] = size < np.log1p(100)
+    line = np.clip(lines, 0, LINES - 1).astype(np.int64)
+    large = np.clip(np.log2(np.maximum(n_chars, 0) + 1), 0, SIZES - 1).astype(np.int64)
+    for slot in (line, LINES + large, LINES + SIZES + line * SIZES + large):
+        out[np.arange(n), at + 5 + slot] = 1
     return out
 
 
@@ -126,8 +133,11 @@ class Views:
         return X.logistic(both), [X.logistic(o) for o in odds]
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> Views:
-    """Fit both views on three quarters of the labelled rows, let them teach each other, calibrate on the last quarter."""
+def co_train(views: list[np.ndarray], y: np.ndarray, surest, rounds: int = ROUNDS) -> Views:
+    """Fit both views on three quarters of the labelled rows, let them teach each other, calibrate on the last quarter.
+
+    surest(models) gives for each view the rows (views, labels) that its model is surest of and that it didn't give before.
+    """
     n = len(y)
     last = np.arange(n) % 4 == 3
     base = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
@@ -135,22 +145,12 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
         flat = [Logistic(np.zeros(v.shape[1]), np.ones(v.shape[1]), np.zeros(v.shape[1] + 1)) for v in views]
         return Views(flat, [(0.0, base)] * 2, [0.5, 0.5], base)
     train = [[v[~last], y[~last].astype(float), np.ones((~last).sum())] for v in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]  # rows that view may still be taught
     models = [fit(*t) for t in train]
     for _ in range(rounds):
-        taught: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        for v in (0, 1):
-            other = 1 - v
-            p = X.logistic(models[v].raw(pool[v])) if len(pool[v]) else np.zeros(0)
-            most = max(1, int(SHARE * len(p)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                pick = order[(sure[order] >= SURE) & free[other][order]][: most // 2]
-                free[other][pick] = False
-                taught[other].append((pick, np.full(len(pick), label)))
+        given = surest(models)
         for v in (0, 1):
-            for pick, label in taught[v]:
-                train[v] = [np.concatenate(x) for x in zip(train[v], (pool[v][pick], label, np.full(len(pick), 0.3)), strict=True)]
+            rows, label = given[1 - v]
+            train[v] = [np.concatenate(x) for x in zip(train[v], (rows[v], label, np.full(len(label), 0.3)), strict=True)]
         models = [fit(*t) for t in train]
     scales, gains = [], []
     for m, v in zip(models, views, strict=True):
@@ -166,7 +166,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
     return Views(models, scales, [g / whole for g in gains], base)
 
 
-WIDTHS = (2 * CLASSES + 7, LANGS + SOURCES + 5)
+WIDTHS = (2 * CLASSES + 7 + WORD_BINS, LANGS + SOURCES + 5 + LINES + SIZES + LINES * SIZES)
 
 
 def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -181,41 +181,75 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, views in _views(batch):
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel())) for v in views]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["label", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(6).slice(a, b - a), *lists], names=["label", "place", "text_view", "meta_view"])
 
 
 def _prepared(docs: DataFrame, first: str) -> DataFrame:
     text = F.col("text").cast("string")
     get = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return docs.select(F.col(first), text.alias("text"), get("lang", "string").alias("lang"), get("source", "string").alias("source"), get("n_chars", "double").alias("n_chars"), lines.cast("double").alias("lines"))
+    return docs.select(F.col(first), text.alias("text"), get("lang", "string").alias("lang"), get("source", "string").alias("source"), get("n_chars", "double").alias("n_chars"), lines.cast("double").alias("lines"), F.xxhash64("doc_id", text).alias("place"))
 
 
-def _matrix(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    held = cut(rows, "views").toArrow().combine_chunks()
+def _matrix(rows: DataFrame, name: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels and views of rows (prepared, with a label first), in an order that doesn't depend on how they come in."""
+    schema = "label double, place long, text_view array<double>, meta_view array<double>"
+    held = cut(_prepared(rows, "label").mapInArrow(_vectors, schema), name).toArrow().combine_chunks()
     label = np.nan_to_num(held.column("label").to_numpy(zero_copy_only=False).astype(float))
     views = [held.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), w) if len(label) else np.zeros((0, w)) for c, w in zip(("text_view", "meta_view"), WIDTHS, strict=True)]
-    order = np.lexsort((*(v[:, k] for v in views for k in range(3)), label)) if len(label) else np.zeros(0, np.int64)
-    rng = np.random.default_rng(5)
-    order = order[rng.permutation(len(order))]  # rows come in any order; sorted and shuffled they don't
+    order = np.lexsort((label, held.column("place").to_numpy())) if len(label) else np.zeros(0, np.int64)
     return label[order], [v[order] for v in views]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Views:
-    """Fit on labelled rows of `docs` (doc_id, text, lang, source, n_chars); labels has doc_id and quality."""
-    marked = labels.select("doc_id", F.col("quality").cast("double").alias("label")).dropna().dropDuplicates(["doc_id"])
+class Pool:
+    """All documents as the pool: scores every one of them in each round and keeps only what the surest need."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.docs = docs.filter("doc_id IS NOT NULL")
+        self.before: DataFrame | None = None
+
+    def surest(self, models: list[Logistic]) -> list[tuple[list[np.ndarray], np.ndarray]]:
+        held = self.docs.sparkSession.sparkContext.broadcast(models)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, views in _views(batch):
+                    p = [X.logistic(m.raw(v)) for m, v in zip(held.value, views, strict=True)]
+                    sure = np.flatnonzero(np.max([np.maximum(x, 1 - x) for x in p], axis=0) >= SURE)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(sure)), *(pa.array(x[sure]) for x in p)], names=["doc_id", "p0", "p1"])
+
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        found = cut(_prepared(self.docs, "doc_id").mapInArrow(run, f"doc_id {kind}, p0 double, p1 double"), "sure").dropDuplicates(["doc_id"])
+        if self.before is not None:
+            found = found.join(F.broadcast(self.before), "doc_id", "left_anti")  # at most 4 * TAUGHT ids a round
+        tops = []
+        for v in (0, 1):
+            for label in (0, 1):
+                sure = F.col(f"p{v}") if label else 1 - F.col(f"p{v}")
+                tops.append(found.filter(sure >= SURE).orderBy(F.desc(sure), X.drawn("doc_id"), "doc_id").limit(TAUGHT).select("doc_id", F.lit(2.0 * v + label).alias("label")))
+        taught = cut(tops[0].unionByName(tops[1]).unionByName(tops[2]).unionByName(tops[3]), "taught")
+        ids = taught.select("doc_id").distinct()
+        self.before = ids if self.before is None else self.before.unionByName(ids)
+        code, views = _matrix(self.docs.drop("label").join(F.broadcast(taught), "doc_id"), "taught-views")
+        return [([x[code // 2 == v] for x in views], code[code // 2 == v] % 2) for v in (0, 1)]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Views:
+    """Fit on labelled rows of `docs` (doc_id, text, lang, source, n_chars); labels has doc_id and quality.
+
+    Rows and labels with a null doc_id teach nothing; a repeated id has one of its labels.
+    """
+    marked = labels.select("doc_id", F.col("quality").cast("double").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = F.broadcast(X.bounded_sample(marked, sample))  # about `sample` rows
-    columns = [c for c in docs.columns if c != "label"]
-    own = docs.select(*columns).join(chosen, "doc_id")
-    schema = "label double, text_view array<double>, meta_view array<double>"
-    y, views = _matrix(_prepared(own, "label").mapInArrow(_vectors, schema))
-    rest = X.bounded_sample(docs.select(*columns).withColumn("label", F.lit(0.0)), pool)
-    _, free = _matrix(_prepared(rest, "label").mapInArrow(_vectors, schema))
-    return co_train(views, y, free)
+    y, views = _matrix(docs.drop("label").join(chosen, "doc_id"), "labelled-views")
+    return co_train(views, y, Pool(docs).surest, rounds)
 
 
 def score(docs: DataFrame, model: Views) -> DataFrame:
-    """(doc_id, score, text_score, meta_score) of every row: the chance of good quality; nulls and empty texts too."""
+    """(doc_id, score, text_score, meta_score) of every row: the chance of good quality; nulls and empty texts too.
+
+    Rows are scored one by one: repeated rows score alike, and columns other than those of the views are not read.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
