@@ -20,7 +20,26 @@ def bounded_sample(rows: DataFrame, most: int, by: str = "doc_id") -> DataFrame:
     n = rows.count()
     if n <= most:
         return rows
-    return rows.filter(F.pmod(F.xxhash64(F.col(by), F.lit(11)), F.lit(1 << 20)) < int(most * (1 << 20) / n))
+    return rows.filter(drawn(by) < int(most * (1 << 62) / n))
+
+
+def drawn(by: str) -> Column:
+    """A number from 0 to 2**62 - 1 by a hash of `by`."""
+    return F.pmod(F.xxhash64(F.col(by), F.lit(11)), F.lit(1 << 62))
+
+
+def even_sample(rows: DataFrame, most: int, kind: str, by: str = "doc_id") -> DataFrame:
+    """At most about `most` rows, as many of each `kind` as there are, up to an even share; what small kinds leave is reshared."""
+    counts = sorted((r.n, r.k) for r in rows.groupBy(F.col(kind).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per kind
+    left, bars = most, []
+    for at, (n, k) in enumerate(counts):
+        take = min(n, left / (len(counts) - at))
+        left -= take
+        bars.append((k, int(take / n * (1 << 62))))
+    if not bars:
+        return rows
+    limits = rows.sparkSession.createDataFrame(bars, f"`{kind}` string, _bar long")
+    return rows.join(F.broadcast(limits), kind).filter(drawn(by) <= F.col("_bar")).drop("_bar")
 
 
 def terms(hashes: np.ndarray, bins: int) -> np.ndarray:
