@@ -77,9 +77,44 @@ m AS (SELECT x.page_id, x.depth, v.a, v.l, v.k FROM x JOIN v ON x.k = v.k AND x.
 b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY depth DESC, a <> 'block', l, k) AS r FROM m)
 SELECT c.page_id, c.t AS fetched_at, coalesce(b.a = 'block', FALSE) AS blocked, b.l AS by_list, b.k AS by_key FROM c LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (page_id)"""
 
+UPPER = "".join(map(chr, range(65, 91)))
+
+
+def near_sql(docs: str = "documents", percent: int = 80) -> str:
+    """Two-word sets, links by sets that share one of their rarest shingles (a link has to), and all that is reachable."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS ws FROM {docs}),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+r AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS p FROM e JOIN f USING (g)),
+p AS (SELECT * FROM r WHERE p <= n - (n * {percent} + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}),
+i AS (SELECT x, y, len(a.sh) + len(b.sh) AS both_, len(list_intersect(a.sh, b.sh)) AS inter FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y),
+l AS (SELECT x, y FROM i WHERE 100 * inter >= {percent} * (both_ - inter)),
+u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+t AS (SELECT doc_id AS id, doc_id AS root FROM {docs} UNION SELECT t.id, u.y FROM t JOIN u ON u.x = t.root),
+m AS (SELECT id, min(root) AS component_id FROM t GROUP BY id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m ON m.id = s.doc_id"""
+
+
+def repeats_sql(docs: str = "documents", window: int = 35) -> str:
+    return rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, {WORDS} AS ws FROM {docs}),
+x AS (SELECT rid, p, array_to_string(ws[p:p + {window - 1}], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - {window - 2}, 1))) AS p FROM w) a),
+d AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY g) AS c FROM x) b WHERE c > 1),
+g AS (SELECT DISTINCT rid, unnest(range(p, p + {window})) AS q FROM d),
+k AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+v AS (SELECT rid, unnest(ws) AS v, unnest(range(1, len(ws) + 1)) AS q FROM w),
+o AS (SELECT rid, string_agg(v, ' ' ORDER BY q) AS kept FROM v ANTI JOIN g USING (rid, q) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (rid) LEFT JOIN o USING (rid)"""
+
+
 ORACLES = {
     "op1_warc": WARC,
     "op10_url_filters": URL_FILTERS,
+    "op2_near_dedup": near_sql(),
+    "op3_substring_dedup": repeats_sql(),
     "op4_quality_rules": quality_sql(),
     "op7_mixing": mixing_sql(),
 }

@@ -78,6 +78,34 @@ def test_factorization_machine_learns_a_pair():
     assert score[0] > 0.9 and max(score[1:]) < 0.3
 
 
+def test_factorization_machine_learns_a_pair_of_neutral_terms():
+    """The label is whether exactly one of two terms is there: each is as frequent in both labels."""
+    rng = np.random.default_rng(5)
+    lists, labels = [], []
+    for _ in range(3000):
+        a, b = map(bool, rng.random(2) < 0.5)
+        lists.append(np.unique(np.concatenate((np.array([11] * a + [22] * b, np.int64), rng.integers(100, 400, 5)))))
+        labels.append(float(a != b))
+    model = toxicity.fit(np.array(labels), lists)
+    score = model.score(np.repeat(np.arange(4), [2, 1, 1, 0]), np.array([11, 22, 11, 22]), 4)
+    assert min(score[1], score[2]) > 0.8 and max(score[0], score[3]) < 0.2
+
+
+def test_factorization_machine_learns_rare_terms():
+    """An insult in eight toxic rows of a thousand, and in no others, is below the screen and still learnt."""
+    rng = np.random.default_rng(6)
+    lists, labels = [], []
+    for k in range(4000):
+        bad = k % 4 == 0
+        own = [5000 + k // 32] if bad and k % 32 < 4 else [7 + k % 3] if bad else []
+        own = [6000] if bad and k % 500 == 0 else own
+        lists.append(np.unique(np.concatenate((np.array(own, np.int64), rng.integers(100, 1500, 8)))))
+        labels.append(float(bad))
+    model = toxicity.fit(np.array(labels), lists)
+    score = model.score(np.array([0, 1, 2]), np.array([6000, 7, 300]), 3)
+    assert score[0] > 0.5 and score[1] > 0.9 and score[2] < 0.5
+
+
 def test_toxicity_on_held_out_texts(spark):
     rng = random.Random(3)
     plain = [f"p{k}" for k in range(500)]
@@ -120,6 +148,61 @@ def test_quality_on_held_out_texts(spark):
     assert quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def test_views_teach_each_other():
+    """Two views, independent given the label: few labels and co-training beat few labels alone, in each view and together."""
+    found = []
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+
+        def draw(n, rng=rng):
+            y = (rng.random(n) < 0.5).astype(float)
+            return y, [(2 * y[:, None] - 1) * 0.4 + rng.normal(0, 1, (n, 12)) for _ in range(2)]
+
+        y, views = draw(40)
+        _, pool = draw(3000)
+        truth, test = draw(4000)
+        free = np.ones(len(pool[0]), bool)
+
+        def surest(models, pool=pool, free=free):
+            out = []
+            for m, v in zip(models, pool, strict=True):
+                p = features.logistic(m.raw(v))
+                sure = np.maximum(p, 1 - p) * free
+                pick = np.argsort(-sure, kind="stable")[:400]
+                free[pick] = False
+                out.append(([x[pick] for x in pool], (p[pick] > 0.5).astype(float)))
+            return out
+
+        for rounds in (0, 3):
+            score, each = quality_classifier.co_train(views, y, surest, rounds).score(test)
+            found.append([((x >= 0.5) == (truth > 0)).mean() for x in (score, *each)])
+    alone, taught = np.array(found).reshape(4, 2, 3).mean(axis=0)
+    assert (taught > alone + 0.02).all()
+
+
+def test_quality_edges(spark):
+    rng = random.Random(14)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label string, place int"
+    rows = [(k, say(rng, 20, SYLLABLES["en"]) * (1 if k % 3 else 2), None, f"s{k % 4}", None, "clash", 1) for k in range(60)]
+    rows += [(None, "x", None, None, None, None, None), (7, rows[7][1], None, "s3", None, "clash", 1), (99, "long " * 60_000, "en", "s", 300_000, "c", 1), (100, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    marks = spark.createDataFrame([(k, k % 2) for k in range(0, 60, 2)] + [(k, 1) for k in range(1, 60, 2)] + [(None, 1), (7, 0)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, marks)
+    found = quality_classifier.score(docs, model).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found) and len({r.score for r in found if r.doc_id == 7}) == 1
+    again = quality_classifier.score(docs.repartition(5), quality_classifier.train(docs.repartition(3), marks)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in again) == sorted((str(r.doc_id), round(r.score, 9)) for r in found)
+
+
+def test_a_rare_language_is_learnt(spark):
+    rng = random.Random(17)
+    rows = [(k, say(rng, 12, SYLLABLES["de" if k % 300 == 5 else "en"]), "de" if k % 300 == 5 else "en", "clash") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    net = language_id.train(docs, 200)
+    assert net.classes == ["de", "en"]
+    assert language_id.predict(docs.filter("lang = 'de'"), net).filter("lang_pred = 'de'").count() >= 9
+
+
 def test_calibration_stays_bounded_on_clean_splits():
     a, b = features.calibrate(np.array([-1.0] * 50 + [1.0] * 50), np.array([0.0] * 50 + [1.0] * 50))
     assert 0 < a < 20 and abs(b) < 20
