@@ -57,6 +57,12 @@ def random_id(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex}"
 
 
+def file_uri(root: str, relative: Column) -> Column:
+    """URI of a file under an absolute root; each part of the relative path is percent-encoded."""
+    parts = F.transform(F.split(relative, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit("file://" + root.rstrip("/") + "/"), F.array_join(parts, "/"))
+
+
 def score_text(score: Column) -> Column:
     """Six places, half to even, no negative zero; rank before formatting."""
     return F.format_string("%.6f", F.bround(score, 6) + F.lit(0.0))

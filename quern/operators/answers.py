@@ -46,10 +46,17 @@ def redact(path: Column) -> Column:
 
 
 def terms_used(texts: DataFrame, deprecated: DataFrame) -> DataFrame:
-    """(id, text) against (term, replacement): line and column, from 1, of each deprecated identifier."""
-    lines = texts.select("id", F.posexplode_outer(F.split("text", "\n")).alias("line", "content"))
-    words = lines.select("id", "line", "content", F.explode_outer(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("term"))
-    return words.join(F.broadcast(deprecated), "term").select("id", (F.col("line") + 1).alias("line"), F.instr("content", F.col("term")).alias("column"), "term", "replacement")
+    """(id, text) against (term, replacement): line and column, from 1, of each place of a deprecated identifier.
+
+    A line is cut into identifiers and what lies between them, so a place is the sum of the lengths before it.
+    """
+    terms = deprecated.agg(F.collect_set("term").alias("_terms"))  # a list of names to avoid: one row
+    lines = texts.select("id", F.posexplode_outer(F.split("text", "\n")).alias("line", "content")).crossJoin(F.broadcast(terms))
+    parts = F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+)"), F.lit(1))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<column:int,term:string>>").alias("found"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.when(F.array_contains("_terms", x), F.concat(s["found"], F.array(F.struct(s["at"].alias("column"), x.alias("term"))))).otherwise(s["found"]).alias("found"))
+    places = lines.select("id", "line", F.explode(F.aggregate(parts, start, step, lambda s: s["found"])).alias("w")).select("id", "line", "w.column", "w.term")
+    return places.join(deprecated, "term").select("id", (F.col("line") + 1).alias("line"), "column", "term", "replacement")
 
 
 def packet_lines(packets: DataFrame) -> DataFrame:
@@ -76,3 +83,11 @@ def bounded_graph(edges: list[tuple[str, str, str]], nodes: list[str], most: int
 def drilldown_terms(missing_anchors: list[str], question_terms: list[str], most: int = 48) -> list[str]:
     """Anchors still missing, then the question's terms, each once."""
     return list(dict.fromkeys([*missing_anchors, *question_terms]))[:most]
+
+
+def page(rows: DataFrame, order: str, number: int, size: int = 30) -> DataFrame:
+    """Page `number`, from 1, with the number of pages (1 at least) in `pages`; a page beyond the end is an error."""
+    pages = max(1, -(-rows.count() // size))
+    if not 1 <= number <= pages:
+        raise ValueError(f"page {number} of {pages}")
+    return rows.orderBy(order).offset((number - 1) * size).limit(size).withColumn("pages", F.lit(pages).cast("long"))

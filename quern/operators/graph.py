@@ -63,6 +63,37 @@ def reach(edges: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFram
     return known
 
 
+#: Node types that a walk may start from.
+SEED_TYPES = ["statement", "concept_meaning", "structure_unit"]
+
+
+def seeds(retrieved: DataFrame, grounding: DataFrame) -> DataFrame:
+    """Nodes of the seed types that a retrieved fragment grounds: (node_type, node_id), each once."""
+    return grounding.filter(F.col("node_type").isin(SEED_TYPES)).join(retrieved.select("fragment_id").distinct(), "fragment_id", "left_semi").select("node_type", "node_id").distinct()
+
+
+def grounding_of(nodes: DataFrame, links: dict[str, DataFrame]) -> DataFrame:
+    """(node_type, node_id, fragment_id) of nodes over one (node_id, fragment_id) table per node type."""
+    found = None
+    for kind, table in links.items():
+        rows = nodes.filter(F.col("node_type") == kind).join(table.select("node_id", "fragment_id"), "node_id").select("node_type", "node_id", "fragment_id")
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct()
+
+
+def import_relations(held: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relations (relation_type, subject_id, object_id) under ids of their content: those that are new, and a receipt.
+
+    The same import a second time adds nothing; the receipt counts what came, what was new and what was there.
+    """
+    key = F.sha2(F.concat_ws("\x1f", "relation_type", F.col("subject_id").cast("string"), F.col("object_id").cast("string")), 256)
+    rows = incoming.withColumn("relation_id", F.concat(F.lit("relation_"), F.substring(key, 1, 32))).dropDuplicates(["relation_id"])
+    new = rows.join(held.select("relation_id"), "relation_id", "left_anti")
+    came = incoming.agg(F.count(F.lit(1)).alias("received")).crossJoin(rows.agg(F.count(F.lit(1)).alias("distinct")))
+    receipt = came.crossJoin(new.agg(F.count(F.lit(1)).alias("inserted"))).withColumn("known", F.col("distinct") - F.col("inserted"))
+    return new, receipt
+
+
 def route_rank(objects: DataFrame, terms, fields: dict[str, int], key: str, most: int) -> DataFrame:
     """Objects by weighted overlap of their fields' terms with a question's; ties by key; zero scores left out."""
     score = sum((F.size(F.array_intersect(F.col(f), terms)) * w for f, w in fields.items()), F.lit(0))

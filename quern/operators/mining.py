@@ -20,7 +20,7 @@ def tfidf(docs: DataFrame, key: str, text: str, stop: list[str], most_n: int = 3
     The vocabulary keeps the `features` most frequent terms, ties by term.
     """
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(1)), lambda w: ~w.isin(stop) if stop else F.lit(True))
-    rows = docs.select(F.col(key), words.alias("_w"))
+    rows = docs.select(F.col(key), F.explode_outer(F.array(words)).alias("_w"))  # cut once, not once for each n
     terms = rows.select(key, F.explode_outer(F.concat(*[ngrams(F.col("_w"), n) for n in range(1, most_n + 1)])).alias("term")).filter("term IS NOT NULL")
     tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -32,6 +32,62 @@ def tfidf(docs: DataFrame, key: str, text: str, stop: list[str], most_n: int = 3
     return weighed.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+def common_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
+    """Tokens in half of the queries or more, and in two at least: they tell nothing about any of them."""
+    n = queries.agg(F.count(F.lit(1)).alias("n"))
+    each = queries.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(1)))).alias("term"))
+    per = each.groupBy("term").agg(F.count(F.lit(1)).alias("queries"))
+    return per.crossJoin(F.broadcast(n)).filter(F.col("queries") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2))).select("term", "queries")
+
+
+def occurrences(phrases: DataFrame, docs: DataFrame, key: str, text: str, source: str, most_n: int = 3) -> DataFrame:
+    """(phrase) of one to `most_n` tokens against documents: (phrase, key, source), each once, by equality of token n-grams."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(1))
+    rows = docs.select(key, source, F.explode_outer(F.array(words)).alias("_w"))
+    grams = rows.select(key, source, F.explode_outer(F.array_distinct(F.concat(*[ngrams(F.col("_w"), n) for n in range(1, most_n + 1)]))).alias("phrase"))
+    wanted = phrases.select("phrase").distinct()
+    return grams.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, "phrase", "left_semi")
+
+
+def literal_closure(phrases: DataFrame, docs: DataFrame, key: str, text: str, source: str, min_df: int = 3, min_sources: int = 2) -> DataFrame:
+    """Phrases that literally occur in `min_df` documents and `min_sources` sources or more: (phrase, df, sources)."""
+    per = occurrences(phrases, docs, key, text, source).groupBy("phrase").agg(F.count_distinct(key).alias("df"), F.count_distinct(source).alias("sources"))
+    return per.filter((F.col("df") >= min_df) & (F.col("sources") >= min_sources))
+
+
+def query_anchors(queries: DataFrame, query_text: str, docs: DataFrame, key: str, text: str, source: str, stop: list[str], min_df: int = 3, min_sources: int = 2) -> DataFrame:
+    """N-grams of three words to one of the queries, stop words gone, that the literal closure keeps."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(query_text), F.lit(""))), F.lit(TOKEN), F.lit(1)), lambda w: ~w.isin(stop or [""]))
+    phrases = queries.select(F.explode_outer(F.array(words)).alias("_w")).select(F.explode(F.concat(*[ngrams(F.col("_w"), n) for n in (3, 2, 1)])).alias("phrase")).distinct()
+    return literal_closure(phrases, docs, key, text, source, min_df, min_sources)
+
+
+def assigned(anchors: DataFrame, loadings: DataFrame) -> DataFrame:
+    """(phrase, key) occurrences against (key, component, loading): each phrase's component of the largest mean loading, least on ties."""
+    mean = anchors.join(loadings, "key").groupBy("phrase", "component").agg(F.avg("loading").alias("mean"))
+    return mean.groupBy("phrase").agg(F.max(F.struct("mean", (-F.col("component")).alias("c"))).alias("_b")).select("phrase", (-F.col("_b.c")).alias("component"), F.col("_b.mean").alias("mean"))
+
+
+def labels(weights: dict[str, float], most: int = 3) -> list[str]:
+    """Names of a component: terms by weight and name, without one that holds another or is held by one. Bounded, on the driver."""
+    chosen: list[str] = []
+    for term in sorted(weights, key=lambda t: (-weights[t], t)):
+        if not any(f" {term} " in f" {c} " or f" {c} " in f" {term} " for c in chosen):
+            chosen.append(term)
+        if len(chosen) == most:
+            break
+    return chosen
+
+
+def concept_metrics(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row about a concept manifest: concepts, edges, edges over two sources, concepts without an edge, and ends that no concept has."""
+    ends = edges.select(F.col("left").alias("concept")).unionByName(edges.select(F.col("right").alias("concept"))).distinct()
+    names = concepts.select("concept").distinct()
+    counts = names.agg(F.count(F.lit(1)).alias("concepts")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("sources") >= 2).alias("multi_source")))
+    lone = names.join(ends, "concept", "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
+    return counts.crossJoin(lone).crossJoin(ends.join(names, "concept", "left_anti").agg(F.count(F.lit(1)).alias("dangling")))
+
+
 def nmf(matrix: np.ndarray, k: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative factors of a small matrix, started from its singular vectors, by multiplicative updates."""
     k = max(1, min(k, matrix.shape[0] - 1, matrix.shape[1]))

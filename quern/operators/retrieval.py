@@ -13,10 +13,15 @@ MOST_TERMS = 64
 BROADCAST_TERMS = 500_000
 
 
+#: Folders that postings are dealt to by their term; a search reads those of its terms.
+BUCKETS = 32
+
+
 class Index:
-    """Postings of a permitted set, kept as DataFrames: (id, term, tf), lengths (id, dl) and totals (n, avgdl).
+    """Postings of a permitted set, kept as DataFrames: (id, dl, term, tf), lengths (id, dl) and totals (n, avgdl).
 
-    Statistics come from the permitted fragments alone, so what is denied can't influence a score.
+    Statistics come from the permitted fragments alone, so what is denied can't influence a score. `saved` writes the
+    postings by term, so later questions neither read nor cut the texts again.
     """
 
     def __init__(self, fragments: DataFrame, key: str = "fragment_id", text: str = "text") -> None:
@@ -24,6 +29,42 @@ class Index:
         self.lengths = parsed.select("id", F.size("terms").alias("dl"))
         self.postings = parsed.select("id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
         self.totals = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        self.path: str | None = None
+
+    def saved(self, path: str) -> Index:
+        """The same index, read back from postings and totals written under `path`."""
+        spark = self.postings.sparkSession
+        held = self.postings.filter("term IS NOT NULL").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        held = held.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        held.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self.totals.write.parquet(f"{path}/totals")
+        index = Index.__new__(Index)
+        index.path, index.lengths = path, None
+        index.postings = spark.read.schema(held.schema).parquet(f"{path}/postings")
+        index.totals = spark.read.schema(self.totals.schema).parquet(f"{path}/totals")
+        return index
+
+    def close(self) -> None:
+        """Delete what `saved` wrote."""
+        if self.path:
+            spark = self.postings.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def matched(self, asked: DataFrame) -> DataFrame:
+        """(id, dl, term, tf) of the terms of `asked`."""
+        wanted = asked.select("term").distinct()
+        n = wanted.count()
+        if n <= BROADCAST_TERMS:
+            wanted = F.broadcast(wanted)
+        if self.path is None:
+            return self.postings.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        held = self.postings
+        if n <= MOST_TERMS:  # the terms of one question: folders and row groups of others are not read
+            terms = [r.term for r in wanted.collect()]
+            buckets = [r.b for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
+            held = held.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        return held.join(wanted, "term", "left_semi").select("id", "dl", "term", "tf")
 
     def search(self, questions: DataFrame, most: int = 10) -> DataFrame:
         """(query_id, question) to the `most` best fragments of each: rank, id, score (six places), candidates.
@@ -31,10 +72,9 @@ class Index:
         The terms of all questions are joined in one scan; the rank is by raw score, then id.
         """
         asked = questions.select("query_id", F.explode(F.slice(distinct_tokens(F.col("question")), 1, MOST_TERMS)).alias("term"))
-        wanted = asked.select("term").distinct()
         if asked.count() <= BROADCAST_TERMS:
-            asked, wanted = F.broadcast(asked), F.broadcast(wanted)
-        matched = self.postings.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+            asked = F.broadcast(asked)
+        matched = self.matched(asked)
         df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         totals = F.broadcast(self.totals)  # one row
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -53,11 +93,38 @@ def drilldown(fragments: DataFrame, hits: DataFrame, source: str, questions: Dat
     return Index(fragments.join(F.broadcast(first.select(source)), source, "left_semi")).search(questions, most)
 
 
+def holding(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    """(query_id, question) against texts: (query_id, id) of the texts that hold a question word for word.
+
+    The second to fourth token of a question are whole in any text that holds it, so texts are found by equality of
+    three tokens and then compared; questions of under five tokens, by contract few, are compared with every text.
+    """
+    runs = lambda words: F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3)))))
+    rows = docs.select(F.col(key).alias("id"), F.col("text").alias("_t"))
+    asked = items.select("query_id", "question", F.explode_outer(F.array(tokens(F.col("question")))).alias("_w"))
+    long = asked.filter(F.size("_w") >= 5).select("query_id", "question", F.xxhash64(F.slice("_w", 2, 3)).alias("h"))
+    long = F.broadcast(long) if long.count() <= BROADCAST_TERMS else long
+    grams = rows.select("id", "_t", F.explode_outer(F.array(tokens(F.col("_t")))).alias("_w")).select("id", "_t", F.explode_outer(runs(F.col("_w"))).alias("h"))
+    found = grams.join(long, "h").filter(F.contains("_t", "question")).select("query_id", "id")
+    short = asked.filter((F.size("_w") < 5) & F.col("question").isNotNull()).select("query_id", "question")
+    n = short.count()
+    if n == 0:
+        return found
+    if n > 10_000:
+        raise ValueError(f"{n} questions of under five tokens")
+    return found.unionByName(rows.join(F.broadcast(short), F.contains("_t", "question")).select("query_id", "id"))
+
+
 def recall_at(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """(query_id, id) expected against results: the share of questions with an expected id among the first k."""
-    hit = results.filter(F.col("rank") <= k).join(expected, ["query_id", "id"]).select("query_id").distinct().withColumn("hit", F.lit(1))
-    asked = expected.select("query_id").distinct()
-    return asked.join(hit, "query_id", "left").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"))
+    return hits_at(results, expected, k).agg(F.count(F.lit(1)).alias("questions"), F.sum("hit").alias("found"))
+
+
+def hits_at(results: DataFrame, expected: DataFrame, k: int, *also: str) -> DataFrame:
+    """(query_id, hit 0 or 1) of each question with an expected id; `also` names columns of `expected` to keep."""
+    hit = results.filter(F.col("rank") <= k).join(expected.select("query_id", "id"), ["query_id", "id"]).select("query_id").distinct().withColumn("_hit", F.lit(1))
+    asked = expected.select("query_id", *also).distinct()
+    return asked.join(hit, "query_id", "left").select("query_id", *also, F.coalesce("_hit", F.lit(0)).cast("long").alias("hit"))
 
 
 def replay_difference(first: DataFrame, second: DataFrame) -> DataFrame:

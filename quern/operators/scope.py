@@ -67,3 +67,60 @@ def exact_read(table: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame,
 def insert_or_ignore(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows of a content-addressed insert that the table doesn't hold yet, each key once."""
     return rows.dropDuplicates([key]).join(table.select(key), key, "left_anti")
+
+
+def ordered_lookup(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of `table` for (place, key) in the order asked for; a key asked for twice is there twice, a missing one not at all."""
+    return keys.join(table, key).orderBy("place")
+
+
+def snapshot_faults(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """Collections whose stored (collection, members, manifest_hash) isn't what their members give now."""
+    here = now.select("collection", F.col("members").alias("_m"), F.col("manifest_hash").alias("_h"))
+    rows = stored.join(here, "collection", "full_outer")
+    kind = F.when(F.col("_h").isNull(), "lost").when(F.col("manifest_hash").isNull(), "new").when(F.col("members") != F.col("_m"), "count").otherwise("content")
+    return rows.filter(~F.col("manifest_hash").eqNullSafe(F.col("_h")) | ~F.col("members").eqNullSafe(F.col("_m"))).select("collection", kind.alias("fault"))
+
+
+def identity_faults(bindings: DataFrame) -> DataFrame:
+    """Declared identities (source_id, logical_id, family): a source bound to two identities, or an identity in two families."""
+    rebound = bindings.groupBy("source_id").agg(F.count_distinct("logical_id").alias("n")).filter("n > 1").select(F.lit("rebound").alias("fault"), F.col("source_id").cast("string").alias("id"))
+    split = bindings.groupBy("logical_id").agg(F.count_distinct("family").alias("n")).filter("n > 1").select(F.lit("families").alias("fault"), F.col("logical_id").cast("string").alias("id"))
+    return rebound.unionByName(split)
+
+
+def structure_exclusions(fragments: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(version_id, fragment_id, ordinal, markdown) to (version_id, reason): versions that no structure is proposed for.
+
+    A version with an address that isn't Markdown, one whose permitted ordinals have gaps, and, if any fragment of the
+    scope is excluded (fragment_id), every Markdown version.
+    """
+    any_out = fragments.join(excluded.select("fragment_id"), "fragment_id", "left_semi").limit(1).agg((F.count(F.lit(1)) > 0).alias("_out"))
+    per = fragments.groupBy("version_id").agg(F.bool_and("markdown").alias("_md"), (F.max("ordinal") - F.min("ordinal") + 1 != F.count(F.lit(1))).alias("_gaps"))
+    reasons = F.array_compact(F.array(F.when(~F.col("_md"), "not_markdown"), F.when(F.col("_gaps"), "not_contiguous"), F.when(F.col("_md") & F.col("_out"), "scope_exclusion")))
+    return per.crossJoin(F.broadcast(any_out)).select("version_id", F.explode(reasons).alias("reason"))
+
+
+def units_around(members: DataFrame, anchors: DataFrame, permitted: DataFrame) -> DataFrame:
+    """Units (unit_id, fragment_id) with an anchor among their members, all of which are permitted."""
+    touched = members.join(anchors.select("fragment_id").distinct(), "fragment_id", "left_semi").select("unit_id").distinct()
+    outside = members.join(permitted.select("fragment_id").distinct(), "fragment_id", "left_anti").select("unit_id").distinct()
+    return touched.join(outside, "unit_id", "left_anti")
+
+
+def contained_paths(paths: DataFrame) -> DataFrame:
+    """(path) to (outer, inner): every path that lies inside another; found by equality with each proper prefix."""
+    own = paths.select("path").distinct()
+    parts = F.split("path", "/")
+    inner = own.select(F.col("path").alias("inner"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k > 0), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("outer"))
+    return inner.join(own.select(F.col("path").alias("outer")), "outer", "left_semi").select("outer", "inner")
+
+
+def comparable(requests: DataFrame, shared: list[str]) -> DataFrame:
+    """Pairs (left_id, right_id) of requests (request_id, collection, ...) alike in all of `shared` over different collections.
+
+    Requests with equal shared fields meet in one group of a shuffled join, which Spark splits when it is hot.
+    """
+    a, b = requests.alias("a"), requests.alias("b")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in shared]
+    return a.join(b, [*on, F.col("a.request_id") < F.col("b.request_id"), F.col("a.collection") != F.col("b.collection")]).select(F.col("a.request_id").alias("left_id"), F.col("b.request_id").alias("right_id"))

@@ -12,7 +12,10 @@ def checkpointed(spark: SparkSession) -> str:
     """Set the checkpoint folder if it is unset, and return it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-"))
     return context.getCheckpointDir()
 
 

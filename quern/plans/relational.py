@@ -8,7 +8,7 @@ from __future__ import annotations
 SQL: dict[str, str | tuple[str, str]] = {
     # joins
     "inner_chain": "SELECT r.r_name, n.n_name, c.c_mktsegment, count(*) AS orders FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY r.r_name, n.n_name, c.c_mktsegment",
-    "left_missing": "SELECT c.c_custkey, c.c_name FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL",
+    "left_missing": "SELECT c.c_custkey, c.c_name FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000 WHERE o.o_orderkey IS NULL",
     "all_evidence_permitted": "SELECT o.o_orderkey, count(*) AS links FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey LEFT JOIN (SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_returnflag <> 'R') p ON p.l_orderkey = l.l_orderkey AND p.l_linenumber = l.l_linenumber GROUP BY o.o_orderkey HAVING sum(CASE WHEN p.l_orderkey IS NULL THEN 1 ELSE 0 END) = 0",
     "exists_semi": "SELECT c.c_custkey, c.c_mktsegment FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     "nested_not_exists": "SELECT o.o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey) AND NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_suppkey NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0))",
@@ -16,8 +16,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "not_superseded": "SELECT e.event_id, e.user_id FROM {events} e LEFT ANTI JOIN (SELECT event_id - 1 AS prior, user_id FROM {events} WHERE event_type = 'purchase') s ON s.prior = e.event_id",
     "parameter_table": "SELECT v.k AS wanted, n.n_name FROM (VALUES (1), (5), (7), (99)) AS v(k) LEFT JOIN {nation} n ON n.n_nationkey = v.k",
     "range_join": "SELECT p.p_partkey, b.band FROM {part} p JOIN (VALUES ('low', 0.0, 950.0), ('mid', 950.0, 1400.0), ('high', 1400.0, 99999.0)) AS b(band, lo, hi) ON p.p_retailprice >= b.lo AND p.p_retailprice < b.hi",
-    "path_containment": "SELECT a.h AS outer_host, b.h AS inner_host FROM (SELECT DISTINCT substr(url, instr(url, '//') + 2) AS h FROM {pages} WHERE page_id < 3000000000) b JOIN (SELECT DISTINCT n_name AS h FROM {nation}) a ON substr(b.h, 1, length(a.h) + 1) = concat(a.h, '/')",
-    "comparable_pairs": "SELECT a.conv_id AS left_id, b.conv_id AS right_id FROM {conversations} a JOIN {conversations} b ON a.text = b.text AND a.turn = 0 AND b.turn = 0 AND a.role = b.role AND a.conv_id < b.conv_id WHERE length(a.text) < 2000",
     # aggregates
     "library_counts": "SELECT 'documents' AS relation, count(*) AS n FROM {documents} UNION ALL SELECT 'pages', count(*) FROM {pages} UNION ALL SELECT 'benchmark', count(*) FROM {benchmark} UNION ALL SELECT 'labels', count(*) FROM {labels} UNION ALL SELECT 'conversations', count(*) FROM {conversations} UNION ALL SELECT 'events', count(*) FROM {events} UNION ALL SELECT 'embeddings', count(*) FROM {embeddings} UNION ALL SELECT 'lineitem', count(*) FROM {lineitem}",
     "orphan_having": "SELECT o.o_custkey, count(l.l_orderkey) AS links FROM {orders} o LEFT JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 49 GROUP BY o.o_custkey HAVING count(l.l_orderkey) = 0",
@@ -39,7 +37,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "multi_source_ratio": "SELECT CAST(sum(CASE WHEN s >= 2 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS ratio FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS s FROM {lineitem} GROUP BY l_partkey) x",
     "hypothesis_rollup": "SELECT n.n_regionkey AS hypothesis, CAST(sum(t.evidence) AS BIGINT) AS evidence, CAST(sum(t.families) AS BIGINT) AS families FROM (SELECT s.s_nationkey, count(*) AS evidence, count(DISTINCT l.l_partkey) AS families FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey GROUP BY s.s_nationkey) t JOIN {nation} n ON n.n_nationkey = t.s_nationkey GROUP BY n.n_regionkey",
     "atlas_overview": "SELECT count(*) AS sources, count(DISTINCT source) AS families, CAST(sum(CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS materials, count(DISTINCT lang) AS collections FROM {documents}",
-    "manifest_closure": "SELECT 'labels.doc_id' AS reference, l.doc_id AS id FROM {labels} l LEFT ANTI JOIN {documents} d ON d.doc_id = l.doc_id",
+    "manifest_closure": "SELECT l_orderkey AS id, max(l_linenumber) + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS stored, count(DISTINCT l_linenumber) AS recomputed FROM {lineitem} GROUP BY l_orderkey HAVING max(l_linenumber) + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END <> count(DISTINCT l_linenumber)",
+    "rollup_counts": "SELECT lang, source, grouping(lang) + grouping(source) AS level, count(*) AS n FROM {documents} GROUP BY ROLLUP (lang, source)",
+    "cube_counts": "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) * 2 + grouping(l_linestatus) AS cell, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)",
     "dangling_keys": "SELECT 'orders.o_custkey' AS foreign_key, count(*) AS dangling FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = o.o_custkey) UNION ALL SELECT 'lineitem.l_partkey', count(*) FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey = l.l_partkey)",
     "recall_coverage": "SELECT lang, count(DISTINCT doc_id) AS processed, CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS omitted FROM {documents} GROUP BY lang",
     # windows, order, limits
@@ -52,7 +52,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "running_offsets": "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM {conversations}",
     "stable_listing": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
     "top_relations": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(*) AS shared FROM {lineitem} GROUP BY l_suppkey ORDER BY parts DESC, shared DESC, l_suppkey LIMIT 30",
-    "page_of_rows": "SELECT doc_id, pages FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, CAST(ceil(count(*) OVER () / 30.0) AS BIGINT) AS pages FROM {documents} WHERE lang = 'es') x WHERE r BETWEEN 31 AND 60",
     "packet_selection": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM {documents}) x WHERE r <= 100",
     # set operations
     "union_all_log": "SELECT doc_id AS target, 'quality' AS log, quality AS decision FROM {labels} UNION ALL SELECT doc_id, 'toxic', toxic FROM {labels}",
@@ -68,7 +67,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "theme_period_filter": "SELECT o_orderkey, o_orderpriority FROM {orders} WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-07-01' AND o_orderpriority LIKE '1%'",
     "concept_neighbours": "SELECT CASE WHEN l_suppkey = 1 THEN l_partkey ELSE l_suppkey END AS counterpart, count(*) AS shared FROM {lineitem} WHERE l_suppkey = 1 OR l_partkey = 1 GROUP BY 1",
     "snapshot_projection": "SELECT d.doc_id, d.lang AS collection, d.source AS family, l.quality, l.toxic FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id WHERE d.lang IN ('de', 'en')",
-    "command_dedup": "SELECT user_id, event_type, min(event_id) AS event_id, count(*) - 1 AS repeats FROM {events} GROUP BY user_id, event_type, CAST(ts AS DATE)",
     "packet_json": ("SELECT doc_id, to_json(named_struct('doc_id', doc_id, 'quality', quality, 'toxic', toxic)) AS packet FROM {labels}", "SELECT doc_id, CAST(to_json(struct_pack(doc_id := doc_id, quality := quality, toxic := toxic)) AS VARCHAR) AS packet FROM {labels}"),
     "event_props": ("SELECT event_id, get_json_object(props, '$.k') AS k FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM {events}"),
     "journal_windows": (

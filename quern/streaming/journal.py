@@ -2,25 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 GENESIS = "0" * 64
+#: Fixed value: the kind of event that closes a session.
+CLOSES = "closed"
 
 
-def chained(events: DataFrame, session: str, sequence: str, payload: str) -> DataFrame:
-    """Each event with the hash of its payload and its place, and the hash before it."""
-    by = Window.partitionBy(session).orderBy(sequence)
-    rows = events.withColumn("event_hash", F.sha2(F.concat_ws("|", F.col(session).cast("string"), F.col(sequence).cast("string"), F.coalesce(F.col(payload), F.lit(""))), 256))
-    return rows.withColumn("previous_hash", F.coalesce(F.lag("event_hash").over(by), F.lit(GENESIS)))
+def event_hash(session: Column, sequence: Column, payload: Column, previous: Column) -> Column:
+    """Hash of an event over its place, its payload and the hash before it."""
+    return F.sha2(F.concat_ws("|", session.cast("string"), sequence.cast("string"), F.coalesce(payload, F.lit("")), previous), 256)
+
+
+def _folded(rows: pd.DataFrame, session: str, sequence: str, payload: str, kind: str | None, state: tuple[int, str, bool]) -> tuple[pd.DataFrame, tuple[int, str, bool]]:
+    """Events of one session in order, each hashed onto the chain; what comes after a closing event is rejected."""
+    last, previous, closed = state
+    out: list[tuple] = []
+    for r in rows.sort_values(sequence, kind="stable").to_dict("records"):
+        if closed:
+            out.append((None, None, None, "closed"))
+            continue
+        last += 1
+        text = r[payload] if isinstance(r[payload], str) else ""
+        digest = hashlib.sha256(f"{r[session]}|{last}|{text}|{previous}".encode()).hexdigest()
+        out.append((last, digest, previous, "accepted"))
+        previous, closed = digest, kind is not None and r[kind] == CLOSES
+    rows = rows.sort_values(sequence, kind="stable").reset_index(drop=True)
+    rows[["chain_sequence", "event_hash", "previous_hash", "status"]] = pd.DataFrame(out, columns=["a", "b", "c", "d"], dtype=object)
+    return rows, (last, previous, closed)
+
+
+ADDED = "chain_sequence long, event_hash string, previous_hash string, status string"
+
+
+def _schema(events: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", " + ADDED
+
+
+def chained(events: DataFrame, session: str, sequence: str, payload: str, kind: str | None = None) -> DataFrame:
+    """Each event with its number, its hash over the hash before it, and its status. A session is one fold, in one task."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _folded(rows, session, sequence, payload, kind, (-1, GENESIS, False))[0]
 
-def violations(events: DataFrame, session: str, sequence: str, first: int = 0) -> DataFrame:
-    """Events out of sequence or off the chain: a hard error, not late data."""
+    return events.groupBy(session).applyInPandas(run, _schema(events))
+
+
+def append_stream(events: DataFrame, session: str, sequence: str, payload: str, kind: str) -> DataFrame:
+    """`chained` over a stream: a session's state is its last number, last hash and whether it is closed."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (-1, GENESIS, False)
+        rows = pd.concat(list(batches))
+        rows, held = _folded(rows, session, sequence, payload, kind, held)
+        state.update(held)
+        yield rows
+
+    return events.groupBy(session).applyInPandasWithState(run, _schema(events), "last long, previous string, closed boolean", "append", "NoTimeout")
+
+
+def violations(events: DataFrame, session: str, sequence: str, payload: str, first: int = 0) -> DataFrame:
+    """(session, sequence, fault): events out of sequence, off the chain, or whose hash isn't that of what they hold."""
     by = Window.partitionBy(session).orderBy(sequence)
     place = F.row_number().over(by) - 1 + first
     before = F.coalesce(F.lag("event_hash").over(by), F.lit(GENESIS))
-    return events.withColumn("_ok", (F.col(sequence) == place) & (F.col("previous_hash") == before)).filter(~F.col("_ok")).drop("_ok")
+    own = event_hash(F.col(session), F.col(sequence), F.col(payload), F.col("previous_hash"))
+    faults = F.array_compact(F.array(F.when(F.col(sequence) != place, "sequence"), F.when(F.col("previous_hash") != before, "chain"), F.when(F.col("event_hash") != own, "hash")))
+    return events.withColumn("_f", faults).select(session, sequence, F.explode("_f").alias("fault"))
+
+
+def replayed(events: DataFrame, session: str, sequence: str, kind: str) -> DataFrame:
+    """State of each session: events, events by kind, last number and kind, and whether it is closed."""
+    per = events.groupBy(session, kind).agg(F.count(F.lit(1)).alias("n"), F.max(sequence).alias("last"))
+    state = per.groupBy(session).agg(F.sum("n").alias("events"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n")))).alias("kinds"), F.max("last").alias("last_sequence"), F.max(F.struct("last", kind))[kind].alias("last_kind"))
+    return state.withColumn("closed", F.map_contains_key("kinds", F.lit(CLOSES)))
+
+
+def commands(events: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Each command (by its key) once, with the event that started it, the one that completed it, and how often it was sent again."""
+    return events.groupBy(*key).agg(F.min(order).alias("started"), F.when(F.count(F.lit(1)) > 1, F.max(order)).alias("completed"), (F.count(F.lit(1)) - 1).alias("repeats"))
 
 
 def dedup_stream(events: DataFrame, key: str, time: str, lateness: str = "1 hour") -> DataFrame:
