@@ -170,9 +170,3 @@ def test_journal_streams_like_a_batch(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
     assert journal.dedup_stream(rows, "event_id", "ts").count() == 3
     assert journal.windowed_counts(rows, "ts", "1 hour", "kind").count() == 2
-
-
-def test_chain_violations(spark):
-    events = journal.chained(spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "s int, q int, p string"), "s", "q", "p")
-    assert journal.violations(events, "s", "q").count() == 0
-    assert journal.violations(events.filter("NOT (s = 1 AND q = 0)"), "s", "q").count() == 1
