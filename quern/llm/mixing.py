@@ -3,8 +3,8 @@
 Each document of a source is expected the same number of copies (target / size of the source). Expected
 copies are prefix-summed within the source, one offset is added, and a copy is emitted for every integer
 that a document's stretch crosses. Documents stand in order of size class, so what is taken keeps near
-the target. The prefix sum has two levels: blocks of a source are counted and summed first, so no source,
-however large, lies in one task.
+the target. The prefix sum has three levels: blocks of a size class and classes of a source are counted and
+summed first, so no source, however large, lies in one task.
 """
 
 from __future__ import annotations
@@ -65,9 +65,14 @@ def mix(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
     per_block = cut(per_block, "blocks")
     per_source = per_block.groupBy("source").agg(F.sum("_size").alias("source_size"), F.sum("_rows").alias("n_docs"))
     goal = targets(per_source)
-    before = Window.partitionBy("source").orderBy("_class", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    starts = starts.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("_block").alias("_b"), "_start")
+    # blocks count up within their class, and classes within their source
+    before = Window.partitionBy("source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    per_class = per_block.groupBy("source", "_class").agg(F.sum("_rows").alias("_n"))
+    per_class = per_class.select(F.col("source").alias("_cs"), F.col("_class").alias("_cc"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    within = Window.partitionBy("source", "_class").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_block.withColumn("_in", F.coalesce(F.sum("_rows").over(within), F.lit(0)))
+    starts = starts.join(per_class, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("_class") == F.col("_cc")))
+    starts = starts.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("_block").alias("_b"), (F.col("_from") + F.col("_in")).alias("_start"))
     goal = goal.withColumn("_share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     goal = goal.withColumn("_offset", (number(F.concat_ws(":", F.lit(str(seed)), F.col("source"))) % (1 << 20)) / F.lit(1 << 20))
     starts = starts.join(goal, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
