@@ -166,15 +166,21 @@ def passes(model: Machine, rows: Rows, train: np.ndarray, epochs: int, rate: flo
         yield
 
 
+def totals(doc: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sum per bin of the values of the rows that hold it, a stretch at a time."""
+    out = np.zeros(BINS)
+    for at in range(0, len(term), 1 << 20):
+        out += np.bincount(term[at : at + (1 << 20)], value[doc[at : at + (1 << 20)]].astype(float), minlength=BINS)
+    return out
+
+
 def screened(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, train: np.ndarray, factors: int) -> tuple[Machine, np.ndarray]:
     """The first two steps on the rows `train`; and the bins that enough of them hold."""
     up = labels > 0
     fitted = np.zeros(len(labels), bool)
     fitted[train] = True
-    own = fitted[doc]
     t1, t0 = int(up[train].sum()), int((~up[train]).sum())
-    in1 = np.bincount(term[own & up[doc]], minlength=BINS)
-    in0 = np.bincount(term[own & ~up[doc]], minlength=BINS)
+    in1, in0 = totals(doc, term, fitted & up), totals(doc, term, fitted & ~up)
     p1, p0 = (in1 + 0.5) / (t1 + 1), (in0 + 0.5) / (t0 + 1)
     gap = np.abs(p1 - p0) / np.sqrt((p1 * (1 - p1)) / t1 + (p0 * (1 - p0)) / t0)
     often = in1 + in0 >= LEAST_ROWS
@@ -189,8 +195,8 @@ def screened(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, train: np.nd
             break
         p = np.clip(X.logistic(model.raw(rows.doc, rows.place, len(labels))), 0.02, 0.98)
         gone, spread = (labels - p) * fitted, p * (1 - p) * rows.weight**2 * fitted
-        size = np.abs(np.bincount(term, gone[doc], minlength=BINS))
-        z = np.abs(np.bincount(term, (gone * rows.weight)[doc], minlength=BINS)) / np.sqrt(np.bincount(term, spread[doc], minlength=BINS) + 1e-9)
+        size = np.abs(totals(doc, term, gone))
+        z = np.abs(totals(doc, term, gone * rows.weight)) / np.sqrt(totals(doc, term, spread) + 1e-9)
         z[(size < RESIDUAL_ROWS) | ~often | (model.place < len(model.w) - 1)] = 0
         more = np.argsort(-z, kind="stable")[:MODEL_TERMS]
         more = more[z[more] > RESIDUAL_GAP]
