@@ -191,7 +191,8 @@ def _alike(group: pd.DataFrame) -> pd.DataFrame:
 def _dealt(rows: DataFrame, reached: str, held: Column) -> DataFrame:
     """Rows of pivot groups in blocks (pivot, r, c) of bounded size in which each row not `reached` meets all others once.
 
-    A block has about BLOCK rows of either kind, or fewer if they hold more than BLOCK_BYTES.
+    Callers deal them out by block: a group by pivot, r and c alone would stay where a join on the pivot put it, all
+    blocks of a pivot in one task. A block has about BLOCK rows of either kind, or fewer if they hold more than BLOCK_BYTES.
     """
     free = ~F.col(reached)
     blocks = lambda n, of: F.ceil(F.greatest(n / BLOCK, of / BLOCK_BYTES)).cast("int")
@@ -245,7 +246,7 @@ def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         return pd.Series((x == y).mean(axis=1) >= FLOOR)
 
     met = cut(marked.select("pivot", "id", agree("signature", "mark").alias("near")), "met")
-    blocks = _dealt(met, "near", F.lit(ROWS * BANDS)).join(marks, "id")
+    blocks = _dealt(met, "near", F.lit(ROWS * BANDS)).join(marks, "id").repartition("pivot", "r", "c")
     alike = blocks.groupBy("pivot", "r", "c").applyInPandas(_alike, "pivot long, id long").distinct()
     likely = cut(met.filter("near").select("pivot", "id").unionByName(alike), "likely")
     wanted = likely.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
@@ -256,7 +257,7 @@ def links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     sets = cut(sets.drop("digest"), "sets")
     stars = cut(_streams(likely, sets).mapInArrow(_confirm(percent), "pivot long, id long, linked boolean, size long, shared binary, extra binary"), "stars")
 
-    blocks = _dealt(stars, "linked", F.octet_length("shared") + F.octet_length("extra"))
+    blocks = _dealt(stars, "linked", F.octet_length("shared") + F.octet_length("extra")).repartition("pivot", "r", "c")
     more = blocks.groupBy("pivot", "r", "c").applyInPandas(_compare(percent), "a long, b long")
     found = stars.filter("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(more)
     found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
