@@ -34,14 +34,41 @@ def policy_omission(compiled: DataFrame) -> DataFrame:
     return compiled.agg(F.coalesce(F.bool_or("policy_denied"), F.lit(False)).alias("policy_omission_present"))
 
 
-def disposition(incoming: DataFrame, history: DataFrame) -> DataFrame:
-    """(uri, sha256) against (uri, sha256, version, is_head): added, unchanged, reverted or changed, and the version it leads to."""
-    known = history.select("uri", F.col("sha256").alias("_h"), F.col("version").alias("_v"), "is_head")
-    last = known.groupBy("uri").agg(F.max("_v").alias("_last"), F.max(F.when(F.col("is_head"), F.col("_h"))).alias("_head"))
-    same = known.groupBy("uri", F.col("_h").alias("sha256")).agg(F.max("_v").alias("_same"))
-    rows = incoming.join(last, "uri", "left").join(same, ["uri", "sha256"], "left")
-    kind = F.when(F.col("_last").isNull(), "added").when(F.col("_head") == F.col("sha256"), "unchanged").when(F.col("_same").isNotNull(), "reverted").otherwise("changed")
-    return rows.select("uri", "sha256", kind.alias("disposition"), F.coalesce("_same", F.coalesce("_last", F.lit(0)) + 1).cast("long").alias("version"))
+def disposition(incoming: DataFrame, history: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(uri, sha256) against (uri, sha256, version, is_head): added, unchanged, reverted or changed, and the version it leads to.
+
+    Columns of `also`, such as the parser profile, are part of what a version is; neither side has nulls in them.
+    """
+    key = ["sha256", *also]
+    known = history.select("uri", *key, F.col("version").alias("_v"), "is_head")
+    last = known.groupBy("uri").agg(F.max("_v").alias("_last"), F.max(F.when(F.col("is_head"), F.struct(*key))).alias("_head"))
+    same = known.groupBy("uri", *key).agg(F.max("_v").alias("_same"))
+    rows = incoming.join(last, "uri", "left").join(same, ["uri", *key], "left")
+    kind = F.when(F.col("_last").isNull(), "added").when(F.col("_head") == F.struct(*key), "unchanged").when(F.col("_same").isNotNull(), "reverted").otherwise("changed")
+    return rows.select("uri", *key, kind.alias("disposition"), F.coalesce("_same", F.coalesce("_last", F.lit(0)) + 1).cast("long").alias("version"))
+
+
+def lineage_conflicts(sources: DataFrame, family: str, digest: str = "sha256") -> DataFrame:
+    """Digests whose sources are declared in more than one family, with the number of families: bytes belong to one."""
+    return sources.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.count_distinct(family).alias("families")).filter("families > 1")
+
+
+def manifest_faults(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """(relative_path) files against the (relative_path, logical_id, ...) of an identity manifest, which has to map each once.
+
+    Faults: undeclared (a file without an entry), absent (an entry without a file), repeated (a path declared twice).
+    """
+    entries = declared.groupBy("relative_path").agg(F.count(F.lit(1)).alias("_n"))
+    both = files.select("relative_path").distinct().withColumn("_f", F.lit(True)).join(entries, "relative_path", "full_outer")
+    faults = F.array_compact(F.array(F.when(F.col("_n").isNull(), "undeclared"), F.when(F.col("_f").isNull(), "absent"), F.when(F.col("_n") > 1, "repeated")))
+    return both.select("relative_path", F.explode(faults).alias("fault"))
+
+
+def identified(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """Files with what the identity manifest declares of them; an error unless it maps every file once and nothing else."""
+    if not manifest_faults(files, declared).isEmpty():
+        raise ValueError("the identity manifest does not map these files one to one")
+    return files.join(declared, "relative_path")
 
 
 def duplicate_lineage(sources: DataFrame, order: str = "doc_id", digest: str = "text_sha256") -> DataFrame:
