@@ -445,4 +445,4 @@ def outbox_stream(spark, sf_dir):
     return spark.read.schema(schema).parquet(sink).select("event_id", "event_type")
 
 
-from quern.plans import evidence, preparation  # noqa: E402, F401  register their queries
+from quern.plans import evidence, preparation, projections  # noqa: E402, F401  register their queries
