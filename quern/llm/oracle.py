@@ -110,9 +110,94 @@ o AS (SELECT rid, string_agg(v, ' ' ORDER BY q) AS kept FROM v ANTI JOIN g USING
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (rid) LEFT JOIN o USING (rid)"""
 
 
+def _crc_table() -> list[int]:
+    """The 256 remainders of CRC-32 by its rule."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+LETTER_BREAK = r"[^A-Za-z\x{00C0}-\x{00FF}]+"
+
+SPELLING = rf"""
+WITH RECURSIVE crc_table AS (SELECT {_crc_table()}::BIGINT[] AS t),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || translate(run, '{UPPER}', '{UPPER.lower()}') AS k, translate(run, '{UPPER}', '{UPPER.lower()}') AS run
+  FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{LETTER_BREAK}')) AS run FROM documents) x WHERE length(run) >= 6),
+c AS (SELECT k, run, count(*) AS n FROM r GROUP BY k, run),
+b AS (SELECT run, n, hex(encode(k)) AS x, length(run) AS size FROM c),
+h AS (SELECT run, n, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM b, crc_table),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % size AS BIGINT)) || substr(run, CAST(h % size AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+e AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v) x),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT e.word, e.n, v.word, v.n FROM e JOIN v ON e.d = v.word
+  UNION SELECT v.word, v.n, e.word, e.n FROM e JOIN v ON e.d = v.word),
+k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (SELECT v.word, v.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.near_n >= 5 * v.n THEN k.near END AS form, CASE WHEN k.near_n >= 5 * v.n THEN k.near_n END AS form_n FROM v LEFT JOIN (SELECT * FROM k WHERE r = 1) k USING (word)),
+o AS (SELECT word, word AS root, form AS nxt FROM f UNION ALL SELECT o.word, f.word, f.form FROM o JOIN f ON o.nxt = f.word)
+SELECT f.word, f.form, o.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN o USING (word) WHERE o.nxt IS NULL"""
+
+
+def _turn_step() -> str:
+    """Best (cost, audit, text) of each state behind one more row, from those before it."""
+    add = lambda q, cost, letter, said: f"{{'c': a.s{q}.c + {cost}, 'a': a.s{q}.a || '{letter}', 't': a.s{q}.t || {said}}}"
+    kept, user, bot = "chr(10) || x.r || ':' || x.t", "chr(10) || 'user:' || x.t", "chr(10) || 'assistant:' || x.t"
+    stay = lambda ok, what: f"CASE WHEN x.f NOT IN (1, 2) AND {ok} THEN {what} ELSE {{'c': 1000000000, 'a': '', 't': ''}} END"
+    late = "(CASE WHEN x.f = 3 THEN 5 ELSE 0 END)"
+    new = {q: [add(q, 2, "D", "''")] for q in range(4)}
+    new[1].append(stay("x.i = 's'", add(0, late, "K", kept)))
+    for q in (0, 1, 3):
+        new[2] += [stay("x.i = 'u'", add(q, late, "K", kept)), stay("true", add(q, f"1 + {late}", "R", user))]
+    new[3] += [stay("x.i = 'a'", add(2, late, "K", kept)), stay("true", add(2, f"1 + {late}", "R", bot))]
+    return "{" + ", ".join(f"'s{q}': list_min([{', '.join(new[q])}])" for q in range(4)) + "}"
+
+
+def _turn_closed(a: str) -> str:
+    """The same with turns inserted behind it."""
+    ins = lambda s, who: f"{{'c': {s}.c + 5, 'a': {s}.a || 'I', 't': {s}.t || chr(10) || '{who}:'}}"
+    s2 = f"list_min([{a}.s2, {ins(a + '.s0', 'user')}, {ins(a + '.s1', 'user')}, {ins(a + '.s3', 'user')}])"
+    once = f"{{'s0': {a}.s0, 's1': {a}.s1, 's2': {s2}, 's3': {a}.s3}}"
+    return f"list_transform([{once}], lambda z: {{'s0': z.s0, 's1': z.s1, 's2': z.s2, 's3': list_min([z.s3, {ins('z.s2', 'assistant')}])}})[1]"
+
+
+_FAR = "{'c': 1000000000, 'a': '', 't': ''}"
+_BEGIN = "{'s0': {'c': 0, 'a': '', 't': ''}, 's1': " + _FAR + ", 's2': {'c': 5, 'a': 'I', 't': chr(10) || 'user:'}, 's3': {'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}"
+
+TURN_REPAIR = rf"""
+WITH crc_table AS (SELECT {_crc_table()}::BIGINT[] AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS x FROM conversations),
+h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h FROM k, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS time FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS seen, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY p) || substr(role, 1, 1) AS pair FROM o),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM f),
+s AS (SELECT conv_id, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, list({{'i': substr(role, 1, 1), 'f': fault, 'r': role, 't': text}} ORDER BY p) AS rows FROM g GROUP BY conv_id),
+l AS (SELECT *, list_reduce(rows, lambda a, x: list_transform([{_turn_step()}], lambda y: {_turn_closed('y')})[1], {_BEGIN}) AS z FROM s),
+b AS (SELECT *, list_min([z.s0, z.s3]) AS e FROM l)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(substr(e.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, rid, i, ls[i] AS line, translate(trim(ls[i], {SPACE}), '{UPPER}', '{UPPER.lower()}') AS k FROM (SELECT doc_id, rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) x),
+c AS (SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INTEGER)) >= 5),
+m AS (SELECT l.*, c.k IS NOT NULL AND l.doc_id IS DISTINCT FROM c.holder AS gone FROM l LEFT JOIN c ON l.k = c.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid"""
+
+
 ORACLES = {
     "op1_warc": WARC,
     "op10_url_filters": URL_FILTERS,
+    "op11_spelling": SPELLING,
+    "op12_turn_repair": TURN_REPAIR,
+    "op13_line_dedup": LINE_DEDUP,
     "op2_near_dedup": near_sql(),
     "op3_substring_dedup": repeats_sql(),
     "op4_quality_rules": quality_sql(),

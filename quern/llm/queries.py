@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from quern.llm import decontaminate, features, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity, url_filters, warc
+from quern.llm import decontaminate, features, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, spelling, substring_dedup, toxicity, turns, url_filters, warc
 from quern.llm.shared import scratch_root
 from quern.session import table
 
@@ -104,6 +104,40 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "fetched_at", "blocked", "by_list", "by_key")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
+    runs = docs.select("id", F.explode(spelling.runs(F.col("text"), spelling.LEAST_LENGTH)).alias("run"))
+    number = F.crc32(F.concat_ws(":", "id", "run"))
+    at = F.pmod(number, F.char_length("run")).cast("int")
+    short = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    words = runs.select(F.when(number % 199 == 0, short).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.vocabulary(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def damaged(turns_: DataFrame) -> DataFrame:
+    """Conversations as op12's query damages them."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    rows = turns_.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), how.alias("how")).filter("how <> 0")
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("how") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("how") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = turns.repair(damaged(found)).withColumnRenamed("conv_id", "id")
+    every = found.select("conv_id").distinct().join(rows, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_near_dedup": op2_near_dedup,
@@ -115,4 +149,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_url_filters": op10_url_filters,
+    "op11_spelling": op11_spelling,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_line_dedup": op13_line_dedup,
 }
