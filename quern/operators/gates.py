@@ -152,15 +152,17 @@ def minimal_set(ranked: list[str], ready) -> list[str]:
     return kept
 
 
-def premise_closure(steps: DataFrame, most_depth: int = 4096) -> DataFrame:
-    """(trace_id, step, premise) to every ancestor of each step; premises point to earlier steps."""
-    reach = steps.select("trace_id", "step", F.col("premise").alias("ancestor")).distinct().checkpoint()
-    n = reach.count()
-    for _ in range(max(1, most_depth.bit_length())):  # every round doubles the length of the paths
+def premise_closure(steps: DataFrame) -> DataFrame:
+    """(trace_id, step, premise) to every ancestor of each step.
+
+    Every round doubles the length of the paths, and rounds go on until none adds a pair, so no depth is cut off; a
+    step that leads back to itself is its own ancestor.
+    """
+    reach = steps.select("trace_id", "step", F.col("premise").alias("ancestor")).filter("ancestor IS NOT NULL").distinct().checkpoint()
+    n, was = reach.count(), -1
+    while n != was:
         onward = reach.select("trace_id", F.col("step").alias("ancestor"), F.col("ancestor").alias("_a"))
         more = reach.join(onward, ["trace_id", "ancestor"]).select("trace_id", "step", F.col("_a").alias("ancestor"))
         reach = reach.unionByName(more).distinct().checkpoint()
         was, n = n, reach.count()
-        if n == was:
-            break
     return reach

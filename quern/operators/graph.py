@@ -48,21 +48,44 @@ def walk(edges: DataFrame, seeds: DataFrame, most_hops: int, most_paths: int | N
     return found.select("seed", "at", "depth", "relation_path", F.array_join("nodes", ">").alias("node_path"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Fixpoint of following (src, dst) edges from the seeds (node); each round is checkpointed."""
-    known = seeds.select("node").distinct()
-    fresh = known
-    n = known.count()
-    for _ in range(most_rounds):
-        fresh = edges.join(fresh.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
-        known = known.unionByName(fresh).checkpoint()
-        m = known.count()
-        if m == n:
-            return known
-        fresh, n = known, m
+#: Tables of new nodes that a closure keeps apart before it puts them together.
+MOST_PARTS = 16
+
+
+def closure(edges: DataFrame, seeds: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What (src, dst) edges lead to from the seeds (`by`..., node), seeds included: each node once for each `by`.
+
+    Many closures at once, and only what is new is joined: a round takes the nodes of the round before to their
+    neighbours and leaves out those that are known. It goes on until a round finds nothing, however long the paths
+    are; every round is checkpointed. Null nodes lead nowhere.
+    """
+    key = [*(by or []), "node"]
+    fresh = seeds.select(*key).filter("node IS NOT NULL").distinct().checkpoint()
+    parts = [fresh]
+    known = fresh
+    steps = edges.select("src", F.col("dst").alias("_to")).filter("src IS NOT NULL AND _to IS NOT NULL").distinct()
+    while not fresh.isEmpty():
+        to = fresh.join(steps, fresh["node"] == steps["src"]).select(*(by or []), F.col("_to").alias("node")).distinct()
+        fresh = to.join(known, key, "left_anti").checkpoint()
+        parts.append(fresh)
+        if len(parts) > MOST_PARTS:
+            parts = [_together(parts).checkpoint()]
+        known = _together(parts)
     return known
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Fixpoint of following (src, dst) edges from the seeds (node)."""
+    return closure(edges, seeds)
+
+
 #: Node types that a walk may start from.
 SEED_TYPES = ["statement", "concept_meaning", "structure_unit"]
 

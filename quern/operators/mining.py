@@ -14,22 +14,38 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, many).otherwise(F.array().cast("array<string>"))
 
 
+def _gram_hashes(words: Column, most_n: int) -> Column:
+    """(h, at) of every n-gram of words up to `most_n`: a 64-bit hash, and its place times `most_n` + 1 plus its length."""
+
+    def grams(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n)]).alias("h"), (i * (most_n + 1) + n).alias("at")))
+
+    return F.concat(*[grams(n) for n in range(1, most_n + 1)])
+
+
 def tfidf(docs: DataFrame, key: str, text: str, stop: list[str], most_n: int = 3, min_df: int = 3, max_df: float = 0.55, features: int = 6000) -> DataFrame:
     """(key, term, weight): n-grams after stop words are gone, sublinear frequency, smooth idf, unit length.
 
-    The vocabulary keeps the `features` most frequent terms, ties by term.
+    The vocabulary keeps the `features` most frequent terms, ties by term. N-grams are counted as 64-bit hashes, once;
+    strings are cut only of terms that may be in the vocabulary, from the first place of each.
     """
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(1)), lambda w: ~w.isin(stop) if stop else F.lit(True))
     rows = docs.select(F.col(key), F.explode_outer(F.array(words)).alias("_w"))  # cut once, not once for each n
-    terms = rows.select(key, F.explode_outer(F.concat(*[ngrams(F.col("_w"), n) for n in range(1, most_n + 1)])).alias("term")).filter("term IS NOT NULL")
-    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    parsed = rows.select(key, "_w", F.explode_outer(F.array(F.transform("_w", lambda w: F.xxhash64(w)))).alias("_h"))
+    terms = parsed.select(key, F.inline(_gram_hashes(F.col("_h"), most_n)))
+    tf = terms.groupBy(key, "h").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("at")).checkpoint()
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df))
-    vocabulary = df.orderBy(F.desc("cf"), "term").limit(features)
+    df = tf.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.min(F.struct(key, "at")).alias("first")).crossJoin(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df)).checkpoint()
+    least = df.select("cf").orderBy(F.desc("cf")).limit(features).agg(F.min("cf").alias("least"))
+    likely = df.join(F.broadcast(least), F.col("cf") >= F.col("least"))  # and what ties with the last
+    place, size = F.floor(F.col("first.at") / (most_n + 1)).cast("int"), F.col("first.at") % (most_n + 1)
+    named = rows.join(likely.select("h", "df", "cf", "n", "first", F.col(f"first.{key}").alias("_k")), F.col(key) == F.col("_k")).select("h", "df", "cf", "n", F.array_join(F.slice("_w", place + 1, size), " ").alias("term"))
+    vocabulary = named.orderBy(F.desc("cf"), "term").limit(features).select("h", "df", "n", "term")
     raw = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighed = tf.join(F.broadcast(vocabulary), "term").withColumn("raw", raw)  # at most `features` rows
-    norm = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighed.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    weighed = tf.join(F.broadcast(vocabulary), "h").select(key, "term", raw.alias("raw"))  # at most `features` rows
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))  # a document has at most `features` terms
+    return weighed.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def common_terms(queries: DataFrame, key: str, text: str) -> DataFrame:

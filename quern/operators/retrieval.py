@@ -26,6 +26,7 @@ class Index:
 
     def __init__(self, fragments: DataFrame, key: str = "fragment_id", text: str = "text") -> None:
         parsed = fragments.select(F.col(key).alias("id"), tokens(F.col(text)).alias("terms"))
+        self.parsed: DataFrame | None = parsed
         self.lengths = parsed.select("id", F.size("terms").alias("dl"))
         self.postings = parsed.select("id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
         self.totals = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
@@ -39,7 +40,7 @@ class Index:
         held.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         self.totals.write.parquet(f"{path}/totals")
         index = Index.__new__(Index)
-        index.path, index.lengths = path, None
+        index.path, index.lengths, index.parsed = path, None, None
         index.postings = spark.read.schema(held.schema).parquet(f"{path}/postings")
         index.totals = spark.read.schema(self.totals.schema).parquet(f"{path}/totals")
         return index
@@ -57,6 +58,10 @@ class Index:
         n = wanted.count()
         if n <= BROADCAST_TERMS:
             wanted = F.broadcast(wanted)
+        if self.path is None and n <= MOST_TERMS:  # the terms of one question: of a text nothing else becomes a row
+            terms = [r.term for r in wanted.collect()]
+            own = F.filter("terms", lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+            return self.parsed.select("id", F.size("terms").alias("dl"), F.explode(own).alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
         if self.path is None:
             return self.postings.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
         held = self.postings
@@ -81,10 +86,11 @@ class Index:
         scored = matched.join(df, "term").crossJoin(totals)
         weight = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
         per = scored.withColumn("w", weight).join(asked, "term").groupBy("query_id", "id").agg((-F.sum("w")).alias("raw"))
+        # ranks alone, so that Spark keeps the first of each task before it shuffles; candidates are an aggregate of their own
         order = Window.partitionBy("query_id").orderBy(F.bround("raw", 9), "id")
-        every = Window.partitionBy("query_id")
-        ranked = per.withColumn("rank", F.row_number().over(order)).withColumn("candidates", F.count(F.lit(1)).over(every))
-        return ranked.filter(F.col("rank") <= most).select("query_id", F.col("rank").cast("long").alias("rank"), "id", (F.bround("raw", 6) + 0.0).alias("score"), "candidates")
+        best = per.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+        counted = per.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+        return best.join(counted, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "id", (F.bround("raw", 6) + 0.0).alias("score"), "candidates")
 
 
 def drilldown(fragments: DataFrame, hits: DataFrame, source: str, questions: DataFrame, sources: int = 3, most: int = 100) -> DataFrame:

@@ -6,25 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Kinds of exclusions, and the column of a membership that each names.
+EXCLUSIONS = {"fragment": "fragment_id", "source": "source_id", "family": "family_id"}
+#: Fixed value: collections that a request may ask for.
+MOST_COLLECTIONS = 16
+
+
 def compile_access(memberships: DataFrame, collection_rules: DataFrame, source_rules: DataFrame, requested: list[str], exclusions: DataFrame | None = None) -> DataFrame:
     """Each candidate fragment with `permitted` and `policy_denied`.
 
-    memberships: (fragment_id, source_id, collection_id, state). Over its memberships in the requested
-    collections a fragment needs one at least, all active, and every collection listed as allowed; a
-    denied source denies it. An excluded fragment, source or family (exclusions: kind, id) is dropped
-    without counting as a policy denial.
+    memberships: (fragment_id, source_id, collection_id, state), and family_id where families are excluded. Over its
+    memberships in the requested collections (one to MOST_COLLECTIONS, each once) a fragment needs one at least, all
+    active, and every collection listed as allowed; a denied source denies it. An excluded fragment, source or family
+    (exclusions: kind, id) is dropped without counting as a policy denial; a fragment without a family is in none. An
+    exclusion of another kind, or of families where memberships have none, is an error: it never goes unnoticed.
     """
-    rows = memberships.filter(F.col("collection_id").isin(requested))
+    if not 1 <= len(requested) <= MOST_COLLECTIONS or len(set(requested)) != len(requested):
+        raise ValueError(f"a request names 1 to {MOST_COLLECTIONS} collections, each once")
+    family = ["family_id"] if "family_id" in memberships.columns else []
+    rows = memberships.select("fragment_id", "source_id", *family, "collection_id", "state").filter(F.col("collection_id").isin(requested))
     rules = collection_rules.select("collection_id", F.col("effect").alias("_c"))
     rows = rows.join(rules, "collection_id", "left").join(source_rules.select("source_id", F.col("effect").alias("_s")), "source_id", "left")
-    per = rows.groupBy("fragment_id", "source_id").agg(
+    per = rows.groupBy("fragment_id", "source_id", *family).agg(
         F.bool_and(F.col("state") == "active").alias("_active"),
         F.bool_and(F.coalesce(F.col("_c") == "allow", F.lit(False))).alias("_listed"),
         F.bool_or(F.coalesce(F.col("_s") == "deny", F.lit(False))).alias("_denied"),
     )
     if exclusions is not None:
-        for kind, column in (("fragment", "fragment_id"), ("source", "source_id")):
-            per = per.join(exclusions.filter(F.col("kind") == kind).select(F.col("id").alias(column)), column, "left_anti")
+        kinds = {r.kind for r in exclusions.select("kind").distinct().limit(len(EXCLUSIONS) + 1).collect()}
+        if unknown := kinds - set(EXCLUSIONS):
+            raise ValueError(f"exclusions of unknown kinds: {sorted(map(str, unknown))}")
+        if "family" in kinds and not family:
+            raise ValueError("families are excluded, but memberships have no family_id")
+        for kind in sorted(kinds):
+            column = EXCLUSIONS[kind]
+            out = exclusions.filter(F.col("kind") == kind).select(F.col("id").alias("_out")).distinct()
+            per = per.join(out, F.col(column) == F.col("_out"), "left_anti")
     ok = F.col("_listed") & ~F.col("_denied")
     return per.select("fragment_id", "source_id", (F.col("_active") & ok).alias("permitted"), (F.col("_active") & ~ok).alias("policy_denied"))
 
@@ -71,6 +88,27 @@ def identified(files: DataFrame, declared: DataFrame) -> DataFrame:
     return files.join(declared, "relative_path")
 
 
+def lineage_roles(sources: DataFrame, order: str = "source_id") -> DataFrame:
+    """source_id, family, root_id and role of (source_id, sha256, declared, `order`): root, duplicate or derivative.
+
+    `declared` is the family that a source's identity names, null where it names none. A source without one joins the
+    family of the first source with its bytes, as a duplicate; the first is the root of a family of its own, named by
+    its id. In a declared family the first source is the root, a later one a duplicate if the family has its bytes
+    already, else a derivative. Null digests equal nothing. Ties of `order` go to the least source_id. Bytes of two
+    declared families are conflicts, and so is a source that is bound twice (`lineage_conflicts`); neither is settled here.
+    """
+    place = F.struct(F.col(order).alias("at"), F.col("source_id").alias("id"))
+    rows = sources.select("source_id", "sha256", F.col("declared").alias("_d"), place.alias("_p"))
+    first = rows.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("_p").alias("_first"), F.min_by("_d", F.when(F.col("_d").isNotNull(), F.col("_p"))).alias("_known"))
+    named = rows.join(first, "sha256", "left").withColumn("_own", F.coalesce(F.col("_first")["id"], F.col("source_id")))
+    named = named.withColumn("family", F.coalesce("_d", "_known", F.col("_own").cast("string")))
+    roots = named.groupBy("family").agg(F.min("_p").alias("_root"))
+    bytes_ = named.filter("sha256 IS NOT NULL").groupBy("family", "sha256").agg(F.min("_p").alias("_same"))
+    rows = named.join(roots, "family").join(bytes_, ["family", "sha256"], "left")
+    role = F.when(F.col("_p") == F.col("_root"), "root").when(F.col("_same") < F.col("_p"), "duplicate").otherwise("derivative")
+    return rows.select("source_id", "family", F.col("_root")["id"].alias("root_id"), role.alias("role"))
+
+
 def duplicate_lineage(sources: DataFrame, order: str = "doc_id", digest: str = "text_sha256") -> DataFrame:
     """Sources whose bytes already exist join the family of the first: root_id, family size and role."""
     roots = sources.groupBy(digest).agg(F.min(order).alias("root_id"), F.count(F.lit(1)).alias("family_size"))

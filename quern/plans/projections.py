@@ -10,12 +10,12 @@ from quern.plans.registry import query
 from quern.session import table
 
 
-@query("""SELECT 'material' AS kind, CAST(c_custkey AS VARCHAR) AS id, 'source_id' AS field, CAST(c_nationkey AS VARCHAR) AS missing FROM customer WHERE c_nationkey >= 20
-UNION ALL SELECT 'theme', CAST(p_partkey AS VARCHAR), 'question_ids', CAST(p_size AS VARCHAR) FROM part WHERE p_size > 24
-UNION ALL SELECT 'theme', CAST(p_partkey AS VARCHAR), 'question_ids', CAST(p_size + 1 AS VARCHAR) FROM part WHERE p_size + 1 > 24
+@query("""SELECT 'material' AS kind, CAST(c_custkey AS VARCHAR) AS id, 'source_id' AS field, CAST(c_nationkey AS VARCHAR) AS missing FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 20)
+UNION ALL SELECT 'theme', CAST(p_partkey AS VARCHAR), 'question_ids', CAST(p_size AS VARCHAR) FROM part WHERE p_size NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'theme', CAST(p_partkey AS VARCHAR), 'question_ids', CAST(p_size + 1 AS VARCHAR) FROM part WHERE p_size + 1 NOT IN (SELECT n_nationkey FROM nation)
 UNION ALL SELECT 'theme', CAST(p_partkey AS VARCHAR), 'gap_ids', '1' FROM part WHERE p_size > 40""")
 def projection_faults(spark, sf_dir):
-    """Customers as materials of 20 nations, parts as themes of the questions 0 to 24 and of a kind that the atlas lacks."""
+    """Customers as materials of 20 nations, parts as themes of the nations as questions and of a kind that the atlas lacks."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
     materials = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("source_id"))
     gaps = F.when(F.col("p_size") > 40, F.array(F.lit("1")))

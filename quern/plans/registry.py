@@ -73,9 +73,13 @@ SELECT query_id, rank, id AS {key}, round_even(raw, 6) + 0.0 AS score, candidate
 SESSIONS = packets.Scopes()
 
 
-def _session(spark: SparkSession, name: str, fragments: DataFrame, key: str) -> retrieval.Index:
-    """The saved index of a scope, made at its first question."""
-    return SESSIONS.open(f"{spark.sparkContext.applicationId}:{name}", lambda: retrieval.Index(fragments, key).saved(scratch(spark, "index")))
+def _session(spark: SparkSession, fragments: DataFrame, key: str) -> retrieval.Index:
+    """The saved index of a scope, made at its first question. A scope is named by the hash of what it may read, ids
+    and texts, so a table that changed, or another permitted set, gets an index of its own."""
+    own = fragments.select(F.lit(1).alias("scope"), F.concat_ws("\x1f", F.col(key).cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("member"))
+    held = set_manifest(own, "scope", "member").first()
+    scope_hash = held["manifest_hash"] if held else "nothing"
+    return SESSIONS.open(f"{spark.sparkContext.applicationId}:{key}:{scope_hash}", lambda: retrieval.Index(fragments, key).saved(scratch(spark, "index")))
 
 
 def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +95,13 @@ def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(bm25_sql("SELECT doc_id AS id, text FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3'", "doc_id", f"SELECT 1 AS query_id, '{QUESTION}' AS question", 10).replace("SELECT query_id, rank,", "SELECT rank,"))
 def scoped_bm25_top10(spark, sf_dir):
     asked = spark.createDataFrame([(1, QUESTION)], "query_id int, question string")
-    return _session(spark, f"scoped:{sf_dir}", _scoped(spark, sf_dir), "doc_id").search(asked, 10).select("rank", F.col("id").alias("doc_id"), "score", "candidates")
+    return _session(spark, _scoped(spark, sf_dir), "doc_id").search(asked, 10).select("rank", F.col("id").alias("doc_id"), "score", "candidates")
 
 
 @query(bm25_sql("SELECT doc_id AS id, text FROM documents", "doc_id", "SELECT item_id AS query_id, text AS question FROM benchmark", 10))
 def bm25_batch(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return _session(spark, f"documents:{sf_dir}", table(spark, sf_dir, "documents"), "doc_id").search(asked, 10).withColumnRenamed("id", "doc_id")
+    return _session(spark, table(spark, sf_dir, "documents"), "doc_id").search(asked, 10).withColumnRenamed("id", "doc_id")
 
 
 @query(bm25_sql(f"SELECT doc_id || '#' || ordinal AS id, text FROM {LINES} x", "fragment_id", f"SELECT 1 AS query_id, '{QUESTION}' AS question", 25))
@@ -119,7 +123,7 @@ def replay_diff(spark, sf_dir):
     """A search that cuts the texts anew against one over the saved index of the same lines."""
     asked = spark.createDataFrame([(1, QUESTION)], "query_id int, question string")
     lines = fragments.line_fragments(table(spark, sf_dir, "documents"))
-    again = _session(spark, f"lines:{sf_dir}", lines, "fragment_id").search(asked, 25).withColumnRenamed("id", "fragment_id")
+    again = _session(spark, lines, "fragment_id").search(asked, 25).withColumnRenamed("id", "fragment_id")
     return retrieval.replay_difference(bm25_lines(spark, sf_dir), again).agg(F.count(F.lit(1)).alias("differing"))
 
 
@@ -445,4 +449,4 @@ def outbox_stream(spark, sf_dir):
     return spark.read.schema(schema).parquet(sink).select("event_id", "event_type")
 
 
-from quern.plans import evidence, preparation, projections  # noqa: E402, F401  register their queries
+from quern.plans import evidence, graphs, preparation, projections  # noqa: E402, F401  register their queries

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -46,12 +47,35 @@ def _schema(events: DataFrame) -> str:
 
 
 def chained(events: DataFrame, session: str, sequence: str, payload: str, kind: str | None = None) -> DataFrame:
-    """Each event with its number, its hash over the hash before it, and its status. A session is one fold, in one task."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _folded(rows, session, sequence, payload, kind, (-1, GENESIS, False))[0]
-
-    return events.groupBy(session).applyInPandas(run, _schema(events))
+    """Each event with its number, its hash over the hash before it, and its status.
+
+    A hash needs the one before it, so a session is one fold, in order; its rows stream through a task, which holds
+    one session's last hash and a batch, whatever the session's length. Ties of `sequence` are in order of payload.
+    """
+    dealt = events.repartition(session).sortWithinPartitions(session, sequence, payload)
+    names = events.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, last, previous, closed = None, False, -1, GENESIS, False
+        sha = hashlib.sha256
+        for batch in batches:
+            ids, texts = (batch.column(names.index(c)).to_pylist() for c in (session, payload))
+            kinds = batch.column(names.index(kind)).to_pylist() if kind is not None else None
+            numbers, hashes, befores, states = [], [], [], []
+            for k, (own, text) in enumerate(zip(ids, texts, strict=True)):
+                if not begun or own != now:
+                    now, begun, last, previous, closed = own, True, -1, GENESIS, False
+                if closed:
+                    numbers.append(None), hashes.append(None), befores.append(None), states.append("closed")
+                    continue
+                last += 1
+                digest = sha(f"{own}|{last}|{text or ''}|{previous}".encode()).hexdigest()
+                numbers.append(last), hashes.append(digest), befores.append(previous), states.append("accepted")
+                previous, closed = digest, kinds is not None and kinds[k] == CLOSES
+            added = [pa.array(numbers, pa.int64()), *(pa.array(x, pa.string()) for x in (hashes, befores, states))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "chain_sequence", "event_hash", "previous_hash", "status"])
+
+    return dealt.mapInArrow(run, _schema(events))
 
 
 def append_stream(events: DataFrame, session: str, sequence: str, payload: str, kind: str) -> DataFrame:
