@@ -1,12 +1,16 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view has a logistic model of its own. In every round both models score all documents; the TAUGHT rows
-that a model is surest of, of either label, go with that label to the other view's training rows. In the end
-each view is calibrated on labelled rows that neither was fitted on, and a document's score combines the
-calibrated log-odds of both views, weighted by how well each does there.
+Each view has a logistic model of its own. Its evidence is cross-fitted: every labelled row is scored by a model that
+was fitted on the other folds, which gives the view's calibration, its loss, and how often it is right where it is
+sure. A view may teach a label only if that share is high (PRECISE, smoothed); where there is no such evidence, none
+are taught. In every round the rows of the pool that a view is surest of go with its label to the other view's training
+rows, in the labels' own proportion and at most SHARE times as many as there are labelled rows. A view keeps what it was taught in a round
+only if its cross-fitted loss on labelled rows falls; else it stays as it was, so a useless view does no harm. In the
+end a document's score combines the calibrated log-odds of both views, weighted by how well each does.
 
 The models are fitted on at most SAMPLE labelled rows, by a hash of the id, and on those pseudo-labelled rows;
 the pool that pseudo-labels come from is every document, and every document is scored, on its whole text.
+The metadata view reads language, source and size as the table states them, never the text.
 """
 
 from __future__ import annotations
@@ -26,14 +30,18 @@ from quern.llm.shared import cut
 
 SAMPLE = 8_000
 ROUNDS = 2
-#: Rows of a label that each view labels for the other in a round, and how sure it has to be.
-TAUGHT = 400
+#: Rows that each view labels for the other in a round, as a share of the labelled rows; how sure it has to be of
+#: one, by its calibrated chance; how often it has to be right where it is that sure; and folds of the evidence.
+SHARE = 2.0
 SURE = 0.9
-#: Bins of hashed words in the text view; classes of line counts and of sizes in the metadata view.
+PRECISE = 0.8
+FOLDS = 3
+#: Bins of hashed words in the text view; classes of sizes in the metadata view.
 WORD_BINS = 256
-LINES, SIZES = 10, 20
+SIZES = 20
 SOURCES = 64
 LANGS = 16
+META = LANGS + SOURCES + 3 + SIZES
 
 #: Classes of bytes; letters and space first, then marks that are counted one by one.
 _MARKS = b"#*$%&|<>!?.,:;'\"-_()[]{}=/\\@+~`^\n\t"
@@ -69,22 +77,18 @@ def _slot(value: str | None, slots: int) -> int:
     return 0 if value is None else 1 + zlib.crc32(value.encode()) % (slots - 1)
 
 
-def meta_view(lang: list, source: list, n_chars: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Language, source, size and layout, and classes of line counts by classes of sizes; nulls have a slot, and a size of 0."""
+def meta_view(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
+    """Language, source and size, and classes of sizes; nulls have a slot, and a size of 0."""
     n = len(lang)
-    out = np.zeros((n, LANGS + SOURCES + 5 + LINES + SIZES + LINES * SIZES))
+    out = np.zeros((n, META))
     out[np.arange(n), [_slot(x, LANGS) for x in lang]] = 1
     out[np.arange(n), [LANGS + _slot(x, SOURCES) for x in source]] = 1
     size, at = np.log1p(np.maximum(n_chars, 0)), LANGS + SOURCES
     out[:, at] = size / 8
     out[:, at + 1] = (size / 8) ** 2
-    out[:, at + 2] = np.log1p(lines) / 4
-    out[:, at + 3] = np.log1p(np.maximum(n_chars, 0) / np.maximum(lines, 1)) / 6
-    out[:, at + 4] = size < np.log1p(100)
-    line = np.clip(lines, 0, LINES - 1).astype(np.int64)
+    out[:, at + 2] = size < np.log1p(100)
     large = np.clip(np.log2(np.maximum(n_chars, 0) + 1), 0, SIZES - 1).astype(np.int64)
-    for slot in (line, LINES + large, LINES + SIZES + line * SIZES + large):
-        out[np.arange(n), at + 5 + slot] = 1
+    out[np.arange(n), at + 3 + large] = 1
     return out
 
 
@@ -133,62 +137,95 @@ class Views:
         return X.logistic(both), [X.logistic(o) for o in odds]
 
 
+@dataclass
+class Evidence:
+    """How a view does on labelled rows, each scored by a model that was not fitted on it."""
+
+    scale: tuple[float, float]
+    loss: float
+    gain: float
+    quota: list[int]
+
+
+def _evidence(x: np.ndarray, y: np.ndarray, taught: list[np.ndarray]) -> Evidence:
+    """Calibration, loss, gain over the base rate, and how many rows of each label the view may teach."""
+    raw, fold = np.zeros(len(y)), np.arange(len(y)) % FOLDS
+    for f in range(FOLDS):
+        rest = fold != f
+        model = fit(*(np.concatenate(z) for z in zip((x[rest], y[rest].astype(float), np.ones(int(rest.sum()))), taught, strict=True)))
+        raw[~rest] = model.raw(x[~rest])
+    a, b = X.calibrate(raw, y)
+    scale = max(a, 0.0), b
+    p = np.clip(X.logistic(scale[0] * np.clip(raw, -X.MOST_SURE, X.MOST_SURE) + b), 1e-6, 1 - 1e-6)
+    loss = float(-np.mean(np.where(y > 0, np.log(p), np.log(1 - p))))
+    rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    base = -(rate * np.log(rate) + (1 - rate) * np.log(1 - rate))
+    quota = []
+    for label, sure in ((0, 1 - p >= SURE), (1, p >= SURE)):
+        right = (int((y[sure] == label).sum()) + 1) / (int(sure.sum()) + 2)
+        quota.append(int(SHARE * len(y) * (rate if label else 1 - rate)) if right >= PRECISE else 0)
+    return Evidence(scale, loss, max(base - loss, 0.0), quota)
+
+
 def co_train(views: list[np.ndarray], y: np.ndarray, surest, rounds: int = ROUNDS) -> Views:
-    """Fit both views on three quarters of the labelled rows, let them teach each other, calibrate on the last quarter.
+    """Fit both views on the labelled rows and let them teach each other where their evidence allows it.
 
-    surest(models) gives for each view the rows (views, labels) that its model is surest of and that it didn't give before.
+    surest(models, scales, quotas) gives for each view up to so many rows of each label (views, labels) that its model
+    is surest of and that weren't given before.
     """
     n = len(y)
-    last = np.arange(n) % 4 == 3
     base = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    if n < 8 or y[~last].min() == y[~last].max() or y[last].min() == y[last].max():
+    if min(y.sum(), n - y.sum()) < FOLDS or any(y[np.arange(n) % FOLDS != f].min() == y[np.arange(n) % FOLDS != f].max() for f in range(FOLDS)):
         flat = [Logistic(np.zeros(v.shape[1]), np.ones(v.shape[1]), np.zeros(v.shape[1] + 1)) for v in views]
         return Views(flat, [(0.0, base)] * 2, [0.5, 0.5], base)
-    train = [[v[~last], y[~last].astype(float), np.ones((~last).sum())] for v in views]
-    models = [fit(*t) for t in train]
+
+    def fitted(v: int, more: list[np.ndarray]) -> Logistic:
+        return fit(*(np.concatenate(z) for z in zip((views[v], y.astype(float), np.ones(n)), more, strict=True)))
+
+    taught = [[v[:0], np.zeros(0), np.zeros(0)] for v in views]
+    models = [fitted(v, taught[v]) for v in (0, 1)]
+    held = [_evidence(x, y, t) for x, t in zip(views, taught, strict=True)]
     for _ in range(rounds):
-        given = surest(models)
+        if not any(q for h in held for q in h.quota):
+            break
+        given = surest(models, [h.scale for h in held], [h.quota for h in held])
+        kept = False
         for v in (0, 1):
             rows, label = given[1 - v]
-            train[v] = [np.concatenate(x) for x in zip(train[v], (rows[v], label, np.full(len(label), 0.3)), strict=True)]
-        models = [fit(*t) for t in train]
-    scales, gains = [], []
-    for m, v in zip(models, views, strict=True):
-        raw = m.raw(v[last])
-        a, b = X.calibrate(raw, y[last])
-        p = np.clip(X.logistic(a * np.clip(raw, -X.MOST_SURE, X.MOST_SURE) + b), 1e-6, 1 - 1e-6)
-        loss = -np.mean(np.where(y[last] > 0, np.log(p), np.log(1 - p)))
-        rate = np.clip(y[last].mean(), 1e-6, 1 - 1e-6)
-        flat = -(rate * np.log(rate) + (1 - rate) * np.log(1 - rate))
-        scales.append((max(a, 0.0), b))
-        gains.append(max(flat - loss, 0.0))
-    whole = sum(gains) or 1.0
-    return Views(models, scales, [g / whole for g in gains], base)
+            if not len(label):
+                continue
+            more = [np.concatenate(z) for z in zip(taught[v], (rows[v], label, np.ones(len(label))), strict=True)]
+            after = _evidence(views[v], y, more)
+            if after.loss < held[v].loss:
+                taught[v], models[v], held[v], kept = more, fitted(v, more), after, True
+        if not kept:
+            break
+    whole = sum(h.gain for h in held) or 1.0
+    return Views(models, [h.scale for h in held], [h.gain / whole for h in held], base)
 
 
-WIDTHS = (2 * CLASSES + 7 + WORD_BINS, LANGS + SOURCES + 5 + LINES + SIZES + LINES * SIZES)
+WIDTHS = (2 * CLASSES + 7 + WORD_BINS, META)
 
 
 def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """Views of batches with text, lang, source, n_chars and lines in columns 1 to 5."""
+    """Views of batches with text, lang, source and n_chars in columns 1 to 4."""
     for a, b, buf, offs in W.slices(batch.column(1)):
         part = batch.slice(a, b - a)
-        numbers = [np.nan_to_num(part.column(k).to_numpy(zero_copy_only=False).astype(float)) for k in (4, 5)]
-        yield a, b, [text_view(buf, offs), meta_view(part.column(2).to_pylist(), part.column(3).to_pylist(), *numbers)]
+        chars = np.nan_to_num(part.column(4).to_numpy(zero_copy_only=False).astype(float))
+        yield a, b, [text_view(buf, offs), meta_view(part.column(2).to_pylist(), part.column(3).to_pylist(), chars)]
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, views in _views(batch):
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel())) for v in views]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(6).slice(a, b - a), *lists], names=["label", "place", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(5).slice(a, b - a), *lists], names=["label", "place", "text_view", "meta_view"])
 
 
 def _prepared(docs: DataFrame, first: str) -> DataFrame:
     text = F.col("text").cast("string")
     get = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return docs.select(F.col(first), text.alias("text"), get("lang", "string").alias("lang"), get("source", "string").alias("source"), get("n_chars", "double").alias("n_chars"), lines.cast("double").alias("lines"), F.xxhash64("doc_id", text).alias("place"))
+    return docs.select(F.col(first), text.alias("text"), get("lang", "string").alias("lang"), get("source", "string").alias("source"), get("n_chars", "double").alias("n_chars"), F.xxhash64("doc_id", text).alias("place"))
 
 
 def _matrix(rows: DataFrame, name: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -208,26 +245,27 @@ class Pool:
         self.docs = docs.filter("doc_id IS NOT NULL")
         self.before: DataFrame | None = None
 
-    def surest(self, models: list[Logistic]) -> list[tuple[list[np.ndarray], np.ndarray]]:
-        held = self.docs.sparkSession.sparkContext.broadcast(models)
+    def surest(self, models: list[Logistic], scales: list[tuple[float, float]], quotas: list[list[int]]) -> list[tuple[list[np.ndarray], np.ndarray]]:
+        held = self.docs.sparkSession.sparkContext.broadcast((models, scales))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, views in _views(batch):
-                    p = [X.logistic(m.raw(v)) for m, v in zip(held.value, views, strict=True)]
+                    p = [X.logistic(k * np.clip(m.raw(v), -X.MOST_SURE, X.MOST_SURE) + c) for m, v, (k, c) in zip(held.value[0], views, held.value[1], strict=True)]
                     sure = np.flatnonzero(np.max([np.maximum(x, 1 - x) for x in p], axis=0) >= SURE)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(sure)), *(pa.array(x[sure]) for x in p)], names=["doc_id", "p0", "p1"])
 
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         found = cut(_prepared(self.docs, "doc_id").mapInArrow(run, f"doc_id {kind}, p0 double, p1 double"), "sure").dropDuplicates(["doc_id"])
         if self.before is not None:
-            found = found.join(F.broadcast(self.before), "doc_id", "left_anti")  # at most 4 * TAUGHT ids a round
-        tops = []
+            found = found.join(F.broadcast(self.before), "doc_id", "left_anti")  # at most 2 * SHARE of the sample a round
+        taught = None
         for v in (0, 1):
             for label in (0, 1):
                 sure = F.col(f"p{v}") if label else 1 - F.col(f"p{v}")
-                tops.append(found.filter(sure >= SURE).orderBy(F.desc(sure), X.drawn("doc_id"), "doc_id").limit(TAUGHT).select("doc_id", F.lit(2.0 * v + label).alias("label")))
-        taught = cut(tops[0].unionByName(tops[1]).unionByName(tops[2]).unionByName(tops[3]), "taught")
+                top = found.filter(sure >= SURE).orderBy(F.desc(sure), X.drawn("doc_id"), "doc_id").limit(quotas[v][label]).select("doc_id", F.lit(2.0 * v + label).alias("label"))
+                taught = top if taught is None else taught.unionByName(top)
+        taught = cut(taught, "taught")
         ids = taught.select("doc_id").distinct()
         self.before = ids if self.before is None else self.before.unionByName(ids)
         code, views = _matrix(self.docs.drop("label").join(F.broadcast(taught), "doc_id"), "taught-views")
