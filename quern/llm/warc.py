@@ -3,10 +3,12 @@
 Writing: each task writes archives of one gzip member per record under names of its own; the driver lists
 those of the tasks that won in a manifest, so a task that runs twice leaves nothing that is read.
 
-Reading: archives are dealt to partitions by size. Equality and membership filters on WARC-Type, and
-comparisons on the record's other headers, are pushed down. A record's headers are parsed first; the
-payload of a record that a filter rejects, or all payloads with the option payload=false, are skipped without
-decoding where the writer's index of member lengths allows it, and otherwise inflated only to find their end.
+Reading: archives are dealt to partitions by size, and an archive that has the writer's index of member lengths is
+split by it (option split_bytes). Archives of others are read whole, by one task each, since a record's beginning
+can't be told from payload that looks like one. Equality, membership, presence, order and prefix filters on any
+header are pushed down. A record's headers are parsed first; the payload of a record that a filter rejects, or all
+payloads with the option payload=false, are skipped without decoding where the index allows it, and otherwise
+inflated, in pieces that are dropped, only to find their end.
 Spark doesn't tell a Python source which columns a query selects, so that option has to be given.
 
 Paths go through Arrow's file systems, so a store needs no mount: file, hdfs, s3, gs.
@@ -21,12 +23,28 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 #: Columns and the headers they hold.
@@ -70,19 +88,26 @@ def parse_head(data: bytes) -> dict[str, str]:
 
 
 class Archives(InputPartition):
-    def __init__(self, files: list[tuple[str, list[int] | None]]) -> None:
+    """Archives, or the records of one that begin in a range of its bytes."""
+
+    def __init__(self, files: list[tuple[str, int, int]]) -> None:
         self.files = files
 
 
+#: Comparisons of a header's value with a constant; strings compare by code point, as Spark's do.
+_COMPARED = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", StringStartsWith: "starts"}
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.columns = [f.name for f in schema.fields]
         self.path = options["path"]
         self.want_payload = str(options.get("payload", "true")).lower() != "false"
+        self.split_bytes = int(options.get("split_bytes", PARTITION_BYTES))
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes equality, membership and presence of headers; gives back the rest."""
+        """Takes equality, membership, presence, order and prefixes of headers; gives back the rest."""
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if name in HEADERS and isinstance(f, EqualTo):
@@ -91,10 +116,14 @@ class WarcReader(DataSourceReader):
                 self.tests.append((name, "in", set(f.value)))
             elif name in HEADERS and isinstance(f, IsNotNull):
                 self.tests.append((name, "set", None))
+            elif name in HEADERS and type(f) in _COMPARED and isinstance(f.value, str):
+                self.tests.append((name, _COMPARED[type(f)], f.value))
             else:
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        """Small archives together; an archive with an index in ranges of `split_bytes`; one without it as a whole,
+        as nothing outside its records says where they begin."""
         fs, root = open_store(self.path)
         info = fs.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True))
         sizes = {i.base_name: i.size for i in info if i.is_file}
@@ -104,32 +133,36 @@ class WarcReader(DataSourceReader):
         else:
             names = sorted(n for n in sizes if n.endswith((".warc", ".warc.gz")))
         parts: list[InputPartition] = []
-        held: list[tuple[str, list[int] | None]] = []
+        held: list[tuple[str, int, int]] = []
         total = 0
         for name in names:
-            if held and total + sizes[name] > PARTITION_BYTES:
-                parts.append(Archives(held))
-                held, total = [], 0
-            held.append((f"{root}/{name}", None))
-            total += sizes[name]
+            step = self.split_bytes if f"{name}.idx" in sizes else max(sizes[name], 1)
+            for lo in range(0, max(sizes[name], 1), step):
+                hi = min(lo + step, sizes[name])
+                if held and total + hi - lo > self.split_bytes:
+                    parts.append(Archives(held))
+                    held, total = [], 0
+                held.append((f"{root}/{name}", lo, hi))
+                total += hi - lo
         return [*parts, Archives(held)] if held or not parts else parts
 
     def accepts(self, headers: dict[str, str]) -> bool:
         for column, kind, wanted in self.tests:
             value = headers.get(HEADERS[column].lower())
-            if value is None or (kind == "in" and value not in wanted):
+            if value is None or not _passes(kind, value, wanted):
                 return False
         return True
 
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
         fs, _ = open_store(self.path)
-        for name, _ in partition.files:
-            lengths = None
+        for name, lo, hi in partition.files:
+            starts = None
             if fs.get_file_info(name + ".idx").is_file:
                 with fs.open_input_stream(name + ".idx") as f:
                     lengths = json.loads(zlib.decompress(f.read()))
+                starts = [(at - n, n) for n, at in zip(lengths, accumulate(lengths), strict=True) if lo <= at - n < hi]
             with fs.open_input_file(name) as f:
-                yield from self.batches(records(f, name.endswith(".gz"), lengths, self.accepts, self.want_payload))
+                yield from self.batches(records(f, name.endswith(".gz"), starts, self.accepts, self.want_payload))
 
     def batches(self, found: Iterator[tuple[dict[str, str], bytes | None]]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[dict[str, str], bytes | None]] = []
@@ -155,87 +188,128 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, names=self.columns)
 
 
-def records(f, zipped: bool, lengths: list[int] | None, accepts, want_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Accepted records of an archive, in order: headers, and the payload if it is wanted."""
-    if zipped:
-        yield from _zipped(f, lengths, accepts, want_payload)
-    else:
-        yield from _plain(f, accepts, want_payload)
-
-
-def _zipped(f, lengths, accepts, want_payload):
-    if lengths is not None:
-        at = 0
-        for length in lengths:
-            f.seek(at)
-            at += length
-            inflate = zlib.decompressobj(31)
-            fed = f.read(min(length, 4096))
-            data = inflate.decompress(fed, 2048)
-            while (cut := data.find(b"\r\n\r\n")) < 0 and (inflate.unconsumed_tail or len(fed) < length):
-                more = inflate.unconsumed_tail
-                if not more:
-                    more = f.read(min(length - len(fed), 4096))
-                    fed += more
-                data += inflate.decompress(more, 4096)
-            headers = parse_head(data[:cut])
-            if not accepts(headers):
-                continue
-            if want_payload:
-                size = int(headers["content-length"])
-                data += inflate.decompress(inflate.unconsumed_tail + f.read(length - len(fed)))
-                yield headers, data[cut + 4 : cut + 4 + size]
-            else:
-                yield headers, None
+def _passes(kind: str, value: str, wanted) -> bool:
+    if kind == "in":
+        return value in wanted
+    if kind == "starts":
+        return value.startswith(wanted)
+    return kind == "set" or {">": value > wanted, ">=": value >= wanted, "<": value < wanted, "<=": value <= wanted}[kind]
+
+
+def records(f, zipped: bool, starts: list[tuple[int, int]] | None, accepts, want_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Accepted records of an archive, in order: headers, and the payload if it is wanted.
+
+    `starts` has the places and lengths of gzip members to read, each holding one record, as this library's index has
+    them. Without it the archive is read as one stream of records, however its members divide it.
+    """
+    if zipped and starts is not None:
+        yield from _indexed(f, starts, accepts, want_payload)
         return
-    rest = b""
-    while rest or (rest := f.read(1 << 16)):
-        inflate, data = zlib.decompressobj(31), b""
-        headers: dict[str, str] | None = None
-        keep = True
-        cut = -1
-        while not inflate.eof:
-            data_in = rest or f.read(1 << 16)
-            if not data_in:
-                raise ValueError("the archive ends within a record")
-            more = inflate.decompress(data_in)
-            rest = inflate.unused_data
-            if headers is None or keep:
-                data += more
-            if headers is None and (cut := data.find(b"\r\n\r\n")) >= 0:
-                headers = parse_head(data[:cut])
-                keep = accepts(headers) and want_payload
-        if headers is not None and accepts(headers):
-            yield headers, data[cut + 4 : cut + 4 + int(headers["content-length"])] if want_payload else None
-
-
-def _plain(f, accepts, want_payload):
-    data, at = b"", 0  # bytes read, and where they begin in the file
-    while True:
-        while (cut := data.find(b"\r\n\r\n")) < 0:
-            more = f.read(1 << 14)
-            if not more:
-                return
-            data += more
-        headers = parse_head(data[:cut].lstrip(b"\r\n"))
+    stream = Stream(f, zipped)
+    while (head_ := stream.head()) is not None:
+        headers = parse_head(head_)
         size = int(headers.get("content-length", 0))
-        end = cut + 4 + size
         if accepts(headers):
-            payload = None
             if want_payload:
-                while len(data) < end:
-                    more = f.read(max(1 << 14, end - len(data)))
-                    if not more:
-                        raise ValueError("the archive ends within a record")
-                    data += more
-                payload = data[cut + 4 : end]
-            yield headers, payload
-        at += end + 4
-        if len(data) >= end + 4:
-            data = data[end + 4 :]
+                yield headers, stream.take(size)
+                continue
+            yield headers, None
+        stream.skip(size)
+
+
+def _indexed(f, starts, accepts, want_payload):
+    for at, length in starts:
+        f.seek(at)
+        inflate = zlib.decompressobj(31)
+        fed = f.read(min(length, 4096))
+        data = inflate.decompress(fed, 2048)
+        while (cut := data.find(b"\r\n\r\n")) < 0 and (inflate.unconsumed_tail or len(fed) < length):
+            more = inflate.unconsumed_tail
+            if not more:
+                more = f.read(min(length - len(fed), 4096))
+                fed += more
+            data += inflate.decompress(more, 4096)
+        headers = parse_head(data[:cut])
+        if not accepts(headers):
+            continue
+        if want_payload:
+            size = int(headers["content-length"])
+            data += inflate.decompress(inflate.unconsumed_tail + f.read(length - len(fed)))
+            yield headers, data[cut + 4 : cut + 4 + size]
         else:
-            f.seek(at)
-            data = b""
+            yield headers, None
+
+
+class Stream:
+    """Bytes of an archive in order. A plain archive is passed over by seeking, a zipped one by inflating and dropping;
+    no more than a record's head, or a payload that is wanted, is held."""
+
+    STEP = 1 << 16
+
+    def __init__(self, f, zipped: bool) -> None:
+        self.f, self.held = f, b""
+        self.inflate = zlib.decompressobj(31) if zipped else None
+        self.rest = b""
+        self.begun = False
+
+    def _more(self) -> bytes:
+        """The next bytes; none at the end."""
+        if self.inflate is None:
+            return self.f.read(self.STEP)
+        while True:
+            if self.inflate.eof:
+                self.rest = self.inflate.unused_data
+                self.inflate, self.begun = zlib.decompressobj(31), False
+            data = self.rest or self.f.read(self.STEP)
+            self.rest = b""
+            if not data:
+                if self.begun:
+                    raise ValueError("the archive ends within a record")
+                return b""
+            self.begun = True
+            out = self.inflate.decompress(data, 16 * self.STEP)
+            self.rest = self.inflate.unconsumed_tail
+            if out:
+                return out
+
+    def head(self) -> bytes | None:
+        """The next record's head, without the line breaks before it; None at the end of the archive."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if (cut := self.held.find(b"\r\n\r\n")) >= 0:
+                head_, self.held = self.held[:cut], self.held[cut + 4 :]
+                return head_
+            more = self._more()
+            if not more:
+                if self.held.strip():
+                    raise ValueError("the archive ends within a record")
+                return None
+            self.held += more
+
+    def take(self, size: int) -> bytes:
+        parts, left = [self.held[:size]], size - len(self.held)
+        self.held = self.held[size:]
+        while left > 0:
+            more = self._more()
+            if not more:
+                raise ValueError("the archive ends within a record")
+            parts.append(more[:left])
+            self.held = more[left:]
+            left -= len(more)
+        return b"".join(parts)
+
+    def skip(self, size: int) -> None:
+        left = size - len(self.held)
+        self.held = self.held[size:]
+        if left > 0 and self.inflate is None:
+            self.f.seek(self.f.tell() + left)
+            return
+        while left > 0:
+            more = self._more()
+            if not more:
+                raise ValueError("the archive ends within a record")
+            self.held = more[left:]
+            left -= len(more)
 
 
 class Written(WriterCommitMessage):
@@ -342,15 +416,17 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
     page_id never stand for others: they are responses. Repeated page_ids with one payload are one
     response, repeated.
     """
-    from quern.llm.shared import with_group_min
+    from quern.llm.shared import cut, small, with_group_min
 
     rows = pages.select("page_id", F.col("url").cast("string").alias("target_uri"), F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("_digest", F.sha2("payload", 256)).withColumn("_size", F.length("payload"))
     # records that share nothing get a key of their own, so short or empty payloads form no group
     lone = (F.col("_size") < least) | F.col("page_id").isNull()
-    facts = rows.select("page_id", "_digest", "_size").filter(~lone)
+    facts = cut(rows.select("page_id", "_digest", "_size").filter(~lone), "payload-facts")
     first = with_group_min(facts, ["_digest"], "page_id", "_first").filter("_first <> page_id").select(F.col("page_id").alias("_page"), F.col("_digest").alias("_same"), "_first").distinct()
-    rows = rows.join(first, (F.col("page_id") == F.col("_page")) & (F.col("_digest") == F.col("_same")), "left")
+    first = cut(first, "revisits")
+    # while revisits are counted few, payloads stay where they are
+    rows = rows.join(small(first, first.count()), (F.col("page_id") == F.col("_page")) & (F.col("_digest") == F.col("_same")), "left")
     record = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return rows.select(
         F.when(F.col("_first").isNotNull(), "revisit").otherwise("response").alias("warc_type"),
