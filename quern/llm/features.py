@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import words as W
+from quern.llm.shared import cut, small
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -29,17 +30,23 @@ def drawn(by: str) -> Column:
 
 
 def even_sample(rows: DataFrame, most: int, kind: str, by: str = "doc_id") -> DataFrame:
-    """At most about `most` rows, as many of each `kind` as there are, up to an even share; what small kinds leave is reshared."""
-    counts = sorted((r.n, r.k) for r in rows.groupBy(F.col(kind).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per kind
-    left, bars = most, []
-    for at, (n, k) in enumerate(counts):
-        take = min(n, left / (len(counts) - at))
-        left -= take
-        bars.append((k, int(take / n * (1 << 62))))
-    if not bars:
-        return rows
-    limits = rows.sparkSession.createDataFrame(bars, f"`{kind}` string, _bar long")
-    return rows.join(F.broadcast(limits), kind).filter(drawn(by) <= F.col("_bar")).drop("_bar")
+    """At most about `most` rows, as many of each `kind` as there are, up to an even share; what small kinds leave is reshared.
+
+    Kinds may be many: they are counted in Spark, and the driver gets sums by the size class of their counts.
+    """
+    counts = cut(rows.groupBy(F.col(kind).alias("_kind")).agg(F.count(F.lit(1)).alias("_n")), "kinds")
+    classes = counts.groupBy(F.length(F.bin("_n")).alias("c")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("_n").alias("n")).orderBy("c").collect()  # 63 rows at most
+    kinds, below, level = sum(c.kinds for c in classes), 0, 0.0
+    for c in classes:
+        level = max((most - below) / kinds, 0.0)
+        if level < 1 << c.c - 1 or level < (1 << c.c) - 1 and c is not classes[-1]:
+            break
+        below, kinds = below + c.n, kinds - c.kinds
+        if not kinds:
+            return rows
+    bar = (F.least(F.lit(1.0), F.lit(level) / F.col("_n")) * F.lit(float(1 << 62))).cast("long")
+    limits = small(counts.select("_kind", bar.alias("_bar")), counts.count())
+    return rows.join(limits, F.col(kind) == F.col("_kind")).filter(drawn(by) <= F.col("_bar")).drop("_bar", "_kind")
 
 
 def terms(hashes: np.ndarray, bins: int) -> np.ndarray:

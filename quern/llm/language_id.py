@@ -8,8 +8,9 @@ a word's positions depend on the word alone, each distinct word of a run of docu
 counted as often as it occurs; texts are read whole. Training unrolls the network over every position
 and sends the error back through time, in both directions; the error is that of the pooled word.
 
-The network is fitted on words of at most SAMPLE labelled documents, evenly by language, so a rare language is
-learnt as well; of their words at most WORDS are drawn, as many of each language.
+The network is fitted on at most SAMPLE labelled documents, evenly by language, so a rare language is learnt as
+well; all words of their whole texts are read: in every epoch each distinct word of a language once, or as often as it
+takes for each language to have as many as the one with the most.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from quern.llm import features as X
 from quern.llm.shared import cut
 
-SAMPLE = 3_000
-WORDS = 60_000
+SAMPLE = 600
 HIDDEN = 16
 EMBED = 12
+#: Rounds over all words, or more until READ words have been read.
 EPOCHS = 3
+READ = 60_000
 BATCH = 128
 SEED = 9
 #: Bytes of a word read as one sequence; a longer word is read in pieces of this length, all of them.
@@ -138,8 +140,12 @@ def pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     word = np.repeat(np.arange(len(starts)), many)
     part = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
     lo = starts[word] + part * PIECE
-    length = np.minimum(ends[word] - lo, PIECE)
-    return word, lo, length, part
+    for _ in range(3):  # a piece begins with a character, never within one
+        lo = lo - ((part > 0) & ((buf[np.minimum(lo, len(buf) - 1)] & 0xC0) == 0x80))
+    hi = np.append(lo[1:], 0)
+    last = np.append(word[1:] != word[:-1], True) if len(word) else np.zeros(0, bool)
+    hi = np.where(last, ends[word], hi[: len(word)])
+    return word, lo, hi - lo, part
 
 
 def grid(buf: np.ndarray, lo: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +230,7 @@ def pooled(net: Network, words, known: Known | None = None) -> tuple[np.ndarray,
     return q / q.sum(axis=1, keepdims=True), np.bincount(doc, minlength=n) > 0
 
 
-def fit(texts: list[bytes], langs: list[str], words_most: int = WORDS) -> Network:
+def fit(texts: list[bytes], langs: list[str]) -> Network:
     """Train on words of labelled texts: a word's label is its document's language."""
     from quern.llm import words as W
 
@@ -238,18 +244,22 @@ def fit(texts: list[bytes], langs: list[str], words_most: int = WORDS) -> Networ
     owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
     label = np.array([classes.index(x) for x in langs])[owner]
     rng = np.random.default_rng(SEED)
-    # as many words of each language, so none is favoured by how much was written in it
-    each = words_most // len(classes)
-    use = np.concatenate([rng.permutation(use[label[use] == k])[:each] for k in range(len(classes))])
+    _, once = np.unique(np.rec.fromarrays([label[use], words.hashes[use]]), return_index=True)
+    use = use[once]
+    # words of a language with fewer are read more often, so none is favoured by how much was written in it
+    own = [use[label[use] == k] for k in range(len(classes))]
+    most = max(map(len, own))
+    use = np.concatenate([np.resize(rng.permutation(x), most) for x in own if len(x)])
     word, lo, length, _ = pieces(words.buf, words.starts[use], words.ends[use])
     label = label[use][word]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-READ // max(len(lo), 1)))
+    for epoch in range(epochs):
         # batches of like length, in random order
         order = np.lexsort((rng.random(len(lo)), length))
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
-        rate = 0.01 / (1 + epoch)
+        rate = 0.01 / (1 + epoch * EPOCHS / epochs)
         for k in rng.permutation(len(batches)):
             pick = batches[k]
             ids, mask = grid(words.buf, lo[pick], length[pick])
