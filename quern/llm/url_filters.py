@@ -55,14 +55,31 @@ def depths(valid: DataFrame) -> tuple[list[int], list[int]]:
     return sorted(r.n for r in rows if not r.path), sorted(r.n for r in rows if r.path)
 
 
+def normal_key(key: Column) -> Column:
+    """A list's key in the form that captures are asked for: no scheme, user, port, query or fragment, the host in lower
+    case without dots at its ends, path segments parted by one slash. Null where no host is left."""
+    bare = F.regexp_replace(F.trim(key), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
+    bare = F.regexp_replace(bare, r"[?#].*$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/]*)", 1)), r"^.*@", "")
+    host = F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"^[*.]+|\.+$", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[^/]*(/.*)$", 1), "/+", "/"), "/$", "")
+    return F.when(host != "", F.concat(host, path))
+
+
+def key_faults(entries: DataFrame) -> DataFrame:
+    """(list, key) of entries whose key has no host: they can't match any capture."""
+    return entries.filter(F.col("key").isNotNull() & normal_key(F.col("key")).isNull()).select("list", "key").distinct()
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, action, at) to (list, key, action, since, until): in force from `at` to the key's next entry on that list.
 
-    Entries with a null in any of the four say nothing and are left out. Of several entries of a key at
+    Keys are brought to one form first (`normal_key`), so `http://B.C:80/` is `b.c`; those without a host are left out
+    (`key_faults` lists them). Entries with a null in any of the four say nothing and are left out. Of several entries of a key at
     one time the one whose action sorts last holds, so a block wins over an allow, and a removal over both.
     Repeated entries are one.
     """
-    whole = entries.select("list", "key", "action", "at").dropna()
+    whole = entries.select("list", normal_key(F.col("key")).alias("key"), "action", "at").dropna()
     one = whole.groupBy("list", "key", "at").agg(F.max("action").alias("action"))
     nxt = F.lead("at").over(Window.partitionBy("list", "key").orderBy("at"))
     return one.withColumn("until", nxt).filter("action <> 'remove'").select("list", "key", "action", F.col("at").alias("since"), "until")
@@ -81,10 +98,14 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     n = valid.count()
     labels, segments = depths(valid)
     captures = captures.drop("blocked", "by_list", "by_key")
-    asked = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).distinct()
+    rows = captures.select(F.struct(*captures.columns).alias("_row"), F.col(url).alias("_cu"), F.col(at).alias("_ct"))
+    asked = rows.select(F.col("_cu").alias("_url"), F.col("_ct").alias("_at")).filter("_url IS NOT NULL AND _at IS NOT NULL").distinct()
     keyed = asked.select("_url", "_at", F.explode_outer(keys_of(F.col("_url"), labels, segments)).alias("_k"))
     met = keyed.join(small(valid, n), (F.col("_k.key") == F.col("_key")) & (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
     # the most specific key first, then block before allow, then the list's name
     best = met.groupBy("_url", "_at").agg(F.min(F.struct((-F.col("_k.depth")).alias("d"), F.when(F.col("_action") == "block", 0).otherwise(1).alias("a"), F.col("_list").alias("l"), F.col("_key").alias("k"))).alias("_b"))
-    joined = captures.join(best, F.col(url).eqNullSafe(F.col("_url")) & F.col(at).eqNullSafe(F.col("_at")), "left")
-    return joined.select(*captures.columns, F.coalesce(F.col("_b.a") == 0, F.lit(False)).alias("blocked"), F.col("_b.l").alias("by_list"), F.col("_b.k").alias("by_key"))
+    # rows without a URL or a time match nothing: each is dealt by a number of its own, not all by one null
+    deal = F.when(F.col("_cu").isNull() | F.col("_ct").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    rows = rows.withColumn("_deal", deal)
+    joined = rows.join(best.withColumn("_one", F.lit(-1).cast("long")), (F.col("_cu") == F.col("_url")) & (F.col("_ct") == F.col("_at")) & (F.col("_deal") == F.col("_one")), "left")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in captures.columns], F.coalesce(F.col("_b.a") == 0, F.lit(False)).alias("blocked"), F.col("_b.l").alias("by_list"), F.col("_b.k").alias("by_key"))
