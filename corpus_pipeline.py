@@ -25,13 +25,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is a document with a key of its own, so repeated rows and rows with a null id are copies
     like any other; a null id comes after all others. A text without words is no copy and stays.
     """
-    rows = cut(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-    found = near_dedup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
+    rows = cut(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_key")), "keyed")
+    found = near_dedup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), F.col("_row")["text"].alias("text"))).withColumnRenamed("doc_id", "_key")
     groups = cut(found.select("_key", "component_id"), "groups")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
-    stay = groups.join(rows.select("_key", F.col("doc_id").alias("_id")), "_key").groupBy("component_id").agg(F.min(order)["key"].alias("_key"))
+    stay = groups.join(rows.select("_key", F.col("_row")["doc_id"].alias("_id")), "_key").groupBy("component_id").agg(F.min(order)["key"].alias("_key"))
     dropped = cut(groups.select("_key").join(stay.select("_key"), "_key", "left_anti"), "copies")
-    return rows.join(dropped, "_key", "left_anti").select(*docs.columns)
+    return rows.join(dropped, "_key", "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

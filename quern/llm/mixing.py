@@ -56,10 +56,10 @@ def mix(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
     alike. A null id is dealt to blocks by its text. Columns named like those added are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "n_docs")
-    rows = docs.withColumn("size", F.size(words_of(text)).cast("long"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", "doc_id", F.col(text).alias("_text"), F.size(words_of(text)).cast("long").alias("size"))
     rows = rows.withColumn("_bits", F.length(F.bin("size")))
     rows = rows.withColumn("_class", (F.col("_bits") * 8 + F.call_function("shiftright", F.col("size") * 8, F.col("_bits") - 1)).cast("int")).drop("_bits")
-    rows = rows.withColumn("_mix", number(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(text)))))
+    rows = rows.withColumn("_mix", number(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5("_text"))))).drop("_text")
     rows = rows.withColumn("_block", (F.col("_mix") % SPREAD).cast("int"))
     per_block = rows.groupBy("source", "_class", "_block").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
     per_block = cut(per_block, "blocks")
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, seed: int = 7, text: str = "text") -> DataFrame:
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_block") == F.col("_b")))
     place = F.col("_start") + F.col("_at")
     copies = F.floor(F.col("_offset") + F.col("_share") * (place + 1)) - F.floor(F.col("_offset") + F.col("_share") * place)
-    return placed.withColumn("copies", F.least(copies, F.lit(MOST)).cast("long")).select(*docs.columns, "size", "source_size", "target", "copies")
+    return placed.withColumn("copies", F.least(copies, F.lit(MOST)).cast("long")).select(*[F.col("_row")[c].alias(c) for c in docs.columns], "size", "source_size", "target", "copies")
 
 
 def emit(docs: DataFrame, seed: int = 7) -> DataFrame:

@@ -58,9 +58,10 @@ def measure(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
     A null or empty text has no words and zeros everywhere. Columns of the input named like a
     measurement are replaced. Rows are judged one by one: repeats and ties change nothing.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
     docs = docs.drop(*MEASURES)
-    step = docs.withColumn("_words", words_of(t)).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(NO_WORD)))
+    step = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    t = F.col("_text")
+    step = step.withColumn("_words", words_of(t)).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(NO_WORD)))
     step = step.withColumn("_n", F.size("_words"))
     hashed = F.transform("_words", lambda w: F.xxhash64(w))
     step = step.withColumn("_hash", F.when(F.col("_n") > window, hashed))
@@ -71,8 +72,8 @@ def measure(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
     repeats = F.when(F.col("_ordered").isNotNull(), _covered("_ordered", window)).otherwise(F.lit(0))
     letters = F.regexp_replace(F.concat_ws("", "_words"), r"[^\p{L}]+", "")
     step = step.withColumn("_letters", letters)
-    return step.select(
-        *docs.columns,
+    measured = step.select(
+        "_row",
         F.col("_n").cast("long").alias("n_words"),
         F.char_length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -82,6 +83,7 @@ def measure(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         F.char_length("_letters").cast("long").alias("n_letters"),
         F.regexp_count("_letters", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
+    return measured.select(*[F.col("_row")[c].alias(c) for c in docs.columns], *MEASURES)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -105,7 +107,8 @@ def passing(rows: DataFrame, policy: str) -> DataFrame:
     generator makes can't be tested before it, so the filter stays behind and every rule is evaluated once.
     """
     bits = F.col("failed_bits").bitwiseAND(F.lit(mask(policy)))
-    return rows.withColumn("_passes", F.explode_outer(F.array(bits == 0))).filter("_passes").drop("_passes")
+    passes = max(rows.columns, key=len) + "_passes"  # no column of the input has this name
+    return rows.withColumn(passes, F.explode_outer(F.array(bits == 0))).filter(F.col(passes)).drop(passes)
 
 
 def ablation(rows: DataFrame, policy: str) -> DataFrame:
@@ -118,3 +121,12 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
     )
     each = F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(f"f_{r}", F.lit(0)).alias("failed"), F.coalesce(f"o_{r}", F.lit(0)).alias("only_failure")) for r in POLICIES[policy]])
     return sums.select(F.inline(each))
+
+
+def ablations(rows: DataFrame, policies: list[str] | None = None) -> DataFrame:
+    """`ablation` of several policy versions over one ledger: (policy, rule, failed, only_failure)."""
+    out = None
+    for policy in policies or list(POLICIES):
+        part = ablation(rows, policy).select(F.lit(policy).alias("policy"), "rule", F.col("failed").cast("long").alias("failed"), F.col("only_failure").cast("long").alias("only_failure"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -244,8 +244,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     what they share. Columns named like those added are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    keyed = docs.withColumn("_k", row_key(*[c for c in ("doc_id", text) if c in docs.columns]))
-    spans = repeated_spans(keyed.select(F.col("_k").alias("k"), F.col(text).cast("string").alias("text")), window)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_key(*[c for c in ("doc_id", text) if c in docs.columns]).alias("_k"))
+    spans = repeated_spans(keyed.select(F.col("_k").alias("k"), F.col("_row")[text].cast("string").alias("text")), window)
     spans = spans.distinct().groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     joined = keyed.join(spans.withColumnRenamed("k", "_k"), "_k", "left")
     others = [c for c in docs.columns if c != text]
@@ -261,6 +261,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
                 at += part.num_rows
                 yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(n + 1)], *part.columns[1:]], names=[*others, text, "n_words", "n_removed", "kept_text"])
 
-    return joined.select(*others, F.col(text).cast("string").alias(text), "_spans").mapInArrow(run, schema)
+    return joined.select(*[F.col("_row")[c].alias(c) for c in others], F.col("_row")[text].cast("string").alias(text), F.col("_spans").alias("_found_spans")).mapInArrow(run, schema)
 
 
