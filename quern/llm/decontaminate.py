@@ -8,8 +8,9 @@
    equality join on (length, block, value) finds all items within RADIUS bits of a window.
 4. Candidates are confirmed by exact weighted Jaccard similarity of their shingle sets.
 
-At a similarity of 0.8 two fingerprints differ by about 10 +- 3 of 64 bits, so a window at just that similarity
-lies beyond the radius about once in a hundred cases, one at 0.9 never in practice.
+At a similarity of 0.8 two fingerprints differ by about 10 +- 3 of 64 bits, so the radius of 24 lies five deviations
+beyond: no window at the threshold is lost in practice. Blocks of two or three bits, which such a radius asks for,
+tell few items apart by themselves; length and the count of differing bits do.
 
 Weights are whole numbers, rarer shingles of the benchmark weighing more, so sums don't depend on order.
 """
@@ -25,7 +26,7 @@ from quern.llm.shared import cut, row_key, small
 
 SHINGLE = 5
 PERCENT = 80
-RADIUS = 16
+RADIUS = 24
 _BITS = 64
 
 
@@ -60,16 +61,19 @@ def _fingerprint(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
 
 
 def index_items(items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Items by (item_id, size, whole weight, print), their (h, item_id, wt) shingles, and the weight of others."""
+    """Items by (item, item_id, size, whole weight, print), their (h, item, wt) shingles, and the weight of others.
+
+    An item is an item_id with one text: `item` names both, so texts that share an id are items of their own.
+    """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), shingle_hashes(tokens("text")).alias("sh"))
-    rows = rows.filter((F.size("sh") > 0) & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
-    sizes = rows.select("item_id", F.size("sh").alias("size"))
-    each = rows.select("item_id", F.explode_outer(F.array_distinct("sh")).alias("h"))
+    rows = rows.filter((F.size("sh") > 0) & F.col("item_id").isNotNull()).withColumn("item", F.xxhash64("item_id", "sh")).dropDuplicates(["item"])
+    sizes = rows.select("item", "item_id", F.size("sh").alias("size"))
+    each = rows.select("item", F.explode_outer(F.array_distinct("sh")).alias("h"))
     n = sizes.count()
     spread = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).select("h", F.round(F.log(F.lit(1.0) + F.lit(float(n)) / F.col("df")) * 256).cast("long").alias("wt"))
-    shingles = cut(each.join(spread, "h").select("h", "item_id", "wt"), "item-shingles")
-    prints = _fingerprint(shingles, ["item_id"], F.sum("wt").alias("whole"))
-    return cut(prints.join(sizes, "item_id"), "items"), shingles, round(math.log(1.0 + max(n, 1)) * 256)
+    shingles = cut(each.join(spread, "h").select("h", "item", "wt"), "item-shingles")
+    prints = _fingerprint(shingles, ["item"], F.sum("wt").alias("whole"))
+    return cut(prints.join(sizes, "item"), "items"), shingles, round(math.log(1.0 + max(n, 1)) * 256)
 
 
 def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -77,7 +81,7 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFr
     indexed, shingles, other = index_items(items)
     n_shingles = shingles.count()
     sizes = indexed.groupBy("size").agg(F.min("whole").alias("least"))
-    known = shingles.join(indexed.select("item_id", "size"), "item_id").select("h", "size", "wt").distinct().join(sizes, "size")
+    known = shingles.join(indexed.select("item", "size"), "item").select("h", "size", "wt").distinct().join(sizes, "size")
     parsed = docs.withColumn("_w", tokens("text")).select("k", shingle_hashes(F.col("_w")).alias("sh"))
     # the outer form: Spark would repeat the whole of `sh` in a filter ahead of the plain one
     placed = parsed.select("k", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("pos", "h"))
@@ -98,11 +102,11 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFr
     weights = shingles.select("h", "wt").distinct()
     inside = cut(inside.join(small(weights, n_shingles), "h", "left").withColumn("wt", F.coalesce("wt", F.lit(other))), "window-shingles")
     prints = _fingerprint(inside, ["k", "size", "at"], F.sum("wt").alias("held")).withColumn("_b", F.explode(_blocks("print")))
-    theirs = indexed.select("item_id", F.col("size").alias("_s"), "whole", F.col("print").alias("_p")).withColumn("_c", F.explode(_blocks("_p")))
+    theirs = indexed.select("item", "item_id", F.col("size").alias("_s"), "whole", F.col("print").alias("_p")).withColumn("_c", F.explode(_blocks("_p")))
     near = prints.join(small(theirs, indexed.count() * (RADIUS + 1)), (F.col("size") == F.col("_s")) & (F.col("_b.b") == F.col("_c.b")) & (F.col("_b.v") == F.col("_c.v")))
-    near = near.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("_p"))) <= RADIUS).select("k", "size", "at", "held", "item_id", "whole").distinct()
-    both = near.join(small(shingles.select("item_id", "h"), n_shingles), "item_id").join(inside, ["k", "size", "at", "h"])
-    found = both.groupBy("k", "at", "item_id", "held", "whole").agg(F.sum("wt").alias("inter"))
+    near = near.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("_p"))) <= RADIUS).select("k", "size", "at", "held", "item", "item_id", "whole").distinct()
+    both = near.join(small(shingles.select("item", "h"), n_shingles), "item").join(inside, ["k", "size", "at", "h"])
+    found = both.groupBy("k", "at", "item", "item_id", "held", "whole").agg(F.sum("wt").alias("inter"))
     union = F.col("whole") + F.col("held") - F.col("inter")
     return found.filter(F.col("inter") * 100 >= union * percent).groupBy("k", "item_id").agg(F.max(F.col("inter") / union).alias("similarity"))
 
@@ -112,13 +116,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
 
     Texts are compared in lower case by letters and digits; an item or a document with fewer than five words is
     one shingle. A null or empty text, and items without words or with a null id, meet nothing; with no
-    items every document is clean. Repeated item_ids count once; repeated documents are judged each.
+    items every document is clean. Texts that share an item_id are all looked for; repeated documents are judged each.
     Columns named like those added are replaced.
     """
     docs = docs.drop("contaminated", "item_ids", "similarity")
-    keyed = docs.withColumn("_k", row_key("doc_id", "text"))
-    found = matches(keyed.select(F.col("_k").alias("k"), "text"), items, percent)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_key("doc_id", "text").alias("_k"))
+    found = matches(keyed.select(F.col("_k").alias("k"), F.col("_row")["text"].alias("text")), items, percent)
     per = cut(found.groupBy(F.col("k").alias("_found")).agg(F.sort_array(F.collect_set("item_id")).alias("_items"), F.max("similarity").alias("_most")), "contaminated")
     joined = keyed.join(small(per, per.count()), F.col("_k") == F.col("_found"), "left")
     none = F.array().cast("array<bigint>")
-    return joined.select(*docs.columns, F.col("_found").isNotNull().alias("contaminated"), F.coalesce("_items", none).alias("item_ids"), F.coalesce("_most", F.lit(0.0)).alias("similarity"))
+    return joined.select(*[F.col("_row")[c].alias(c) for c in docs.columns], F.col("_found").isNotNull().alias("contaminated"), F.coalesce("_items", none).alias("item_ids"), F.coalesce("_most", F.lit(0.0)).alias("similarity"))

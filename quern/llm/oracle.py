@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.mixing import SPREAD
-from quern.llm.quality_rules import BIT, MEASURES, RULES, mask
+from quern.llm.quality_rules import BIT, MEASURES, POLICIES, RULES, mask
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '')"
 
@@ -173,7 +173,9 @@ h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(429496
 d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS time FROM h WHERE h <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM d),
 f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS seen, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY p) || substr(role, 1, 1) AS pair FROM o),
-g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault FROM f),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault FROM f),
 s AS (SELECT conv_id, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, list({{'i': substr(role, 1, 1), 'f': fault, 'r': role, 't': text}} ORDER BY p) AS rows FROM g GROUP BY conv_id),
 l AS (SELECT *, list_reduce(rows, lambda a, x: list_transform([{_turn_step()}], lambda y: {_turn_closed('y')})[1], {_BEGIN}) AS z FROM s),
@@ -192,6 +194,36 @@ m AS (SELECT l.*, c.k IS NOT NULL AND l.doc_id IS DISTINCT FROM c.holder AS gone
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid"""
 
 
+def ablation_sql() -> str:
+    """Rules by policy version: rows that fail a rule, and rows that fail nothing else of the policy."""
+    parts = []
+    for policy, rules in POLICIES.items():
+        for r in rules:
+            parts.append(f"SELECT '{policy}' AS policy, '{r}' AS rule, count(*) FILTER (failed_bits & {BIT[r]} <> 0) AS failed, count(*) FILTER (failed_bits & {mask(policy)} = {BIT[r]}) AS only_failure FROM q")
+    return f"WITH q AS ({quality_sql()}) " + " UNION ALL ".join(parts)
+
+
+def leaks_sql(docs: str = "documents", items: str = "benchmark", percent: int = 80) -> str:
+    """Item-sized windows and items by exact weighted similarity, for pairs that share weight enough in all."""
+    toks = r"regexp_extract_all(lower(coalesce(text, '')), '([\p{L}\p{M}\p{N}]+)', 1)"
+    sh = "CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END"
+    return rf"""
+WITH b AS (SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, {toks} AS t FROM {items} WHERE item_id IS NOT NULL),
+i AS (SELECT row_number() OVER () AS ik, item_id, {sh} AS sh FROM b WHERE len(t) > 0),
+n AS (SELECT count(*) AS n FROM i),
+e AS (SELECT ik, unnest(list_distinct(sh)) AS h FROM i),
+w AS (SELECT h, CAST(round(ln(1.0 + n / count(*)) * 256) AS BIGINT) AS wt FROM e, n GROUP BY h, n),
+a AS (SELECT ik, CAST(sum(wt) AS BIGINT) AS whole FROM e JOIN w USING (h) GROUP BY ik),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {sh} AS sh FROM (SELECT doc_id, {toks} AS t FROM {docs}) x),
+u AS (SELECT rid, unnest(list_distinct(sh)) AS h FROM d),
+c AS (SELECT rid, ik, whole FROM u JOIN e USING (h) JOIN w USING (h) JOIN a USING (ik) GROUP BY rid, ik, whole HAVING sum(wt) * 100 >= {percent} * whole),
+p AS (SELECT rid, ik, whole, len(i.sh) AS size, d.sh, unnest(range(1, greatest(len(d.sh) - len(i.sh) + 2, 2))) AS pos FROM c JOIN d USING (rid) JOIN i USING (ik)),
+x AS (SELECT rid, ik, whole, pos, unnest(list_distinct(sh[pos:pos + size - 1])) AS h FROM p),
+s AS (SELECT x.rid, x.ik, x.whole, x.pos, sum(coalesce(w.wt, (SELECT round(ln(1.0 + greatest(n, 1)) * 256) FROM n))) AS held, sum(CASE WHEN e.h IS NULL THEN 0 ELSE w.wt END) AS shared FROM x LEFT JOIN w ON w.h = x.h LEFT JOIN e ON e.ik = x.ik AND e.h = x.h GROUP BY ALL),
+m AS (SELECT rid, list_sort(list(DISTINCT item_id)) AS item_ids, max(CAST(shared AS DOUBLE) / CAST(whole + held - shared AS DOUBLE)) AS similarity FROM s JOIN i USING (ik) WHERE shared * 100 >= {percent} * (whole + held - shared) GROUP BY rid)
+SELECT doc_id, m.rid IS NOT NULL AS contaminated, coalesce(item_ids, []) AS item_ids, coalesce(similarity, 0.0) AS similarity FROM d LEFT JOIN m USING (rid)"""
+
+
 ORACLES = {
     "op1_warc": WARC,
     "op10_url_filters": URL_FILTERS,
@@ -201,5 +233,7 @@ ORACLES = {
     "op2_near_dedup": near_sql(),
     "op3_substring_dedup": repeats_sql(),
     "op4_quality_rules": quality_sql(),
+    "op6_decontamination": leaks_sql(),
+    "quality_ablation": ablation_sql(),
     "op7_mixing": mixing_sql(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import uuid
 
 from quern.llm import decontaminate, features, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, spelling, substring_dedup, toxicity, turns, url_filters, warc
-from quern.llm.shared import scratch_root
+from quern.llm.shared import cut, scratch_root
 from quern.session import table
 
 
@@ -41,6 +41,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "n_lines", "n_letters", "n_upper", "failed_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version contributes, from one ledger of bits that is written once."""
+    rows = cut(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "failed_bits"), "ledger")
+    return quality_rules.ablations(rows)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = features.fold(F.col("doc_id"), 5) == 0
@@ -143,6 +149,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "quality_ablation": quality_ablation,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
