@@ -148,6 +148,47 @@ def test_quality_on_held_out_texts(spark):
     assert quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def surest_of(pool, free):
+    """What the operator's pool does, over arrays."""
+
+    def surest(models, scales, quotas):
+        out = []
+        for m, v, (a, b), quota in zip(models, pool, scales, quotas, strict=True):
+            p = features.logistic(a * np.clip(m.raw(v), -features.MOST_SURE, features.MOST_SURE) + b)
+            picks = []
+            for label in (0, 1):
+                sure = (p if label else 1 - p) * free
+                order = np.argsort(-sure, kind="stable")[: quota[label]]
+                picks.append(order[sure[order] >= quality_classifier.SURE])
+                free[picks[-1]] = False
+            pick = np.concatenate(picks)
+            out.append(([x[pick] for x in pool], (p[pick] > 0.5).astype(float)))
+        return out
+
+    return surest
+
+
+def test_a_useless_view_does_no_harm():
+    """One view says nothing of the label: with co-training the other is as good as alone, or better."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed + 20)
+
+        def draw(n, rng=rng):
+            y = (rng.random(n) < 0.85).astype(float)
+            return y, [(2 * y[:, None] - 1) * 0.5 + rng.normal(0, 1, (n, 12)), rng.normal(0, 1, (n, 12))]
+
+        y, views = draw(300)
+        _, pool = draw(3000)
+        truth, test = draw(6000)
+        found = []
+        for rounds in (0, 3):
+            model = quality_classifier.co_train(views, y, surest_of(pool, np.ones(3000, bool)), rounds)
+            score, each = model.score(test)
+            found.append([((x >= 0.5) == (truth > 0))[truth == label].mean() for x in (score, each[0]) for label in (0, 1)])
+            assert model.trust[0] > 0.9
+        assert (np.array(found[1]) >= np.array(found[0]) - 0.01).all()
+
+
 def test_views_teach_each_other():
     """Two views, independent given the label: few labels and co-training beat few labels alone, in each view and together."""
     found = []
@@ -163,15 +204,7 @@ def test_views_teach_each_other():
         truth, test = draw(4000)
         free = np.ones(len(pool[0]), bool)
 
-        def surest(models, pool=pool, free=free):
-            out = []
-            for m, v in zip(models, pool, strict=True):
-                p = features.logistic(m.raw(v))
-                sure = np.maximum(p, 1 - p) * free
-                pick = np.argsort(-sure, kind="stable")[:400]
-                free[pick] = False
-                out.append(([x[pick] for x in pool], (p[pick] > 0.5).astype(float)))
-            return out
+        surest = surest_of(pool, free)
 
         for rounds in (0, 3):
             score, each = quality_classifier.co_train(views, y, surest, rounds).score(test)
@@ -206,3 +239,21 @@ def test_a_rare_language_is_learnt(spark):
 def test_calibration_stays_bounded_on_clean_splits():
     a, b = features.calibrate(np.array([-1.0] * 50 + [1.0] * 50), np.array([0.0] * 50 + [1.0] * 50))
     assert 0 < a < 20 and abs(b) < 20
+
+
+def test_an_even_sample_of_many_kinds(spark):
+    """Thousands of kinds are counted in Spark; each has its rows up to an even share, and the sample keeps its bound."""
+    rows = [(k, f"rare{k}") for k in range(3000)] + [(10_000 + k, "common") for k in range(9000)] + [(30_000 + k, "some") for k in range(400)]
+    found = features.even_sample(spark.createDataFrame(rows, "doc_id long, kind string"), 4000, "kind").groupBy("kind").count().collect()
+    counts = {r.kind: r["count"] for r in found}
+    assert sum(k.startswith("rare") for k in counts) == 3000 and counts["some"] > 300 and sum(counts.values()) < 4400
+    small = features.even_sample(spark.createDataFrame(rows[:50], "doc_id long, kind string"), 4000, "kind")
+    assert small.count() == 50 and features.even_sample(small.limit(0), 10, "kind").count() == 0
+
+
+def test_long_words_are_cut_between_characters():
+    for text in ["é" * 40, "語" * 33, "a" + "é" * 30, "\U0001f600" * 20, "x" * 24, "y" * 49]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        word, lo, length, _ = language_id.pieces(data, np.array([0]), np.array([len(data)]))
+        parts = [bytes(data[a : a + n]).decode() for a, n in zip(lo, length, strict=True)]
+        assert "".join(parts) == text and (word == 0).all() and (length > 0).all()

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, mixing, quality_rules, url_filters
+from quern.llm import decontaminate, mixing, quality_rules, substring_dedup, url_filters
 from tests.llm import brute
 
 TEXTS = [None, "", " \n ", "one", "a b c d e f g h " * 3, "x y\nx y\nz\n\n x y", "é ü #tag | $5 <b>", "w " * 5000, "A\vB\fC\rD", " ".join(f"k{k % 9}" for k in range(40))]
@@ -158,3 +158,85 @@ def test_url_filters_meet_hosts_and_paths_of_any_depth(spark):
     hosts = spark.createDataFrame([("l", "10.0.0.1", "block"), ("l", "[::1]", "block")], "list string, key string, action string").withColumn("at", F.timestamp_seconds(F.lit(0)))
     assert [r.by_key for r in url_filters.judge(odd, hosts).orderBy("k").collect()] == ["10.0.0.1", "[::1]", "10.0.0.1", "10.0.0.1"]
     assert len(keys[1]) == 12 and keys[5][-1] == "x.com/1/2/3/4/5/6/7" and keys[9] == []
+
+
+CLASH = ["_n", "_words", "_windows", "_letters", "_at", "_class", "_block", "_mix", "_s", "_b", "_c", "_start", "_share", "_url", "_k", "_spans", "_found", "_items", "_row", "_passes", "_text", "_deal", "_cu", "_ct", "_most", "_size", "_rows", "_hash", "_ordered", "_lines", "_key"]
+
+
+def test_columns_of_the_input_come_back_unchanged(spark):
+    """Columns named like an operator's own inner ones are neither overwritten nor a crash."""
+    values = {c: f"own {c}" for c in CLASH}
+    rows = [(k, "some words that are here to be read " * (k % 3 + 1), "ab"[k % 2], "http://x.com/p", *values.values()) for k in range(40)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", "url string", *(f"{c} string" for c in CLASH)])).withColumn("fetched_at", F.timestamp_seconds(F.lit(9)))
+    entries = spark.createDataFrame([("l", "x.com", "block")], "list string, key string, action string").withColumn("at", F.timestamp_seconds(F.lit(0)))
+    items = spark.createDataFrame([(1, "some words that are here to be read some words"), (2, "x y z")], "item_id long, text string")
+    made = {
+        "ledger": quality_rules.apply_policy(quality_rules.ledger(docs), "web-1"),
+        "passing": quality_rules.passing(quality_rules.ledger(docs), "base-1"),
+        "mix": mixing.mix(docs),
+        "emit": mixing.emit(docs),
+        "judge": url_filters.judge(docs, entries),
+        "decontaminate": decontaminate.decontaminate(docs, items),
+        "repeats": substring_dedup.remove_repeats(docs),
+    }
+    for name, df in made.items():
+        found = df.collect()
+        assert (found or name == "passing") and all(r[c] == values[c] for r in found for c in CLASH), name
+    assert all(r.blocked for r in made["judge"].collect())
+
+
+def test_policies_side_by_side(spark):
+    rows = quality_rules.ledger(spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")).cache()
+    found = {(r.policy, r.rule): (r.failed, r.only_failure) for r in quality_rules.ablations(rows).collect()}
+    assert {k for k in found} == {(p, r) for p, rules in quality_rules.POLICIES.items() for r in rules}
+    bits = [r.failed_bits for r in rows.collect()]
+    for (policy, rule), (failed, only) in found.items():
+        mine, bit = quality_rules.mask(policy), quality_rules.BIT[rule]
+        assert failed == sum(b & bit > 0 for b in bits) and only == sum(b & mine == bit for b in bits)
+    assert {r.failed for r in quality_rules.ablations(rows.limit(0)).collect()} == {0}
+
+
+def test_fingerprints_at_the_threshold(spark):
+    """Windows from 0.80 to 0.85 similar, where fingerprints differ most: none is lost."""
+    rng = random.Random(26)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(k, say(40 + k % 9)) for k in range(40)]
+    docs = []
+    for k in range(400):
+        w = list(items[k % 40][1])
+        w[0] = "aa"
+        w[-3] = "zz"
+        docs.append((k, " ".join(say(9) + w + say(9))))
+    items = [(i, " ".join(w)) for i, w in items]
+    want = brute.leaks(docs, items)
+    rows = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: set(r.item_ids) for r in rows if r.contaminated} == want and len(want) == 400
+    assert all(0.8 <= r.similarity < 0.85 for r in rows)
+
+
+def test_texts_that_share_an_item_id_are_all_looked_for(spark):
+    rng = random.Random(27)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    one, two = say(30), say(30)
+    docs = spark.createDataFrame([(1, say(9) + " " + one), (2, two + " " + say(9)), (3, say(50))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, one), (7, two), (7, one)], "item_id long, text string")
+    assert sorted((r.doc_id, tuple(r.item_ids)) for r in decontaminate.decontaminate(docs, items).collect()) == [(1, (7,)), (2, (7,)), (3, ())]
+
+
+def test_list_keys_are_brought_to_one_form(spark):
+    keys = [("B.C", "b.c"), (" b.c/ ", "b.c"), ("https://User@B.C:8080/", "b.c"), ("b.c.", "b.c"), ("*.b.c", "b.c"), ("b.c//P/q/?x#y", "b.c/P/q"), ("http:///x", None), ("", None), (None, None), ("[::1]:80/a", "[::1]/a"), ("b.c/p", "b.c/p")]
+    rows = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(keys)], "k int, key string")
+    assert [r.n for r in rows.orderBy("k").select(url_filters.normal_key(F.col("key")).alias("n")).collect()] == [b for _, b in keys]
+    entries = spark.createDataFrame([("l", "B.C", "block"), ("l", "d.e/", "block"), ("l", "http://F.g/X/", "block"), ("l", "http:///", "block")], "list string, key string, action string").withColumn("at", F.timestamp_seconds(F.lit(0)))
+    asked = [("http://a.b.c/", "b.c"), ("http://d.e", "d.e"), ("http://f.g/X/y", "f.g/X"), ("http://f.g/x/y", None), (None, None)]
+    captures = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(asked)], "k int, url string").withColumn("fetched_at", F.timestamp_seconds(F.lit(9)))
+    assert [r.by_key for r in url_filters.judge(captures, entries).orderBy("k").collect()] == [k for _, k in asked]
+    assert [tuple(r) for r in url_filters.key_faults(entries).collect()] == [("l", "http:///")]
+
+
+def test_captures_without_url_or_time_are_returned(spark):
+    rows = [(k, None if k % 2 else "http://x.com/", None if k % 3 else 9) for k in range(60)] * 2
+    captures = spark.createDataFrame(rows, "k int, url string, s long").withColumn("fetched_at", F.timestamp_seconds("s"))
+    entries = spark.createDataFrame([("l", "x.com", "block")], "list string, key string, action string").withColumn("at", F.timestamp_seconds(F.lit(0)))
+    found = url_filters.judge(captures, entries).collect()
+    assert len(found) == 120 and all(r.blocked == (r.url is not None and r.s is not None) for r in found)

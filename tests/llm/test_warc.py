@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 
+import pytest
+
 from quern.llm import warc
 
 PAGES = [(1, "http://a/", "x" * 150), (2, "http://b/", "x" * 150), (3, None, None), (4, "http://c/", ""), (5, "http://d/", "short"), (6, "http://e/", "short"), (7, "u", "é" * 80), (0, "v", "é" * 80), (8, "w", "long " * 50_000), (2, "http://b/", "x" * 150)]
@@ -50,3 +52,43 @@ def test_hostile_headers_and_ids(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     warc.write(warc.page_records(spark.createDataFrame([], "page_id long, url string, html string")), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_members_of_several_records_and_records_of_several_members(spark, tmp_path):
+    bodies = [b"one", b"", b"\r\n\r\n" * 40, b"z" * 300_000, b"WARC/1.1\r\nWARC-Type: fake\r\n\r\n"]
+    records = [warc.head({"warc_type": "response" if k % 2 else "metadata", "record_id": f"<{k}>"}, len(b)) + b + b"\r\n\r\n" for k, b in enumerate(bodies)]
+    folder = tmp_path / "m"
+    folder.mkdir()
+    whole = b"".join(records)
+    (folder / "one.warc.gz").write_bytes(gzip.compress(whole))
+    (folder / "cut.warc.gz").write_bytes(b"".join(gzip.compress(whole[k : k + 70_001]) for k in range(0, len(whole), 70_001)))
+    (folder / "plain.warc").write_bytes(whole)
+    rows = warc.read(spark, str(folder)).collect()
+    assert sorted((r.record_id, r.payload) for r in rows) == sorted((f"<{k}>", b) for k, b in enumerate(bodies) for _ in range(3))
+    assert warc.read(spark, str(folder), payload=False).filter("warc_type = 'response'").count() == 6
+    (folder / "torn.warc.gz").write_bytes(gzip.compress(whole)[:-40_000] if len(gzip.compress(whole)) > 50_000 else gzip.compress(whole)[:-9])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read(spark, str(folder)).collect()
+
+
+def test_an_archive_is_split_by_its_index(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h{k}/", f"{k} " * 400) for k in range(300)], "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.page_records(pages).coalesce(1), str(tmp_path / "w"))
+    warc.register(spark)
+    rows = spark.read.format("warc").option("path", str(tmp_path / "w")).option("split_bytes", "4096").load()
+    assert rows.rdd.getNumPartitions() > 10 and sorted(r.record_id for r in rows.collect()) == sorted(f"<urn:page:{k}>" for k in range(300))
+
+
+def test_order_and_prefix_filters(spark, tmp_path):
+    warc.write(warc.page_records(spark.createDataFrame([(k, f"http://{'ab'[k % 2]}/{k}", "x") for k in range(20)], "page_id long, url string, html string")), str(tmp_path / "w"))
+    rows = warc.read(spark, str(tmp_path / "w"))
+    found = rows.filter("target_uri LIKE 'http://a/%' AND target_uri > 'http://a/2' AND date >= '2024' AND date < '2025'")
+    assert {r.target_uri for r in found.collect()} == {f"http://a/{k}" for k in range(0, 20, 2) if f"{k}" > "2"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan or "LIKE" not in plan
+
+
+def test_columns_that_clash(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 200, "a", "b", 7), (2, "v", "x" * 200, "a", "b", 7)], "page_id long, url string, html string, payload string, _digest string, _first int")
+    warc.write(warc.page_records(pages), str(tmp_path / "w"))
+    assert sorted(r.warc_type for r in warc.read(spark, str(tmp_path / "w")).collect()) == ["response", "revisit"]
