@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,22 +103,6 @@ def concept_metrics(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.crossJoin(lone).crossJoin(ends.join(names, "concept", "left_anti").agg(F.count(F.lit(1)).alias("dangling")))
 
 
-def nmf(matrix: np.ndarray, k: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative factors of a small matrix, started from its singular vectors, by multiplicative updates."""
-    k = max(1, min(k, matrix.shape[0] - 1, matrix.shape[1]))
-    u, s, vt = np.linalg.svd(matrix, full_matrices=False)
-    w, h = np.zeros((matrix.shape[0], k)), np.zeros((k, matrix.shape[1]))
-    for j in range(k):
-        best = max(((np.maximum(g * u[:, j], 0), np.maximum(g * vt[j], 0)) for g in (1, -1)), key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
-        w[:, j], h[j] = best[0] * np.sqrt(s[j]), best[1] * np.sqrt(s[j])
-    fill = matrix.mean() / 100 + 1e-9
-    w[w < 1e-9], h[h < 1e-9] = fill, fill
-    for _ in range(rounds):
-        h *= (w.T @ matrix) / (w.T @ w @ h + 1e-12)
-        w *= (matrix @ h.T) / (w @ (h @ h.T) + 1e-12)
-    return w, h
-
-
 def proper_names(docs: DataFrame, source: str, text: str, protected: list[str], least: int = 2) -> DataFrame:
     """Words capitalised in `least` sources or more and never written in lower case."""
     words = docs.select(source, F.explode_outer(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).filter("w IS NOT NULL")

@@ -15,7 +15,7 @@ from quern.plans.local import checkpointed, scratch
 from quern.plans.relational import SQL
 from quern.session import table
 from quern.sources import fragments
-from quern.streaming import journal
+from quern.streaming import journal, outbox
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -439,14 +439,14 @@ def packet_markdown(spark, sf_dir):
     return answers.packet_lines(rows)
 
 
-@query("SELECT event_id, event_type FROM events")
+@query("SELECT event_id, event_type, ts FROM events")
 def outbox_stream(spark, sf_dir):
-    """The events as a stream, exported once each to the shared folder; the export is what is returned."""
+    """The events as a stream, exported once each as lines of JSON under an epoch's manifest; what is committed is returned."""
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "event_type", "ts")
     sink = scratch(spark, "outbox")
-    journal.export_outbox(stream, sink, scratch(spark, "outbox-progress")).awaitTermination()
-    return spark.read.schema(schema).parquet(sink).select("event_id", "event_type")
+    outbox.export(stream, sink, scratch(spark, "outbox-progress"), order="ts").awaitTermination()
+    return outbox.exported(spark, sink, stream.schema, order="ts").select("event_id", "event_type", "ts")
 
 
-from quern.plans import evidence, graphs, preparation, projections  # noqa: E402, F401  register their queries
+from quern.plans import concepts, evidence, graphs, preparation, projections, sessions  # noqa: E402, F401  register their queries

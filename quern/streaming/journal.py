@@ -126,24 +126,6 @@ def windowed_counts(events: DataFrame, time: str, width: str, by: str, lateness:
     return rows.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
 
 
-def export_outbox(stream: DataFrame, sink: str, checkpoint: str, key: str = "event_id"):
-    """Append new events of a stream to Parquet, each key once across restarts; returns the running query."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        try:
-            held = spark.read.parquet(sink).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            new = new.join(held, key, "left_anti")
-        new.write.mode("append").parquet(sink)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def recent(events: DataFrame, session: str, kind: str, sequence: str, most: int) -> DataFrame:
     """The last `most` events of each kind in a session, and how many were left out."""
     by = Window.partitionBy(session, kind)

@@ -1,6 +1,5 @@
 import zipfile
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +7,7 @@ from quern.functions import canonical
 from quern.functions import text as T
 from quern.operators import gates, graph, mining, retrieval, scope
 from quern.sources import fragments
-from quern.streaming import journal
+from quern.streaming import journal, outbox
 
 
 def column(spark, values, f, kind="string"):
@@ -149,12 +148,6 @@ def test_discovery_and_parsers(spark, tmp_path):
     assert [r.relative_path for r in fragments.discover(spark, str(tmp_path), include=["**/*.md"]).collect()] == ["a/x.md"]
 
 
-def test_nmf_finds_two_topics():
-    m = np.array([[3, 2, 0, 0], [2, 3, 0, 0], [0, 0, 4, 3], [0, 0, 3, 4]], float)
-    w, h = mining.nmf(m, 2)
-    assert np.abs(w @ h - m).max() < 0.8 and w[0].argmax() == w[1].argmax() != w[2].argmax()
-
-
 def test_source_diverse_takes_each_source_first(spark):
     rows = spark.createDataFrame([(1, "a", 9.0, 1), (1, "a", 8.0, 2), (1, "b", 1.0, 3)], "g int, s string, score double, rank int")
     found = mining.source_diverse(rows, "g", "s", "score", "rank", 2).orderBy("place").collect()
@@ -166,7 +159,7 @@ def test_journal_streams_like_a_batch(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # a second run finds nothing new
         stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-        journal.export_outbox(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+        outbox.export(stream, str(tmp_path / "out"), str(tmp_path / "ck"), order="ts").awaitTermination()
+    assert sorted(r.event_id for r in outbox.exported(spark, str(tmp_path / "out"), rows.schema, order="ts").collect()) == [1, 2, 3]
     assert journal.dedup_stream(rows, "event_id", "ts").count() == 3
     assert journal.windowed_counts(rows, "ts", "1 hour", "kind").count() == 2
