@@ -32,20 +32,46 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, most_hops: int, most_paths: int | None = None) -> DataFrame:
     """Simple paths of 1 to `most_hops` edges (relation_id, src, dst) from the seeds (node): no node twice in a path.
 
-    A loop of joins, each one hop: the hops are bounded, the paths are not collected. The limit takes paths in order of
-    depth, relations, seed and end.
+    A loop of joins, each one hop. The limit takes paths in order of depth, relations, seed and end: once shorter paths
+    fill it, no further hop is run, and of a hop's paths the first that still fit are kept by a bounded heap; then paths
+    are in order of `path_hash`, which covers seed, relations and nodes.
     """
     now = seeds.select(F.col("node").alias("seed"), F.col("node").alias("at"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("relations"))
-    found = None
+    found, left = None, most_paths
     for depth in range(1, most_hops + 1):
         step = now.join(edges, now["at"] == edges["src"]).filter(~F.array_contains("nodes", F.col("dst")))
         now = step.select("seed", F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("relations", F.array(F.col("relation_id").cast("string"))).alias("relations"))
-        here = now.withColumn("depth", F.lit(depth).cast("long"))
+        here = now.withColumn("depth", F.lit(depth).cast("long")).withColumn("relation_path", F.array_join("relations", ">"))
+        if left is not None:
+            if depth < most_hops:
+                now = now.checkpoint()  # a hop is counted, and taken up again by the next
+                here = now.withColumn("depth", F.lit(depth).cast("long")).withColumn("relation_path", F.array_join("relations", ">"))
+            here = here.orderBy("relation_path", "seed", "at").limit(left)
         found = here if found is None else found.unionByName(here)
-    found = found.withColumn("relation_path", F.array_join("relations", ">"))
-    if most_paths is not None:
-        found = found.orderBy("depth", "relation_path", "seed", "at").limit(most_paths)
-    return found.select("seed", "at", "depth", "relation_path", F.array_join("nodes", ">").alias("node_path"))
+        if left is not None and depth < most_hops:
+            left -= here.count()
+            if left <= 0:
+                break
+    body = F.concat_ws("\x1f", F.col("seed").cast("string"), "relation_path", F.array_join("nodes", ">"))
+    out = found.select("seed", "at", "depth", "relation_path", F.array_join("nodes", ">").alias("node_path"), F.sha2(body, 256).alias("path_hash"))
+    return out.orderBy("path_hash") if most_paths is not None else out
+
+
+def path_faults(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, relation_path, node_path) paths against edges (relation_id, src, dst): (path_hash, step, fault).
+
+    Faults: unknown_relation, or broken where a relation doesn't lead from its step's node to the next; a path that doesn't
+    begin at its seed is broken at step 0, and one with as many nodes as relations, or fewer, at its last step.
+    """
+    relations, nodes = F.split("relation_path", ">"), F.split("node_path", ">")
+    steps = paths.select("path_hash", F.col("seed").cast("string").alias("seed"), relations.alias("r"), nodes.alias("n"))
+    start = steps.filter(F.col("seed") != F.get("n", F.lit(0))).select("path_hash", F.lit(0).alias("step"), F.lit("broken").alias("fault"))
+    short = steps.filter(F.size("n") != F.size("r") + 1).select("path_hash", F.size("r").alias("step"), F.lit("broken").alias("fault"))
+    each = steps.select("path_hash", "n", F.posexplode("r").alias("k", "relation_id")).select("path_hash", (F.col("k") + 1).alias("step"), "relation_id", F.get("n", F.col("k")).alias("a"), F.get("n", F.col("k") + 1).alias("b"))
+    known = edges.select(F.col("relation_id").cast("string").alias("relation_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+    met = each.join(known, "relation_id", "left").groupBy("path_hash", "step").agg(F.max(F.col("src").isNotNull()).alias("known"), F.max(F.coalesce((F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), F.lit(False))).alias("ok"))
+    wrong = met.filter("NOT ok").select("path_hash", "step", F.when(F.col("known"), "broken").otherwise("unknown_relation").alias("fault"))
+    return start.unionByName(short).unionByName(wrong).distinct()
 
 
 #: Tables of new nodes that a closure keeps apart before it puts them together.

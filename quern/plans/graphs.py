@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import admission, imports, reading_room, routing, scope
+from quern.operators import admission, graph, imports, reading_room, routing, scope, spans
 from quern.operators import chains as chain_operators
 from quern.plans.local import checkpointed
-from quern.plans.registry import query
+from quern.plans.registry import EDGE, _edges, query
 from quern.session import table
 
 NODE_LIMIT, EDGE_LIMIT, QUEUE_LIMIT = 9, 12, 3
+PATHS = 20_000
 
 #: Lineitems with the room (customer) and run (order) that they are in, and the decision that each makes on its part.
 ROOM_ITEMS = "i AS (SELECT o_custkey AS room, l_orderkey AS run, l_linenumber AS line, l_partkey, l_suppkey, l_returnflag, l_shipdate, l_tax, l_discount, 'p' || l_partkey AS part, 's' || l_suppkey AS supp, 'h' || (l_partkey % 50) AS hash FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
@@ -235,3 +236,45 @@ def budgeted_routes(spark, sf_dir):
     """A route per customer over its parts, suppliers and items, each within its budgets."""
     checkpointed(spark)
     return admission.routes(route_inputs(spark, sf_dir), ROUTE_BUDGET)
+
+
+@query(f"""WITH RECURSIVE e AS {EDGE}, w AS (
+SELECT src AS seed, dst AS at_, CAST(1 AS BIGINT) AS depth, relation_id AS relation_path, src || '>' || dst AS node_path FROM e WHERE src IN (SELECT 'c' || c_custkey FROM customer)
+UNION ALL SELECT w.seed, e.dst, w.depth + 1, w.relation_path || '>' || e.relation_id, w.node_path || '>' || e.dst FROM w JOIN e ON e.src = w.at_ WHERE w.depth < 2 AND NOT contains('>' || w.node_path || '>', '>' || e.dst || '>')),
+l AS (SELECT * FROM w ORDER BY depth, relation_path, seed, at_ LIMIT {PATHS})
+SELECT seed, at_ AS "at", depth, relation_path, node_path, sha256(seed || chr(31) || relation_path || chr(31) || node_path) AS path_hash FROM l""")
+def limited_walk(spark, sf_dir):
+    """The first paths of up to six hops from every customer; longer ones than fit are never walked."""
+    checkpointed(spark)
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return graph.walk(_edges(spark, sf_dir), seeds, 6, PATHS)
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, (l_linenumber - 1) * 10 + l_partkey % 3 - 1 AS lo, l_linenumber * 10 - l_suppkey % 4 AS hi FROM lineitem),
+t AS (SELECT o_orderkey AS k, 40 AS length FROM orders),
+r AS (SELECT s.*, t.length, CASE WHEN t.k IS NULL THEN 'unknown' WHEN NOT hi > lo THEN 'inverted' WHEN lo < 0 OR hi > length THEN 'outside' END AS fault FROM s LEFT JOIN t USING (k)),
+g AS (SELECT k, lo, hi, length, coalesce(max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM r WHERE fault IS NULL OR fault = 'outside'),
+z AS (SELECT k, max(hi) AS last FROM g GROUP BY k),
+f AS (SELECT k, lo, hi, fault FROM r WHERE fault IS NOT NULL UNION ALL SELECT k, e, lo, 'gap' FROM g WHERE lo > e UNION ALL SELECT k, lo, least(hi, e), 'overlap' FROM g WHERE lo < e AND lo >= 0
+  UNION ALL SELECT t.k, coalesce(last, 0), length, CASE WHEN last IS NULL THEN 'uncovered' ELSE 'gap' END FROM t LEFT JOIN z USING (k) WHERE last IS NULL OR last < length)
+SELECT k AS answer_id, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, fault FROM f""")
+def proposition_spans(spark, sf_dir):
+    """Orders as answers of 40 places, their items as spans that leave gaps, overlap, or lie outside."""
+    k = F.col("l_orderkey").alias("answer_id")
+    claimed = table(spark, sf_dir, "lineitem").select(k, ((F.col("l_linenumber") - 1) * 10 + F.col("l_partkey") % 3 - 1).alias("lo"), (F.col("l_linenumber") * 10 - F.col("l_suppkey") % 4).alias("hi"))
+    return spans.coverage_faults(claimed, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("answer_id"), F.lit(40).alias("length")), "answer_id")
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*') AS ws, string_split_regex(t, '[A-Za-z_][A-Za-z0-9_]*') AS gs FROM d),
+u AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS k, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'w': ws[i], 'n': length(gs[i]), 'm': CASE WHEN i > 1 THEN length(ws[i - 1]) ELSE 0 END})) AS x FROM p),
+a AS (SELECT doc_id, x.w AS term, CAST(sum(x.n + x.m) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS pos FROM u),
+h AS (SELECT a.*, left(t, pos) AS b FROM (SELECT * FROM a WHERE term IN ('the', 'idiot', 'moron', 'clown', 'de', 'der')) a JOIN d USING (doc_id)),
+o AS (SELECT doc_id, term, pos, CAST(1 + length(b) - length(replace(b, chr(10), '')) AS BIGINT) AS line, CAST(1 + length(regexp_extract(b, '[^\n]*\z')) AS BIGINT) AS col FROM h)
+SELECT doc_id, term, pos AS "at", line, col FROM o WHERE NOT (pos % 100 < 30 OR (pos % 1700 BETWEEN 500 AND 1600))""")
+def exempt_terms(spark, sf_dir):
+    """Uses of listed words outside exempt spans: thirty places of every hundred, and long stretches over them."""
+    docs = table(spark, sf_dir, "documents")
+    terms = spark.createDataFrame([(t,) for t in ("the", "idiot", "moron", "clown", "de", "der")], "term string")
+    every = lambda step, lo, hi: docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.char_length(F.coalesce("text", F.lit(""))) / step))).alias("n")).select("doc_id", (F.col("n") * step + lo).alias("lo"), (F.col("n") * step + hi).alias("hi"))
+    return spans.deprecated_uses(docs, "doc_id", "text", terms, every(100, 0, 30).unionByName(every(1700, 500, 1601)))

@@ -248,7 +248,7 @@ UNION ALL SELECT w.seed, e.dst, w.depth + 1, w.relation_path || '>' || e.relatio
 SELECT seed, at_ AS "at", depth, relation_path, node_path FROM w""")
 def bounded_walk(spark, sf_dir):
     seeds = spark.createDataFrame([(f"c{k}",) for k in (1, 2, 4, 5, 7, 8, 10)], "node string")
-    return graph.walk(_edges(spark, sf_dir), seeds, 3)
+    return graph.walk(_edges(spark, sf_dir), seeds, 3).drop("path_hash")
 
 
 @query(f"WITH RECURSIVE e AS {EDGE}, w AS (SELECT 'c1' AS node UNION SELECT 'c2' UNION SELECT 'c4' UNION SELECT e.dst FROM w JOIN e ON e.src = w.node) SELECT node FROM w")
@@ -449,4 +449,4 @@ def outbox_stream(spark, sf_dir):
     return outbox.exported(spark, sink, stream.schema, order="ts").select("event_id", "event_type", "ts")
 
 
-from quern.plans import concepts, evidence, graphs, preparation, projections, sessions  # noqa: E402, F401  register their queries
+from quern.plans import concepts, evidence, graphs, ingest, preparation, projections, recall, sessions  # noqa: E402, F401  register their queries
