@@ -449,4 +449,4 @@ def outbox_stream(spark, sf_dir):
     return outbox.exported(spark, sink, stream.schema, order="ts").select("event_id", "event_type", "ts")
 
 
-from quern.plans import concepts, evidence, graphs, ingest, preparation, projections, recall, sessions  # noqa: E402, F401  register their queries
+from quern.plans import concepts, evidence, graphs, ingest, preparation, projections, recall, sessions, validation  # noqa: E402, F401  register their queries
