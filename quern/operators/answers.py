@@ -45,11 +45,18 @@ def redact(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1)
 
 
+#: Deprecated names that go to every task.
+MOST_TERMS = 10_000
+
+
 def terms_used(texts: DataFrame, deprecated: DataFrame) -> DataFrame:
     """(id, text) against (term, replacement): line and column, from 1, of each place of a deprecated identifier.
 
-    A line is cut into identifiers and what lies between them, so a place is the sum of the lengths before it.
+    A line is cut into identifiers and what lies between them, so a place is the sum of the lengths before it. The
+    deprecated names are counted first: over MOST_TERMS is an error.
     """
+    if deprecated.select("term").distinct().limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} deprecated terms")
     terms = deprecated.agg(F.collect_set("term").alias("_terms"))  # a list of names to avoid: one row
     lines = texts.select("id", F.posexplode_outer(F.split("text", "\n")).alias("line", "content")).crossJoin(F.broadcast(terms))
     parts = F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+)"), F.lit(1))

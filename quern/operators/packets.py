@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.canonical import set_manifest
+
 
 def packets(results: DataFrame) -> DataFrame:
     """(query_id, rank, id, score) to a packet per question: items and a hash of its rows in order of rank."""
@@ -32,9 +34,13 @@ def load(stored: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def read_sets(reads: DataFrame) -> DataFrame:
-    """(request_id, member) reads to their distinct sets: set_hash, members and the requests that share the set."""
-    per = reads.groupBy("request_id").agg(F.count_distinct("member").alias("members"), F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("member").cast("string"))), "\n"), 256).alias("set_hash"))
-    return per.groupBy("set_hash", "members").agg(F.count(F.lit(1)).alias("requests"))
+    """(request_id, member) reads to their distinct sets: set_hash, members and the requests that share the set.
+
+    A set is hashed in buckets, so no task lists all that a request read.
+    """
+    each = reads.select("request_id", F.col("member").cast("string").alias("member")).distinct()
+    per = set_manifest(each, "request_id", "member")
+    return per.groupBy(F.col("manifest_hash").alias("set_hash"), "members").agg(F.count(F.lit(1)).alias("requests"))
 
 
 def permit(*parts: Column) -> Column:

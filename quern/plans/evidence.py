@@ -203,7 +203,9 @@ def packets_altered(spark, sf_dir):
     return packets.altered(packets.packets(rows), later)
 
 
-@query("""WITH p AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS members, sha256(string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), chr(10) ORDER BY CAST(l_suppkey AS VARCHAR))) AS set_hash FROM lineitem GROUP BY l_orderkey)
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS r, sha256(CAST(l_suppkey AS VARCHAR)) AS h FROM lineitem),
+b AS (SELECT r, substr(h, 1, 4) AS bucket, count(*) AS n, sha256(string_agg(h, chr(30) ORDER BY h)) AS bh FROM m GROUP BY r, substr(h, 1, 4)),
+p AS (SELECT r, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(bucket || bh, chr(30) ORDER BY bucket)) AS set_hash FROM b GROUP BY r)
 SELECT set_hash, members, count(*) AS requests FROM p GROUP BY set_hash, members""")
 def read_sets(spark, sf_dir):
     return packets.read_sets(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_suppkey").alias("member")))

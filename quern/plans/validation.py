@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import validation
+from quern.operators import atlas, validation
+from quern.plans.local import checkpointed
 from quern.plans.registry import query
 from quern.session import table
 
@@ -94,3 +95,24 @@ def interval_faults(spark, sf_dir):
     b = F.when(k % 18 == 0, F.lit(None)).when(k % 11 == 0, F.replace(b, F.lit("Z"), F.lit("+00:00"))).when(k % 23 == 0, "2024-02-30T00:00:00.000000Z").otherwise(b)
     rows = table(spark, sf_dir, "events").select("event_id", F.when(k % 9 != 0, a).alias("a"), b.alias("b"))
     return validation.interval_faults(rows, "event_id", "a", "b")
+
+
+@query("""WITH e AS (SELECT o_custkey AS p, l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS id, CASE l_returnflag WHEN 'A' THEN 'support' WHEN 'R' THEN 'counter' ELSE 'context' END AS role, CAST(floor(l_extendedprice) AS BIGINT) AS rank, l_suppkey AS src FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 40),
+o AS (SELECT *, CASE role WHEN 'support' THEN 1 WHEN 'counter' THEN 2 ELSE 3 END AS k FROM e), g AS (SELECT o_custkey AS p, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS rank FROM orders WHERE o_orderpriority = '1-URGENT'),
+s AS (SELECT coalesce(a.p, b.p) AS p, coalesce(ne, 0) AS ne, coalesce(ns, 0) AS ns, coalesce(ng, 0) AS ng, lost, roles FROM (SELECT p, count(*) AS ne, count(DISTINCT src) AS ns, bool_or(src NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > -900)) AS lost, count(DISTINCT role) AS roles FROM o GROUP BY p) a FULL JOIN (SELECT p, count(*) AS ng FROM g GROUP BY p) b ON a.p = b.p),
+t AS (SELECT p, CASE WHEN ne > 12 OR ng > 4 OR ns > 9 OR coalesce(lost, FALSE) THEN 'refused' WHEN coalesce(roles, 0) < 3 THEN 'partial' ELSE 'complete' END AS state FROM s),
+r AS (SELECT p, 'evidence' AS section, row_number() OVER (PARTITION BY p ORDER BY k, rank, id) AS place, id, role FROM o
+  UNION ALL SELECT p, 'gaps', row_number() OVER (PARTITION BY p ORDER BY rank, id), CAST(id AS VARCHAR), NULL FROM g
+  UNION ALL SELECT p, 'sources', row_number() OVER (PARTITION BY p ORDER BY f), CAST(src AS VARCHAR), NULL FROM (SELECT p, src, min({'k': k, 'rank': rank, 'id': id}) AS f FROM o GROUP BY p, src) x)
+SELECT t.p AS packet_id, t.state, r.section, r.place, r.id, r.role FROM t LEFT JOIN r ON r.p = t.p AND t.state <> 'refused'""")
+def connector_packets(spark, sf_dir):
+    """A packet per customer: dear items as evidence in three roles, urgent orders as gaps, suppliers as sources, within hard budgets."""
+    checkpointed(spark)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("packet_id"), "o_totalprice", "o_orderpriority")
+    items = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").join(orders, "l_orderkey")
+    role = F.when(F.col("l_returnflag") == "A", "support").when(F.col("l_returnflag") == "R", "counter").otherwise("context")
+    evidence = items.select("packet_id", F.concat_ws(".", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), role.alias("role"), F.floor("l_extendedprice").cast("long").alias("rank"), F.col("l_suppkey").alias("source_id"))
+    gaps = orders.filter("o_orderpriority = '1-URGENT'").select("packet_id", F.col("l_orderkey").alias("id"), F.floor("o_totalprice").cast("long").alias("rank"))
+    sources = table(spark, sf_dir, "supplier").filter("s_acctbal > -900").select(F.col("s_suppkey").alias("id"))
+    rows, states = atlas.connector_packets(evidence, gaps, sources, ["support", "counter", "context"], {"evidence": 12, "gaps": 4, "sources": 9})
+    return states.select("packet_id", "state").join(rows, "packet_id", "left")

@@ -1,6 +1,6 @@
 import pytest
 
-from quern.operators import scope, validation
+from quern.operators import atlas, scope, validation
 
 
 def test_entailment_decisions(spark):
@@ -51,3 +51,22 @@ def test_reads_are_authorised_anew(spark):
     for now, parts in ((denied, ("library", "snapshot")), (compiled, ("library", "other"))):
         with pytest.raises(PermissionError):
             validation.authorised_read(docs, now, token, *parts)
+
+
+def test_packets_keep_hard_budgets(spark):
+    evidence = spark.createDataFrame([("p", "e1", "counter", 1, "s1"), ("p", "e2", "support", 9, "s2"), ("p", "e3", "support", 2, "s1"), ("q", "e1", "support", 1, "s1"), ("r", "e1", "odd", 1, "gone"), ("t", "e1", "support", 1, "s1"), ("t", "e2", "counter", 1, "s2"), ("t", "e3", "counter", 2, "s3"), ("t", "e4", "counter", 3, "s1")], "packet_id string, id string, role string, rank int, source_id string")
+    gaps = spark.createDataFrame([("p", "g2", 2), ("p", "g1", 1), ("v", "g1", 1)], "packet_id string, id string, rank int")
+    sources = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "id string")
+    rows, states = atlas.connector_packets(evidence, gaps, sources, ["support", "counter"], {"evidence": 3, "gaps": 2, "sources": 2})
+    assert {(r.packet_id, r.state, tuple(r.missing_roles), tuple(r.faults)) for r in states.collect()} == {("p", "complete", (), ()), ("q", "partial", ("counter",), ()), ("r", "refused", ("support", "counter"), ("unknown_role", "unknown_source")), ("t", "refused", (), ("over:evidence", "over:sources")), ("v", "partial", ("support", "counter"), ())}
+    assert sorted((r.section, r.place, r.id, r.role) for r in rows.filter("packet_id = 'p'").collect()) == [("evidence", 1, "e3", "support"), ("evidence", 2, "e2", "support"), ("evidence", 3, "e1", "counter"), ("gaps", 1, "g1", None), ("gaps", 2, "g2", None), ("sources", 1, "s1", None), ("sources", 2, "s2", None)]
+    assert rows.filter("packet_id IN ('r', 't')").count() == 0
+
+
+def test_an_open_atlas_is_refused(spark):
+    questions = spark.createDataFrame([("q", ["e1"])], "id string, evidence_ids array<string>")
+    evidence = spark.createDataFrame([("e1", ["s1"])], "id string, source_ids array<string>")
+    whole = {"questions": questions, "evidence": evidence, "sources": spark.createDataFrame([("s1",)], "id string")}
+    assert atlas.closed(whole) is whole
+    with pytest.raises(ValueError, match="not closed"):
+        atlas.closed(whole | {"sources": spark.createDataFrame([("other",)], "id string")})
