@@ -311,6 +311,7 @@ r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS raw FR
 s AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM r GROUP BY doc_id)
 SELECT doc_id, term, round_even(raw / norm, 6) AS weight FROM r JOIN s USING (doc_id)""")
 def tfidf_terms(spark, sf_dir):
+    checkpointed(spark)
     return mining.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "of", "and"]).withColumn("weight", F.bround("weight", 6))
 
 
