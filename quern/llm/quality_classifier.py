@@ -4,7 +4,7 @@ Each view has a logistic model of its own. Its evidence is cross-fitted: every l
 was fitted on the other folds, which gives the view's calibration, its loss, and how often it is right where it is
 sure. A view may teach a label only if that share is high (PRECISE, smoothed); where there is no such evidence, none
 are taught. In every round the rows of the pool that a view is surest of go with its label to the other view's training
-rows, in the labels' own proportion and at most SHARE times as many as there are labelled rows. A view keeps what it was taught in a round
+rows, in the labels' own proportion and at most SHARE times as many as there are labelled rows, or TAUGHT. A view keeps what it was taught in a round
 only if its cross-fitted loss on labelled rows falls; else it stays as it was, so a useless view does no harm. In the
 end a document's score combines the calibrated log-odds of both views, weighted by how well each does.
 
@@ -30,9 +30,10 @@ from quern.llm.shared import cut
 
 SAMPLE = 8_000
 ROUNDS = 2
-#: Rows that each view labels for the other in a round, as a share of the labelled rows; how sure it has to be of
+#: Rows that each view labels for the other in a round, as a share of the labelled rows and at most; how sure it has to be of
 #: one, by its calibrated chance; how often it has to be right where it is that sure; and folds of the evidence.
 SHARE = 2.0
+TAUGHT = 2_000
 SURE = 0.9
 PRECISE = 0.8
 FOLDS = 3
@@ -163,7 +164,7 @@ def _evidence(x: np.ndarray, y: np.ndarray, taught: list[np.ndarray]) -> Evidenc
     quota = []
     for label, sure in ((0, 1 - p >= SURE), (1, p >= SURE)):
         right = (int((y[sure] == label).sum()) + 1) / (int(sure.sum()) + 2)
-        quota.append(int(SHARE * len(y) * (rate if label else 1 - rate)) if right >= PRECISE else 0)
+        quota.append(int(min(SHARE * len(y), TAUGHT) * (rate if label else 1 - rate)) if right >= PRECISE else 0)
     return Evidence(scale, loss, max(base - loss, 0.0), quota)
 
 
@@ -258,7 +259,7 @@ class Pool:
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         found = cut(_prepared(self.docs, "doc_id").mapInArrow(run, f"doc_id {kind}, p0 double, p1 double"), "sure").dropDuplicates(["doc_id"])
         if self.before is not None:
-            found = found.join(F.broadcast(self.before), "doc_id", "left_anti")  # at most 2 * SHARE of the sample a round
+            found = found.join(F.broadcast(self.before), "doc_id", "left_anti")  # at most 2 * TAUGHT ids a round
         taught = None
         for v in (0, 1):
             for label in (0, 1):
