@@ -339,16 +339,6 @@ def rendered_units(spark, sf_dir):
     return fragments.render(rows, "conv_id").select("conv_id", F.col("ordinal").alias("turn"), "char_start", "char_end")
 
 
-
-
-
-
-
-
-
-
-
-
 @query(r"""WITH b AS (SELECT page_id, url, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<!--.*?-->', '', 'g') AS body FROM pages)
 SELECT page_id, len(list_filter(list_transform(regexp_extract_all(body, '(?is)<(?:p|li)\b[^>]*>(.*?)</(?:p|li)>', 1), lambda v: trim(regexp_replace(regexp_replace(v, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda v: v <> '')) AS blocks FROM b WHERE len(list_filter(list_transform(regexp_extract_all(body, '(?is)<(?:p|li)\b[^>]*>(.*?)</(?:p|li)>', 1), lambda v: trim(regexp_replace(regexp_replace(v, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda v: v <> '')) > 0""")
 def page_blocks(spark, sf_dir):
