@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import TOKEN
+from quern.plans.local import scratch
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -23,6 +24,13 @@ def _gram_hashes(words: Column, most_n: int) -> Column:
     return F.concat(*[grams(n) for n in range(1, most_n + 1)])
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder and read back."""
+    path = scratch(df.sparkSession, "terms")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tfidf(docs: DataFrame, key: str, text: str, stop: list[str], most_n: int = 3, min_df: int = 3, max_df: float = 0.55, features: int = 6000) -> DataFrame:
     """(key, term, weight): n-grams after stop words are gone, sublinear frequency, smooth idf, unit length.
 
@@ -33,9 +41,10 @@ def tfidf(docs: DataFrame, key: str, text: str, stop: list[str], most_n: int = 3
     rows = docs.select(F.col(key), F.explode_outer(F.array(words)).alias("_w"))  # cut once, not once for each n
     parsed = rows.select(key, "_w", F.explode_outer(F.array(F.transform("_w", lambda w: F.xxhash64(w)))).alias("_h"))
     terms = parsed.select(key, F.inline(_gram_hashes(F.col("_h"), most_n)))
-    tf = terms.groupBy(key, "h").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("at")).checkpoint()
+    tf = _kept(terms.groupBy(key, "h").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("at")))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.min(F.struct(key, "at")).alias("first")).crossJoin(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df)).checkpoint()
+    df = tf.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.min(F.struct(key, "at")).alias("first")).crossJoin(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df))
+    df = _kept(df)
     least = df.select("cf").orderBy(F.desc("cf")).limit(features).agg(F.min("cf").alias("least"))
     likely = df.join(F.broadcast(least), F.col("cf") >= F.col("least"))  # and what ties with the last
     place, size = F.floor(F.col("first.at") / (most_n + 1)).cast("int"), F.col("first.at") % (most_n + 1)
