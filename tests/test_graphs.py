@@ -185,6 +185,27 @@ def test_chains_of_ten_thousand_links_in_few_rounds(spark, monkeypatch):
     assert {(r.prior, r.successors) for r in chains.forks(records).collect()} == {(50, 2), (n + 1, 2)}
 
 
+def test_a_cycle_takes_no_more_rounds_than_the_chains_and_blocks_need_no_order(spark, monkeypatch):
+    n, rng = 3000, random.Random(3)
+    names = [f"k{x}" for x in rng.sample(range(10**6), n)]
+    rows = [(names[k], names[k - 1] if k % 12 else None, k % 40 != 7, k) for k in range(n)] + [(f"r{k}", f"r{(k + 1) % 9}", True, -1) for k in range(9)] + [("r_in", "r0", True, -2), ("out", "nowhere", True, -3), ("out2", "out", True, -4)]
+    prior, seen = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    rounds, kept = [], chains.kept
+    monkeypatch.setattr(chains, "BLOCK", 64)
+    monkeypatch.setattr(chains, "kept", lambda rows, *a: rounds.append(1) or kept(rows, *a))
+    rng.shuffle(rows)
+    found = {r.id: r for r in chains.chains(spark.createDataFrame(rows, "id string, prior string, seen boolean, n int").repartition(3), "seen", ("n",)).collect()}
+    assert len(rounds) <= 9  # log2(12) rounds and what finds that no more ends; by the number of records it was 13
+    assert len(found) == len(rows) and all(found[r[0]].n == r[3] for r in rows)
+    for i in prior:
+        way = [i]
+        while prior.get(way[-1]) in prior and len(way) < 20:
+            way.append(prior[way[-1]])
+        fault = "cycle" if len(way) == 20 else "missing" if prior[way[-1]] else None
+        want = (None, None) if fault == "cycle" else (way[-1], len(way) - 1)
+        assert tuple(found[i])[:5] == (i, *want, fault is None and all(seen[x] for x in way), fault)
+
+
 def test_what_stands_is_visible_to_the_root(spark):
     rows = [(1, None, "a", 1, True), (2, 1, "a", 2, False), (3, 2, "a", 3, True), (4, None, "b", 1, True), (5, 4, "b", 2, True), (6, 4, "b", 2, True)]
     found = chains.standing(spark.createDataFrame(rows, "id int, prior int, target string, at int, seen boolean"), "seen").collect()
