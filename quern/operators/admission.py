@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.local import kept
+
 
 def _first(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     """The first `most` rows of each group: Spark drops the rest before it shuffles."""
@@ -33,13 +35,21 @@ def bounded_graphs(nodes: DataFrame, edges: DataFrame, node_limit: int, edge_lim
     own = edges.select("graph", "edge_type", "src", "dst", "edge_id")
     for end in ("src", "dst"):
         own = own.join(ends, (F.col("graph") == F.col("_g")) & (F.col(end) == F.col("_n")), "left_semi")
-    own = own.distinct().withColumn("_at", F.struct("edge_type", "src", "dst", "edge_id")).checkpoint()
+    return bounded_closed(known, kept(own.distinct()), node_limit, edge_limit)
+
+
+def bounded_closed(nodes: DataFrame, edges: DataFrame, node_limit: int, edge_limit: int) -> tuple[DataFrame, DataFrame]:
+    """`bounded_graphs` of nodes and edges that are there once each, the edges with both ends among the nodes; both are read
+    several times."""
+    known = nodes.select("graph", "node_type", "node_id")
+    own = edges.select("graph", F.struct("edge_type", "src", "dst", "edge_id").alias("_at"), "src", "dst")
     named = own.select("graph", "_at", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id"))
     first = named.groupBy("graph", "node_id").agg(F.min("_at").alias("_from"))
     # nodes in order of the edge that names them first; one more than the limit shows where it is passed
     early = _first(first, ["graph"], ["_from", "node_id"], node_limit + 1)
     early = early.withColumn("_named", F.count(F.lit(1)).over(Window.partitionBy("graph").orderBy("_from").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    held = early.filter(F.col("_named") <= node_limit).select("graph", "node_id").checkpoint()
+    held = early.filter(F.col("_named") <= node_limit).select("graph", "node_id")
+    held = kept(held)
     short = held.groupBy("graph").agg(F.count(F.lit(1)).alias("_n"))
     # graphs in which nothing fits yet (a limit of 1) have no held node and are short as well
     graphs = own.select("graph").distinct().join(short, "graph", "left").filter(F.coalesce("_n", F.lit(0)) == node_limit - 1).select("graph")
@@ -47,12 +57,12 @@ def bounded_graphs(nodes: DataFrame, edges: DataFrame, node_limit: int, edge_lim
     lone = named.join(graphs, "graph", "left_semi").join(marks, (F.col("graph") == F.col("_g")) & (F.col("node_id") == F.col("_h")), "left")
     needs = lone.groupBy("graph", "_at").agg(F.count_if(F.col("_in").isNull()).alias("_needs"), F.min(F.when(F.col("_in").isNull(), F.col("node_id"))).alias("node_id"))
     last = needs.filter("_needs = 1").groupBy("graph").agg(F.min_by("node_id", "_at").alias("node_id"))
-    full = held.unionByName(last).checkpoint()
+    full = kept(held.unionByName(last))
     marks = full.select(F.col("graph").alias("_g"), F.col("node_id").alias("_h"))
     taken = own
     for end in ("src", "dst"):
         taken = taken.join(marks, (F.col("graph") == F.col("_g")) & (F.col(end) == F.col("_h")), "left_semi")
-    taken = _first(taken, ["graph"], ["_at"], edge_limit).drop("_place", "_at").checkpoint()
+    taken = kept(_first(taken, ["graph"], ["_at"], edge_limit).select("graph", "_at.*"))
     shown = taken.select("graph", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     many = shown.groupBy("graph").agg(F.count(F.lit(1)).alias("_n"))
     rest = known.join(shown, ["graph", "node_id"], "left_anti")

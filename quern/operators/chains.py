@@ -17,9 +17,16 @@ BLOCK = 1 << 19
 
 
 def _contracted(rows: pa.Table) -> pa.RecordBatch:
-    """Each record's way within the rows: `last` record of it, `links` to that, and `to`, the prior of that which is not here."""
+    """Each record's way within the rows, sorted by id: `last` record of it, `links` to that, and `to`, the prior of that.
+
+    A way goes through ids that are here once, and neither first nor last, as another block may have those as well.
+    """
     ids, prior = rows.column("id").combine_chunks(), rows.column("prior").combine_chunks()
-    at = pc.fill_null(pc.index_in(prior, value_set=ids, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+    counts = ids.value_counts()
+    sure = pc.and_(pc.equal(counts.field("counts"), 1), pc.invert(pc.is_in(counts.field("values"), value_set=pa.concat_arrays([ids[:1], ids[-1:]]))))
+    once = counts.field("values").filter(sure)
+    place = pc.index_in(once, value_set=ids)
+    at = pc.fill_null(place.take(pc.index_in(prior, value_set=once, skip_nulls=True)), -1).to_numpy(zero_copy_only=False)
     visible = rows.column("visible").to_numpy()
     end = at < 0
     now, links, seen = np.where(end, np.arange(len(at)), at), (~end).astype(np.int64), visible | end
@@ -52,19 +59,19 @@ def _resolved(gates: DataFrame) -> DataFrame:
     Each round a record jumps to where the record it points to points; only those still under way are written again.
     A chain that ends has records at every depth, so each round ends some: when none ends, the rest go round.
     """
-    known = gates.select(F.col("id").alias("_k"))
+    known = gates.select(F.col("id").alias("_k")).distinct()
     heads = gates.join(known, F.col("to") == F.col("_k"), "left").withColumn("lost", F.col("to").isNotNull() & F.col("_k").isNull())
     on = F.col("to").isNotNull() & ~F.col("lost")
     columns = ["id", "root", "depth", "visible", "lost", "loop"]
     now = kept(heads.select("id", F.when(on, F.col("to")).alias("to"), F.when(~on, F.col("last")).alias("root"), (F.col("links") + F.when(on, 1).otherwise(0)).alias("depth"), "visible", "lost", "loop"))
     done, under = now.filter("to IS NULL").select(*columns), now.filter("to IS NOT NULL")
-    before, left = -1, under.count()
-    while left and left != before:
+    ended, left = True, not under.isEmpty()
+    while ended and left:
         there = under.unionByName(done, allowMissingColumns=True).select(F.col("id").alias("_i"), F.col("to").alias("_to"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("visible").alias("_v"), F.col("lost").alias("_l"), F.col("loop").alias("_o"))
         met = under.join(there, F.col("to") == F.col("_i")).select("id", F.col("_to").alias("to"), F.col("_r").alias("root"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("visible") & F.col("_v")).alias("visible"), (F.col("lost") | F.col("_l")).alias("lost"), (F.col("loop") | F.col("_o")).alias("loop"))
         now = kept(met)
         done, under = done.unionByName(now.filter("to IS NULL").select(*columns)), now.filter("to IS NOT NULL")
-        before, left = left, under.count()
+        ended, left = not now.filter("to IS NULL").isEmpty(), not under.isEmpty()
     return done.unionByName(under.withColumn("loop", F.lit(True)).select(*columns)) if left else done
 
 
@@ -73,8 +80,9 @@ def chains(records: DataFrame, visible: str | None = None, also: tuple[str, ...]
 
     A record is visible if it is and all that it supersedes, back to the root, are (`visible` names a boolean column;
     null counts as false; without it all are). Faults: `missing` (the chain leads to a prior that isn't there) and `cycle`
-    (it never ends); such records are invisible, and root and depth are null in a cycle. Ids are expected once each;
-    several records may name one prior (`forks` lists them). `also` names columns to keep.
+    (it never ends); such records are invisible, and root and depth are null in a cycle. Ids are expected once each
+    (an id that is there again has a row for each way that leads on); several records may name one prior (`forks` lists them).
+    `also` names columns to keep.
 
     Records are dealt by ranges of ids, and ways are followed within blocks of them first; only records that another
     block points to meet in pointer jumping, so a chain over n of those takes log2(n) + 1 rounds of them.
@@ -106,4 +114,5 @@ def standing(decisions: DataFrame, visible: str) -> DataFrame:
 
     A decision that supersedes another counts only if that one, and all before it, are visible as well.
     """
-    return chains(decisions, visible, ("target", "at")).filter("visible").groupBy("target").agg(F.max(F.struct("at", "id")).alias("_d")).select("target", F.col("_d.id").alias("id"), F.col("_d.at").alias("at"))
+    seen = chains(decisions, visible).filter("visible").select("id")
+    return decisions.join(seen, "id", "left_semi").groupBy("target").agg(F.max(F.struct("at", "id")).alias("_d")).select("target", F.col("_d.id").alias("id"), F.col("_d.at").alias("at"))

@@ -206,6 +206,18 @@ def test_a_cycle_takes_no_more_rounds_than_the_chains_and_blocks_need_no_order(s
         assert tuple(found[i])[:5] == (i, *want, fault is None and all(seen[x] for x in way), fault)
 
 
+def test_an_id_that_is_there_again_has_every_way(spark, monkeypatch):
+    monkeypatch.setattr(chains, "BLOCK", 4)
+    rng = random.Random(5)
+    rows = [(run * 10 + line, run * 10 + line - 1 if line > 1 and rng.random() < 0.7 else None, rng.random() < 0.8) for run in range(40) for line in [rng.randint(1, 7) for _ in range(6)]]
+    ways: dict[int, list] = defaultdict(list)
+    for i, prior, seen in sorted(rows, key=lambda r: r[0]):  # priors are smaller
+        known = [r for r in rows if r[0] == prior]
+        ways[i] += [(i, i, 0, seen and prior is None, None if prior is None else "missing")] if not known else [(i, r, d + 1, v and seen, f) for _, r, d, v, f in ways[prior]]
+    found = chains.chains(spark.createDataFrame(rows, "id int, prior int, seen boolean").repartition(2), "seen").collect()
+    assert sorted(map(repr, (tuple(r) for r in found))) == sorted(repr(w) for per in ways.values() for w in per)
+
+
 def test_what_stands_is_visible_to_the_root(spark):
     rows = [(1, None, "a", 1, True), (2, 1, "a", 2, False), (3, 2, "a", 3, True), (4, None, "b", 1, True), (5, 4, "b", 2, True), (6, 4, "b", 2, True)]
     found = chains.standing(spark.createDataFrame(rows, "id int, prior int, target string, at int, seen boolean"), "seen").collect()
@@ -245,3 +257,12 @@ def test_lineage_roles(spark):
     found = {r.source_id: (r.family, r.root_id, r.role) for r in scope.lineage_roles(spark.createDataFrame(rows, "source_id long, sha256 string, declared string")).collect()}
     assert found == {1: ("1", 1, "root"), 2: ("1", 1, "duplicate"), 3: ("f", 3, "root"), 4: ("f", 3, "derivative"), 5: ("f", 3, "duplicate"), 6: ("f", 3, "duplicate"), 7: ("7", 7, "root"), 8: ("f", 3, "derivative")}
     assert scope.lineage_roles(spark.createDataFrame(rows, "source_id long, sha256 string, declared string").limit(0)).agg(F.count("role")).first()[0] == 0
+
+
+def test_reading_rooms_write_no_checkpoint_and_keep_their_decisions_by_id(spark, tmp_path, monkeypatch):
+    def refuse(self, *a, **b):
+        raise AssertionError("a checkpoint of rows takes several times the disk of a table in columns")
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", refuse)
+    out = registry.QUERIES["reading_rooms"](spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
