@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import mining
+from quern.plans.local import kept
 
 #: Terms of a vocabulary, by contract: factors of terms are the only ones that the driver holds.
 MOST_TERMS = 100_000
@@ -153,10 +154,18 @@ def factorize(weights: DataFrame, key: str, k: int, term: str = "term", value: s
     if len(terms) > MOST_TERMS:
         raise ValueError(f"over {MOST_TERMS} terms")
     terms = sorted(terms)
-    kind = weights.schema[key].dataType.simpleString()
     spark = weights.sparkSession
     places = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "_term string, t int")
-    rows = entries.join(F.broadcast(places), "_term").groupBy(key).agg(F.collect_list(F.struct("t", "x")).alias("entries")).checkpoint()
+    rows = entries.join(F.broadcast(places), "_term").groupBy(key).agg(F.collect_list(F.struct("t", "x")).alias("entries"))
+    return factors(rows, terms, key, k, rounds, tolerance)
+
+
+def factors(rows: DataFrame, terms: list[str], key: str, k: int, rounds: int = 60, tolerance: float = 1e-4) -> Topics:
+    """`factorize` of rows (key, entries (t, x > 0)) as they are, t the place of a term among `terms`; no row is empty."""
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} terms")
+    rows = kept(rows)
     count, mean = rows.agg(F.count(F.lit(1)), F.sum(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["x"]))).first()
     k = min(k, max(count - 1, 1), len(terms))
     if not terms or k < 1:
@@ -214,11 +223,10 @@ def concept_map(docs: DataFrame, key: str, text: str, source: str, queries: Data
     Names are at most 2 * `per_component` a component, so the driver holds those alone.
     """
     spark = docs.sparkSession
-    weights = mining.tfidf(docs, key, text, stop, min_df=min_df).checkpoint()
-    topics = factorize(weights, key, k)
-    loadings = topics.loadings.checkpoint()
+    topics = factors(*mining.weighed(docs, key, text, stop, min_df=min_df), key, k)
+    loadings = kept(topics.loadings)
     phrases = mining.query_anchors(queries, query_text, docs, key, text, source, stop, min_df, min_sources).select("phrase").checkpoint()
-    met = mining.occurrences(phrases, docs, key, text, source).checkpoint()
+    met = kept(mining.occurrences(phrases, docs, key, text, source))
     homes = mining.assigned(met.withColumnRenamed(key, "key"), loadings.withColumnRenamed(key, "key"))
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("mean"), "phrase"))
     anchors = homes.withColumn("_p", place).filter(F.col("_p") <= max(1, per_component - 2)).orderBy("component", "_p").collect()
@@ -230,7 +238,7 @@ def concept_map(docs: DataFrame, key: str, text: str, source: str, queries: Data
             if not any(name in held or held in name for _, held, _, _ in claimed):
                 claimed.append((j, name, origin, weight))
     named = spark.createDataFrame(claimed, "component int, phrase string, origin string, weight double")
-    found = mining.occurrences(named, docs, key, text, source).checkpoint()
+    found = kept(mining.occurrences(named, docs, key, text, source))
     per = found.groupBy("phrase").agg(F.count_distinct(key).alias("df"), F.count_distinct(source).alias("sources")).filter((F.col("df") >= min_df) & (F.col("sources") >= min_sources))
     concepts = named.join(per, "phrase").select("component", F.col("phrase").alias("concept"), "origin", "weight", "df", "sources").checkpoint()
     own = found.join(F.broadcast(concepts.select(F.col("concept").alias("phrase"), "component")), "phrase").select(F.col("phrase").alias("concept"), "component", key, source)

@@ -25,8 +25,8 @@ def concept_edges(spark, sf_dir):
 def topic_loadings(spark, sf_dir):
     """Each document's strongest topic among seven, by loadings from the terms of all documents."""
     checkpointed(spark)
-    weights = mining.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", STOP)
-    loadings = topics.factorize(weights, "doc_id", 7).loadings
+    weights = mining.weighed(table(spark, sf_dir, "documents"), "doc_id", "text", STOP)
+    loadings = topics.factors(*weights, "doc_id", 7).loadings
     return loadings.groupBy("doc_id").agg(F.max_by("component", "loading").alias("component"), F.count(F.lit(1)).alias("components"))
 
 
