@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.canonical import file_uri, set_manifest
 from quern.operators import answers, gates, graph, mining, packets, review, scope
-from quern.plans.local import checkpointed
+from quern.plans.local import checkpointed, kept
 from quern.plans.registry import ORACLES, query
 from quern.session import table
 from quern.streaming import journal
@@ -276,7 +276,8 @@ def anchor_components(spark, sf_dir):
 @query(_occurrences_sql(LISTED) + """, e AS (SELECT a.phrase AS l, b.phrase AS r, count(DISTINCT a.source) AS s FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.phrase < b.phrase GROUP BY 1, 2 HAVING count(DISTINCT a.source) >= 2 ORDER BY s DESC, count(DISTINCT a.doc_id) DESC, l, r LIMIT 30), d AS (SELECT l AS p FROM e UNION SELECT r FROM e)
 SELECT (SELECT count(*) FROM q) AS concepts, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE s >= 2) AS multi_source, (SELECT count(*) FROM q WHERE phrase NOT IN (SELECT p FROM d)) AS isolated, CAST(0 AS BIGINT) AS dangling""")
 def concept_metrics(spark, sf_dir):
-    found = mining.occurrences(_phrases(spark), table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    checkpointed(spark)
+    found = kept(mining.occurrences(_phrases(spark), table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
     edges = mining.cooccurrence(found.select(F.col("phrase").alias("concept"), F.col("doc_id").alias("fragment"), "source"))
     return mining.concept_metrics(_phrases(spark).withColumnRenamed("phrase", "concept"), edges)
 
