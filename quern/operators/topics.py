@@ -165,7 +165,8 @@ def factors(rows: DataFrame, terms: list[str], key: str, k: int, rounds: int = 6
     spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
     if len(terms) > MOST_TERMS:
         raise ValueError(f"over {MOST_TERMS} terms")
-    rows = kept(rows)
+    # as many tasks as cores: what a pass sends, a row of each term from each task, doesn't grow with the rows
+    rows = kept(rows).coalesce(spark.sparkContext.defaultParallelism)
     count, mean = rows.agg(F.count(F.lit(1)), F.sum(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["x"]))).first()
     k = min(k, max(count - 1, 1), len(terms))
     if not terms or k < 1:
@@ -226,8 +227,9 @@ def concept_map(docs: DataFrame, key: str, text: str, source: str, queries: Data
     topics = factors(*mining.weighed(docs, key, text, stop, min_df=min_df), key, k)
     loadings = kept(topics.loadings)
     phrases = mining.query_anchors(queries, query_text, docs, key, text, source, stop, min_df, min_sources).select("phrase").checkpoint()
-    met = kept(mining.occurrences(phrases, docs, key, text, source))
-    homes = mining.assigned(met.withColumnRenamed(key, "key"), loadings.withColumnRenamed(key, "key"))
+    met, listed = mining.held(phrases, docs, key, text, source)
+    mean = met.select(key, "grams").join(loadings, key).select("component", "loading", F.inline("grams")).groupBy("h", "n", "component").agg(F.avg("loading").alias("mean"))
+    homes = mining.nearest(mining.spelled(mean, listed))
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("mean"), "phrase"))
     anchors = homes.withColumn("_p", place).filter(F.col("_p") <= max(1, per_component - 2)).orderBy("component", "_p").collect()
     claimed: list[tuple[int, str, str, float]] = []
@@ -238,8 +240,10 @@ def concept_map(docs: DataFrame, key: str, text: str, source: str, queries: Data
             if not any(name in held or held in name for _, held, _, _ in claimed):
                 claimed.append((j, name, origin, weight))
     named = spark.createDataFrame(claimed, "component int, phrase string, origin string, weight double")
-    found = kept(mining.occurrences(named, docs, key, text, source))
-    per = found.groupBy("phrase").agg(F.count_distinct(key).alias("df"), F.count_distinct(source).alias("sources")).filter((F.col("df") >= min_df) & (F.col("sources") >= min_sources))
+    rows, listed = mining.held(named, docs, key, text, source)
+    rows = kept(rows)
+    found = mining.spelled(rows.select(key, source, F.inline("grams")), listed)
+    per = mining.spread(rows, listed, key, source).filter((F.col("df") >= min_df) & (F.col("sources") >= min_sources))
     concepts = named.join(per, "phrase").select("component", F.col("phrase").alias("concept"), "origin", "weight", "df", "sources").checkpoint()
     own = found.join(F.broadcast(concepts.select(F.col("concept").alias("phrase"), "component")), "phrase").select(F.col("phrase").alias("concept"), "component", key, source)
     scored = own.join(loadings, [key, "component"], "left").select("concept", F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce("loading", F.lit(0.0)).alias("loading"))
@@ -250,11 +254,10 @@ def concept_map(docs: DataFrame, key: str, text: str, source: str, queries: Data
 
 def edges_with_evidence(occurrences: DataFrame, least_sources: int = 2, most: int = 30, evidence: int = 8) -> DataFrame:
     """`mining.cooccurrence` with `evidence`: the first fragment of each source, in order of fragment, up to so many."""
-    edges = mining.cooccurrence(occurrences, least_sources, most).checkpoint()
-    a, b = occurrences.alias("a"), occurrences.alias("b")
+    met = kept(mining.pairs(occurrences))
+    edges = mining.linked(met, least_sources, most).checkpoint()
     few = F.broadcast(edges.select("left", "right"))  # at most `most` edges
-    shared = a.join(few, F.col("a.concept") == F.col("left")).join(b, (F.col("a.fragment") == F.col("b.fragment")) & (F.col("b.concept") == F.col("right")))
-    first = shared.groupBy("left", "right", F.col("a.source").alias("source")).agg(F.min("a.fragment").alias("fragment"))
+    first = met.join(few, ["left", "right"]).select("left", "right", "source", F.col("first").alias("fragment"))
     place = F.row_number().over(Window.partitionBy("left", "right").orderBy("fragment"))
     listed = first.withColumn("_p", place).filter(F.col("_p") <= evidence).groupBy("left", "right").agg(F.array_sort(F.collect_list("fragment")).alias("evidence"))
     return edges.join(listed, ["left", "right"])

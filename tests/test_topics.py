@@ -128,3 +128,43 @@ def test_phrases_are_found_without_a_row_for_every_run_of_words(spark):
     found = mining.occurrences(spark.createDataFrame([(p,) for p in [*phrases, "b"]], "phrase string"), frame, "k", "text", "source")
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [(p, k, s) for k, s, ps in [(1, "x", ["a b", "a b c", "b", "d a", "c"]), (3, "y", ["a b", "a b c", "b", "c"]), (5, None, ["b"])] for p in ps]))
     assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_counted_by_source_and_not_by_fragment(spark):
+    """As distinct counts over all pairs of rows, with fragments of several sources, repeated rows and nulls."""
+    rng = random.Random(4)
+    rows = [(rng.choice("abcde"), rng.choice([*range(12), None]), rng.choice(["s", "t", None])) for _ in range(120)]
+    found = mining.pairs(spark.createDataFrame(rows, "concept string, fragment int, source string").repartition(3)).collect()
+    shared, sources, first = defaultdict(set), defaultdict(set), {}
+    for c, f, s in rows:
+        for d, g, _ in rows:
+            if f is not None and f == g and c < d:
+                shared[c, d].add(f), sources[c, d].add(s)
+                first[c, d, s] = min(f, first.get((c, d, s), f))
+    counted = Counter()
+    for r in found:
+        counted[r.left, r.right] += r.shared
+    assert counted == {k: len(v) for k, v in shared.items()} and {(r.left, r.right, r.source): r.first for r in found} == first and len(found) == len(first)
+    linked = {(r.left, r.right): (r.shared, r.sources) for r in mining.linked(mining.pairs(spark.createDataFrame(rows, "concept string, fragment int, source string")), 1).collect()}
+    assert linked == {k: (len(v), len(sources[k] - {None})) for k, v in shared.items()}
+
+
+def test_documents_of_a_phrase_with_and_without_repeated_keys(spark):
+    phrases = spark.createDataFrame([("a b",), ("c",), ("x",)], "phrase string")
+    rows = [(1, "a b c a b", "s"), (2, "c", None), (3, "b a", "t"), (None, "c", "t")]
+    for more, df in (([], 2), ([(1, "c c", "u")], 2)):
+        docs = spark.createDataFrame(rows + more, "k int, text string, source string")
+        found = {r.phrase: (r.df, r.sources) for r in mining.spread(*mining.held(phrases, docs, "k", "text", "source"), "k", "source").collect()}
+        assert found == {"a b": (1, 1), "c": (df, 2 + len(more))}
+
+
+def test_a_pass_over_the_matrix_has_no_more_tasks_than_cores(spark, monkeypatch):
+    """Each task sends a row for each term, so tasks that grew with the rows would shuffle ever more."""
+    seen, sums = [], topics._sums
+    monkeypatch.setattr(topics, "_sums", lambda rows, m, solve: seen.append(rows.rdd.getNumPartitions()) or sums(rows, m, solve))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        topics.factorize(frame(spark, np.random.default_rng(1).random((400, 9))).repartition(40), "key", 2, rounds=2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
