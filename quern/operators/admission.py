@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -113,9 +113,11 @@ class Route:
                 return "hypothesis", h
         return None
 
-    def see(self, stage: str, kind: str, i: str, asks: list[str], rests: list[str], questions: list[str], hypotheses: list[str], evidence: list[str], sources: list[str]) -> None:
-        """Admit a candidate, omit it with a reason, or pass it by if nothing admitted leads to it."""
+    def see(self, stage: str, kind: str, i: str, asks: list[str], rests: list[str], brings: Callable[[], tuple[list[str], ...]]) -> None:
+        """Admit a candidate, omit it with a reason, or pass it by if nothing admitted leads to it; only what may be
+        admitted is asked for the questions, hypotheses, evidence and sources that it brings."""
         if kind == "question":
+            _, _, evidence, sources = brings()
             if (reason := self._reason({"question": [i], "evidence": evidence, "source": sources})) is None:
                 self._put("question", [i], "seed", (stage, None))
                 self.seeds[i] = None
@@ -143,6 +145,7 @@ class Route:
             parent = self._parent(asks, rests, self.linked)
             if parent is None:
                 return
+        questions, hypotheses, evidence, sources = brings()
         more = {"question": questions, "hypothesis": hypotheses, "evidence": evidence, "source": sources}
         more[kind] = [*more.get(kind, []), i]
         if (reason := self._reason(more)) is not None:
@@ -168,7 +171,7 @@ def routes(candidates: DataFrame, budget: dict[str, int], by: str = "route_id")
     """Budgeted routes: (`by`, kind, id, step, outcome, parent_kind, parent_id, reason) of candidates, many routes at once.
 
     A candidate (`by`, stage, place, kind, id, asks, rests, questions, hypotheses, evidence, sources) is seen in order of
-    kind (questions, hypotheses, timeline, gaps, relations), then `place`. Questions are seeds, semantic ones placed
+    kind (questions, hypotheses, timeline, gaps, relations), then `place`, id, and what it holds. Questions are seeds, semantic ones placed
     before lexical ones. Another object is looked at if a seed that was admitted is among `asks`, or a hypothesis that
     seeds led to among `rests` (of a relation: its two ends); it is admitted with all it brings, if every budget
     holds that, and else omitted with the first budget that doesn't. What an earlier object brought clears its omission.
@@ -183,14 +186,14 @@ def routes(candidates: DataFrame, budget: dict[str, int], by: str = "route_id")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     lists = [F.transform(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))), lambda x: x.cast("string")).alias(c) for c in CANDIDATE[4:]]
     rows = candidates.select(F.col(by), F.col("stage").cast("string").alias("stage"), F.col("place").cast("long").alias("place"), F.col("kind"), F.col("id").cast("string").alias("id"), *lists, order.alias("_order"))
-    dealt = rows.repartition(by).sortWithinPartitions(by, "_order", "place", "id")
+    dealt = rows.repartition(by).sortWithinPartitions(by, "_order", "place", "id", "stage", *CANDIDATE[4:])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, route, out = None, None, []
 
         def close() -> None:
             if route is not None:
-                out.extend((now.as_py(), *r) for r in route.rows())
+                out.extend((now, *r) for r in route.rows())
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
@@ -199,15 +202,18 @@ def routes(candidates: DataFrame, budget: dict[str, int], by: str = "route_id")
         types = []
         for b in batches:
             types = [b.schema.field(by).type, pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-            ids, columns = b.column(0), b.to_pydict()
-            for k in range(b.num_rows):
-                if route is None or ids[k].as_py() != now.as_py():
+            ids = b.column(0).to_pylist()
+            stage, kind, own = (b.column(c).to_pylist() for c in ("stage", "kind", "id"))
+            (asks, asked), (rests, rested) = ((b.column(c).values.to_pylist(), b.column(c).offsets.to_pylist()) for c in ("asks", "rests"))
+            lists = [b.column(c) for c in CANDIDATE[6:]]
+            for k, i in enumerate(ids):
+                if route is None or i != now:
                     close()
-                    now, route = ids[k], Route(budget)
+                    now, route = i, Route(budget)
                     if len(out) >= 5000:
                         yield batch()
                         out.clear()
-                route.see(columns["stage"][k], columns["kind"][k], columns["id"][k], *(columns[c][k] for c in CANDIDATE[4:]))
+                route.see(stage[k], kind[k], own[k], asks[asked[k] : asked[k + 1]], rests[rested[k] : rested[k + 1]], lambda k=k, lists=lists: tuple(c[k].as_py() for c in lists))
         close()
         if out:
             yield batch()

@@ -266,3 +266,19 @@ def test_reading_rooms_write_no_checkpoint_and_keep_their_decisions_by_id(spark,
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", refuse)
     out = registry.QUERIES["reading_rooms"](spark, "/root/testdata/sf0.001")
     assert out.count() > 0
+
+
+def test_route_candidates_with_one_id_are_seen_in_order_of_what_they_hold(spark):
+    """However rows come, and lists of what is passed by are never asked for."""
+    none, seen = [], []
+    rows = [(1, "semantic", 1, "question", "q1", none, none, none, none, ["e1"], ["s"]), (1, "graph", 5, "gap", "g", ["q1"], none, none, none, ["e3"], ["s"]), (1, "graph", 5, "gap", "g", ["q1"], none, none, none, ["e2"], ["s"]), (1, "graph", 6, "gap", "h", ["q1"], none, none, none, ["e3"], ["s"])]
+    arrays = ", ".join(f"{c} array<string>" for c in admission.CANDIDATE[4:])
+    budget = dict.fromkeys(admission.REASONS, 9) | {"evidence": 2}
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, f"route_id int, stage string, place int, kind string, id string, {arrays}").coalesce(1)
+        found = {(r.kind, r.id): r.outcome for r in admission.routes(frame, budget).collect() if r.kind == "gap" and r.outcome != "omitted"}
+        assert found == {("gap", "g"): "expansion"}
+    route = admission.Route(budget)
+    route.see("semantic", "question", "q1", [], [], lambda: ([], [], [], []))
+    route.see("graph", "gap", "g", ["q2"], [], lambda: seen.append(1))
+    assert not seen
