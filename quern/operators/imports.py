@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.local import kept
+
 #: Tables of resolved objects that are kept apart before they are put together.
 MOST_PARTS = 16
+#: New ids of a round that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def object_id(kind: Column, payload: Column, refs: Column) -> Column:
@@ -19,64 +26,100 @@ def resolved(objects: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(`by`..., kind, key, payload, refs) objects, with refs the keys of others of the same import, to id, level and fault.
 
     An id covers the ids of what an object names, so it is made from the bottom up: objects without references first
-    (level 0), then those all of whose references have ids. Only what a round resolved is joined with references
-    that wait for it. What has no id in the end is a fault, and never a null reference: `unresolved` (names a key
+    (level 0), then those all of whose references have ids. Only what a round resolved is joined with what still
+    waits. What has no id in the end is a fault, and never a null reference: `unresolved` (names a key
     that isn't there), `cycle` (leads back to itself, or lies between two cycles) or `blocked` (leads to one of
     those). A key used twice in an import is `repeated` and takes no part. Rounds are as many as the longest chain.
     Null keys name nothing and are `unresolved` where they are named; an object with a null key is `repeated`.
     """
     by = by or []
-    rows = objects.select(*by, "kind", "key", "payload", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
-    counted = rows.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("_n"))
-    bad = counted.filter("_n > 1 OR key IS NULL").drop("_n")
-    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "key"]]
-    repeated = rows.alias("x").join(bad.alias("b"), on, "left_semi")
-    rows = rows.alias("x").join(bad.alias("b"), on, "left_anti").checkpoint()
-    edges = rows.select(*by, "key", F.posexplode("refs").alias("at", "ref"))
-    known = rows.select(*by, F.col("key").alias("ref"))
-    missing = edges.join(known, [*by, "ref"], "left_anti").select(*by, "key").distinct().checkpoint()
-    waits = edges.join(missing, [*by, "key"], "left_anti").checkpoint()
-    heads = rows.select(*by, "key", "kind", "payload", F.size("refs").alias("n"))
-    fresh = heads.filter("n = 0").select(*by, "key", object_id(F.col("kind"), F.col("payload"), F.array().cast("array<string>")).alias("id"), F.lit(0).cast("long").alias("level")).checkpoint()
-    done, got = [fresh], []
-    level = 0
+    none = F.array().cast("array<string>")
+    every = objects.select(*by, "kind", "key", "payload", F.coalesce("refs", none).alias("refs"))
+    # each key and each name once, with the objects that have it: one shuffle tells what is repeated and what is missing
+    names = every.select(*by, F.col("key").alias("name"), F.lit(1).alias("_n")).unionByName(every.select(*by, F.explode("refs").alias("name"), F.lit(0).alias("_n")))
+    odd = kept(names.groupBy(*by, "name").agg(F.sum("_n").alias("_n")).filter("_n <> 1 OR name IS NULL"))
+    held = lambda c: [F.col(f"x.{x}").eqNullSafe(F.col(f"o.{y}")) for x, y in [*[(z, z) for z in by], (c, "name")]]
+    bad = odd.filter("_n > 0").alias("o")
+    repeated = every.alias("x").join(bad, held("key"), "left_semi").withColumn("fault", F.lit("repeated"))
+    rows = kept(every.alias("x").join(bad, held("key"), "left_anti"))
+    heads = rows.filter(F.size("refs") > 1)
+    # an object that names one other is made from that one's id alone; only others gather what came for them
+    single = rows.filter(F.size("refs") == 1).withColumn("ref", F.get("refs", F.lit(0))).drop("refs")
+    lost = odd.alias("o")
+    nowhere = reduce(or_, [F.col(c).isNull() for c in by], F.lit(False))
+    missing = single.alias("x").join(lost, held("ref"), "left_semi").unionByName(single.filter(nowhere).alias("x").join(lost, held("ref"), "left_anti")).select(*by, "kind", "key")
+    waits = single.filter(~nowhere).alias("x").join(lost, held("ref"), "left_anti")
+    many = _Many(heads, lost, by) if not heads.isEmpty() else None
+    fresh = kept(rows.filter(F.size("refs") == 0).select(*by, "kind", "key", object_id(F.col("kind"), F.col("payload"), none).alias("id"), F.lit(0).cast("long").alias("level")))
+    done, level, stacked = [fresh], 0, 0
     while not fresh.isEmpty():
         level += 1
-        came = waits.join(fresh.select(*by, F.col("key").alias("ref"), F.col("id").alias("ref_id")), [*by, "ref"]).select(*by, "key", "at", "ref_id")
-        got.append(came.checkpoint())
-        if len(got) > MOST_PARTS:
-            got = [_together(got).checkpoint()]
-        touched = got[-1].select(*by, "key").distinct() if len(got) > 1 else came.select(*by, "key").distinct()
-        have = _together(got).join(touched, [*by, "key"], "left_semi").groupBy(*by, "key").agg(F.array_sort(F.collect_list(F.struct("at", "ref_id"))).alias("got"))
-        ready = have.join(heads, [*by, "key"]).filter(F.size("got") == F.col("n"))
-        if len(got) == 1 and level > 1:  # parts were put together: some of what they hold is done
-            ready = ready.join(_together(done).select(*by, "key"), [*by, "key"], "left_anti")
-        fresh = ready.select(*by, "key", object_id(F.col("kind"), F.col("payload"), F.col("got.ref_id")).alias("id"), F.lit(level).cast("long").alias("level")).checkpoint()
+        named = fresh.select(*by, F.col("key").alias("ref"), F.col("id").alias("ref_id"))
+        if fresh.count() <= BROADCAST_ROWS:
+            met = waits.join(F.broadcast(named), [*by, "ref"])
+            waits, stacked = waits.join(F.broadcast(named), [*by, "ref"], "left_anti"), stacked + 1
+        else:  # one shuffle tells those that are met from those that go on waiting
+            both = kept(waits.join(named, [*by, "ref"], "left"))
+            met, waits, stacked = both.filter("ref_id IS NOT NULL"), both.filter("ref_id IS NULL").drop("ref_id"), 0
+        met = met.select(*by, "kind", "key", object_id(F.col("kind"), F.col("payload"), F.array("ref_id")).alias("id"), F.lit(level).cast("long").alias("level"))
+        fresh = kept(met if many is None else met.unionByName(many.ready(named, level)))
         done.append(fresh)
         if len(done) > MOST_PARTS:
-            done = [_together(done).checkpoint()]
-    found = _together(done)
-    left = rows.join(found, [*by, "key"], "left_anti").select(*by, "key").checkpoint()
-    loops = _looped(edges, left.join(missing, [*by, "key"], "left_anti"), by)
-    faults = left.join(missing.withColumn("_m", F.lit("unresolved")), [*by, "key"], "left").join(loops.withColumn("_l", F.lit("cycle")), [*by, "key"], "left")
-    faults = faults.select(*by, "key", F.coalesce("_m", "_l", F.lit("blocked")).alias("fault"))
-    out = rows.select(*by, "kind", "key").join(found, [*by, "key"], "left").join(faults, [*by, "key"], "left")
-    twice = repeated.select(*by, "kind", "key", F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("level"), F.lit("repeated").alias("fault"))
-    return out.select(*by, "kind", "key", "id", "level", "fault").unionByName(twice)
-
-
-def _looped(edges: DataFrame, left: DataFrame, by: list[str]) -> DataFrame:
-    """Keys of `left` that are on a cycle or between two: what stays when keys that name none of the rest, or that none of the rest names, go."""
-    now = left.select(*by, "key").distinct().checkpoint()
-    own = edges.select(*by, "key", "ref").distinct()
+            done = [kept(_together(done))]
+        if stacked > MOST_PARTS:
+            waits, stacked = kept(waits), 0
+    left, edges = waits.select(*by, "kind", "key"), waits.select(*by, "key", "ref")
+    if many is not None:
+        missing = missing.unionByName(many.missing)
+        rest = kept(many.heads.join(_together(done).select(*by, "key"), [*by, "key"], "left_anti"))
+        left, edges = left.unionByName(rest.select(*by, "kind", "key")), edges.unionByName(rest.select(*by, "key", F.explode("refs").alias("ref")))
+    loops = _looped(edges, by).withColumn("_l", F.lit("cycle"))
+    blocked = left.join(loops, [*by, "key"], "left").withColumn("fault", F.coalesce("_l", F.lit("blocked")))
+    faults = blocked.select(*by, "kind", "key", "fault").unionByName(missing.withColumn("fault", F.lit("unresolved"))).unionByName(repeated.select(*by, "kind", "key", "fault"))
+    found = _together(done).withColumn("fault", F.lit(None).cast("string"))
+    return found.unionByName(faults.select(*by, "kind", "key", F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("level"), "fault"))
+
+
+class _Many:
+    """Objects that name several others: what has come for each, until it is whole."""
+
+    def __init__(self, heads: DataFrame, lost: DataFrame, by: list[str]) -> None:
+        self.by, key = by, [*by, "key"]
+        edges = heads.select(*key, F.posexplode("refs").alias("at", "ref"))
+        gone = [*[F.col(f"x.{c}").eqNullSafe(F.col(f"o.{c}")) for c in by], F.col("x.ref").eqNullSafe(F.col("o.name"))]
+        nowhere = reduce(or_, [F.col(c).isNull() for c in by], F.lit(False))
+        without = kept(edges.alias("x").join(lost, gone, "left_semi").select(*key).distinct())
+        same = [F.col(f"h.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
+        whole = heads.filter(~nowhere).alias("h").join(without.alias("m"), same, "left_anti")
+        self.missing = heads.alias("h").join(without.alias("m"), same, "left_semi").unionByName(heads.filter(nowhere).alias("h").join(without.alias("m"), same, "left_anti")).select(*by, "kind", "key")
+        self.heads = kept(whole)
+        self.waits = self.heads.select(*key, F.posexplode("refs").alias("at", "ref"))
+        self.got: list[DataFrame] = []
+
+    def ready(self, named: DataFrame, level: int) -> DataFrame:
+        """Objects that what came now makes whole."""
+        key = [*self.by, "key"]
+        came = kept(self.waits.join(named, [*self.by, "ref"]).select(*key, "at", "ref_id"))
+        self.got.append(came)
+        touched = came.select(*key).distinct()
+        have = _together(self.got).join(touched, key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "ref_id"))).alias("got"))
+        if len(self.got) > MOST_PARTS:
+            self.got = [kept(_together(self.got))]
+        ready = have.join(self.heads, key).filter(F.size("got") == F.size("refs"))
+        return ready.select(*self.by, "kind", "key", object_id(F.col("kind"), F.col("payload"), F.col("got.ref_id")).alias("id"), F.lit(level).cast("long").alias("level"))
+
+
+def _looped(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Keys on a cycle or between two: those of the (`by`..., key, ref) edges that stay when edges to what names none of the
+    rest, or from what none of the rest names, go. Each round reads the edges that are left."""
+    now = kept(edges.distinct())
     n, was = now.count(), -1
     while n != was and n:
-        inner = own.join(now, [*by, "key"], "left_semi").join(now.withColumnRenamed("key", "ref"), [*by, "ref"], "left_semi")
-        named = inner.select(*by, F.col("ref").alias("key")).distinct()
-        names = inner.select(*by, "key").distinct()
-        now = now.join(names, [*by, "key"], "left_semi").join(named, [*by, "key"], "left_semi").checkpoint()
+        names = now.select(*by, F.col("key").alias("ref")).distinct()
+        inner = now.join(names, [*by, "ref"], "left_semi")
+        now = kept(inner.join(inner.select(*by, F.col("ref").alias("key")).distinct(), [*by, "key"], "left_semi"))
         was, n = n, now.count()
-    return now
+    return now.select(*by, "key").distinct()
 
 
 def _together(parts: list[DataFrame]) -> DataFrame:

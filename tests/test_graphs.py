@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,3 +282,35 @@ def test_route_candidates_with_one_id_are_seen_in_order_of_what_they_hold(spark)
     route.see("semantic", "question", "q1", [], [], lambda: ([], [], [], []))
     route.see("graph", "gap", "g", ["q2"], [], lambda: seen.append(1))
     assert not seen
+
+
+def test_imports_equal_a_walk_of_each_object(spark, monkeypatch):
+    """Objects of no, one and several references, repeated and null keys and gaps, by import, broadcast and not."""
+    rng = random.Random(8)
+    rows = []
+    for i in ("a", "b"):
+        for k in range(40):
+            refs = [rng.choice([f"k{rng.randrange(max(k // 4, 1))}"] * 12 + [f"k{rng.randrange(44)}", None]) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] if k else []
+            rows.append((i, "x", None if k == 30 else f"k{k if k != 31 else 20}", f"p{k}", refs))
+    frame = spark.createDataFrame(rows, "i string, kind string, key string, payload string, refs array<string>").repartition(4)
+    want = Counter()
+    for i in ("a", "b"):
+        own = [r for r in rows if r[0] == i]
+        count = Counter(r[2] for r in own)
+        known = {r[2]: r[4] for r in own if r[2] is not None and count[r[2]] == 1}
+        level = {}
+        for _ in known:
+            level |= {k: max((level[x] + 1 for x in refs), default=0) for k, refs in known.items() if all(x in level for x in refs)}
+        left = {k: v for k, v in known.items() if k not in level and all(x in known for x in v)}
+        loops = set(left)
+        for _ in left:
+            loops = {k for k in loops if any(x in loops for x in left[k]) and any(k in left[x] for x in loops)}
+        for r in own:
+            k = r[2]
+            fault = "repeated" if k not in known else None if k in level else "unresolved" if k not in left else "cycle" if k in loops else "blocked"
+            want[i, k, level.get(k) if k in known else None, fault] += 1
+    for most in (100_000, 0):
+        monkeypatch.setattr(imports, "BROADCAST_ROWS", most)
+        found = imports.resolved(frame, ["i"]).collect()
+        assert Counter((r.i, r.key, r.level, r.fault) for r in found) == want and all((r.id is None) == (r.level is None) for r in found)
+    assert {f for *_, f in want} >= {None, "repeated", "unresolved"}
