@@ -29,7 +29,7 @@ def _coverage(spark, sf_dir):
     k, ev = F.col("o_orderkey"), F.concat_ws(".", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     answers = orders.select(k.alias("answer_id"), k.alias("task_id"), k.cast("string").alias("packet_hash"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_totalprice") > 100000, "gap").alias("open_gap"))
     specs = orders.select(k.alias("task_id"), k.cast("string").alias("packet_hash"), F.array(F.lit("O"), F.lit("F")).alias("allowed_statuses"), (F.col("o_orderpriority") == "1-URGENT").alias("require_open_gap"), F.lit(2).alias("min_cited_sources"))
-    held = items.select(F.col("l_orderkey").alias("k"), ev.alias("evidence_id"), "l_suppkey", (F.col("l_discount") >= 0.03).alias("used"), (F.col("l_tax") > 0.07).alias("loose")).distinct()
+    held = items.select(F.col("l_orderkey").alias("k"), ev.alias("evidence_id"), "l_suppkey", (F.col("l_discount") >= 0.03).alias("used"), (F.col("l_tax") > 0.07).alias("loose"))  # sets are made of these
     facets = held.groupBy(F.col("k").alias("task_id"), (F.col("l_suppkey") % 2).alias("facet_id")).agg(F.lit(1).alias("min_evidence"), F.array_sort(F.collect_set(F.concat("evidence_id", F.when(F.col("loose"), "x").otherwise("")))).alias("evidence_ids_any"))
     packet = held.filter("NOT loose").select(F.col("k").cast("string").alias("packet_hash"), "evidence_id")
     used = held.filter("used").select(F.col("k").alias("answer_id"), F.concat("evidence_id", F.when(F.col("loose"), "x").otherwise("")).alias("evidence_id"))

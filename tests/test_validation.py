@@ -70,3 +70,18 @@ def test_an_open_atlas_is_refused(spark):
     assert atlas.closed(whole) is whole
     with pytest.raises(ValueError, match="not closed"):
         atlas.closed(whole | {"sources": spark.createDataFrame([("other",)], "id string")})
+
+
+def test_coverage_deals_no_row_by_evidence(spark):
+    """A row for each piece of evidence, dealt by its id, is what grew; nulls and repeats in a facet's list count for nothing."""
+    answers = spark.createDataFrame([(1, 1, "p", "O", None), (2, 9, "p", "O", None)], "answer_id int, task_id int, packet_hash string, status string, open_gap string")
+    specs = spark.createDataFrame([(1, "p", ["O"], False, 1)], "task_id int, packet_hash string, allowed_statuses array<string>, require_open_gap boolean, min_cited_sources int")
+    facets = spark.createDataFrame([(1, 1, 1, ["a", "a", None]), (1, 2, 2, ["a", "b", "b"]), (1, 3, 1, ["x"]), (1, 4, 0, [])], "task_id int, facet_id int, min_evidence int, evidence_ids_any array<string>")
+    packet = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "x")], "packet_hash string, evidence_id string")
+    used = spark.createDataFrame([(1, "a"), (1, "a"), (1, "x"), (2, "b")], "answer_id int, evidence_id string")
+    cited = spark.createDataFrame([(1, 7), (1, 7), (1, None)], "answer_id int, source_id int")
+    out = validation.answer_coverage(answers, specs, facets, packet, used, cited)
+    found = {r.answer_id: (r.covered, r.required, r.cited_sources, r.violations) for r in out.collect()}
+    assert found == {1: (2, 4, 1, ["facet_missing:2", "facet_missing:3", "facet_outside_packet:3"]), 2: (0, 0, 0, ["no_spec"])}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "evidence_id" in line.split("hashpartitioning")[1]]
