@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import alias_key
 from quern.operators import packets, scope
 
+#: Fragments whose proposals a task holds at a time.
+ROWS = 256
 #: Fields of a projection theme that name atlas objects, and the kind they name.
 THEME_REFERENCES = {"question_ids": "questions", "hypothesis_ids": "hypotheses", "gap_ids": "gaps"}
 
@@ -135,19 +137,21 @@ def generated(fragments: DataFrame, generate: Callable[[str, str], list[str]]) -
     A fragment for which it fails has one row with status "failed" and the error; one without proposals has one with status "empty".
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for key, text in zip(batch["fragment_id"], batch["text"]):
-                try:
-                    made = generate(key, text if isinstance(text, str) else "")
-                except Exception as e:  # the failure of a generator is a result
-                    out.append((key, "failed", None, f"{type(e).__name__}: {e}"))
-                    continue
-                out += [(key, "made", p, None) for p in made] or [(key, "empty", None, None)]
-            yield pd.DataFrame(out, columns=["fragment_id", "status", "proposal", "error"])
-
-    return fragments.select(F.col("fragment_id").cast("string").alias("fragment_id"), "text").mapInPandas(run, "fragment_id string, status string, proposal string, error string")
+            for start in range(0, batch.num_rows, ROWS):
+                keys, texts = (c.slice(start, ROWS) for c in batch.columns)
+                out: list[tuple] = []
+                for key, text in zip(keys, texts, strict=True):  # one text at a time becomes an object
+                    try:
+                        made = generate(key.as_py(), text.as_py() or "")
+                    except Exception as e:  # the failure of a generator is a result
+                        out.append((key.as_py(), "failed", None, f"{type(e).__name__}: {e}"))
+                        continue
+                    out += [(key.as_py(), "made", p, None) for p in made] or [(key.as_py(), "empty", None, None)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["fragment_id", "status", "proposal", "error"])
+
+    return fragments.select(F.col("fragment_id").cast("string").alias("fragment_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "fragment_id string, status string, proposal string, error string")
 
 
 def receipts(rows: DataFrame, subject: str) -> DataFrame:

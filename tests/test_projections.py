@@ -86,3 +86,12 @@ def test_receipts_show_changes(spark):
     assert projections.receipt_faults(made).isEmpty()
     changed = made.withColumn("body", F.when(F.col("subject") == "1", "{}").otherwise(F.col("body")))
     assert [r.subject for r in projections.receipt_faults(changed).collect()] == ["1"]
+
+
+def test_a_generator_sees_one_text_at_a_time(spark):
+    """No pandas frame holds a batch of texts: plans have an Arrow map, and texts beyond a piece come in order."""
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else "w " * (k % 3)) for k in range(700)], "fragment_id int, text string").coalesce(1)
+    out = projections.generated(rows, lambda key, text: text.split())
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    found = [(r.fragment_id, r.status) for r in out.collect()]
+    assert found == [(str(k), s) for k in range(700) for s in (["made"] * (k % 3) if k % 5 and k % 3 else ["empty"])]
