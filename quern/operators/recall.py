@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -25,12 +26,27 @@ class RecallBackend(Protocol):
 
 @dataclass
 class Bm25:
-    """The library's own search: statistics of the permitted fragments, the first `most` of each question."""
+    """The library's own search: statistics of the permitted fragments, the first `most` of each question.
+
+    With a `folder`, a path that all executors reach, the fragments of a scope are cut once for all batches. Fragments with the
+    same plan are the same, as in Spark's own cache: other files need another backend.
+    """
 
     most: int = 10
+    folder: str | None = None
+    held: list[tuple[DataFrame, retrieval.Index]] = field(default_factory=list, repr=False, compare=False)
 
     def search(self, fragments: DataFrame, questions: DataFrame) -> DataFrame:
-        return retrieval.Index(fragments, "fragment_id").search(questions, self.most).select("query_id", "rank", "id", "score")
+        return self.index(fragments).search(questions, self.most).select("query_id", "rank", "id", "score")
+
+    def index(self, fragments: DataFrame) -> retrieval.Index:
+        if self.folder is None:
+            return retrieval.Index(fragments, "fragment_id")
+        for rows, index in self.held:
+            if rows.sameSemantics(fragments):
+                return index
+        self.held.append((fragments, retrieval.Index(fragments, "fragment_id").cut(f"{self.folder}/{uuid.uuid4().hex}")))
+        return self.held[-1][1]
 
 
 def request_faults(requests: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def stored_recall(spark, sf_dir):
     compiled = scope.compile_access(members, spark.sql("SELECT 'all' AS collection_id, 'allow' AS effect"), spark.sql("SELECT 'de' AS source_id, 'deny' AS effect"), ["all"]).checkpoint()
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     store = Versions(spark, scratch(spark, "recalls"))
-    recall.recall_batch(store, docs, compiled, asked.filter("query_id % 2 = 0"), recall.Bm25())
-    version = recall.recall_batch(store, docs, compiled, asked, recall.Bm25())
+    backend = recall.Bm25(folder=scratch(spark, "cut"))
+    recall.recall_batch(store, docs, compiled, asked.filter("query_id % 2 = 0"), backend)
+    version = recall.recall_batch(store, docs, compiled, asked, backend)
     requests, held, receipts = (store.table(name, version) for name in ("requests", "packets", "receipts"))
     return requests.select("request_id", "query_id").join(held, "request_id").join(receipts, "request_id").select("query_id", "items", "packet_hash", "read", "policy_omission_present")

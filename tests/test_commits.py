@@ -95,3 +95,20 @@ def test_a_batch_is_stored_whole_or_not_at_all(spark, tmp_path):
     with store.begin() as change:
         change.replace("items", change.read("items").withColumn("score", F.when(F.col("query_id") == 3, 0.5).otherwise(F.col("score"))))
     assert [r.state for r in recall.replayed(store).collect()] == ["changed"] and recall.replayed(store, 2).count() == 0
+
+
+def test_batches_over_one_scope_cut_its_texts_once(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"alpha word{k % 5} {'beta ' * (k % 3)}") for k in range(40)], "fragment_id int, text string")
+    members = docs.select("fragment_id", F.lit("s").alias("source_id"), F.lit("all").alias("collection_id"), F.lit("active").alias("state"))
+    compiled = scope.compile_access(members, spark.sql("SELECT 'all' AS collection_id, 'allow' AS effect"), spark.sql("SELECT 'x' AS source_id, 'deny' AS effect"), ["all"]).checkpoint()
+    ask = lambda *n: spark.createDataFrame([(k, f"word{k} beta") for k in n], "query_id int, question string")
+    found = {}
+    for name, backend in (("plain", recall.Bm25()), ("kept", recall.Bm25(folder=str(tmp_path / "cut")))):
+        store = Versions(spark, str(tmp_path / name))
+        for batch in ((0, 2), (0, 1, 2, 3)):
+            recall.recall_batch(store, docs, compiled, ask(*batch), backend)
+        found[name] = sorted(map(tuple, store.table("packets").collect()))
+    assert found["plain"] == found["kept"] and len(found["kept"]) == 4
+    assert len(list((tmp_path / "cut").iterdir())) == 1
+    other = recall.Bm25(folder=str(tmp_path / "other"))
+    assert other.index(docs) is other.index(docs) and other.index(docs) is not other.index(docs.filter("fragment_id > 3"))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -63,6 +64,29 @@ def test_a_saved_index_is_written_where_its_texts_are(spark, tmp_path, monkeypat
     assert sorted(tuple(r) for r in saved.postings.collect()) == sorted(want)
 
 
+def test_many_questions_are_scored_where_the_texts_are(spark, tmp_path, monkeypatch):
+    docs = [(f"d{k:03}", None if k == 7 else " ".join(f"w{(k * j * j) % 83}" for j in range(k % 40))) for k in range(120)] + [(f"copy{k:02}", "w1 w4 w9 w1") for k in range(30)] + [(None, "w1 w5")]
+    docs = spark.createDataFrame(docs, "fragment_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(k, " ".join(f"w{(k + j) % 90}" for j in range(k + 1))) for k in range(80)] + [(100, "nowhere"), (101, None), (None, "w1")], "query_id int, question string")
+    saved = retrieval.Index(docs).saved(str(tmp_path / "index")).search(asked).collect()
+    cut = retrieval.Index(docs).cut(str(tmp_path / "cut"))
+    for cells in (4_000_000, 300, 1):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        for index in (retrieval.Index(docs), cut):
+            found = index.search(asked)
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, saved))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # no row for a pair of text and question is shuffled
+    none = retrieval.Index(docs.limit(0)).search(asked)
+    assert none.columns == found.columns and none.count() == 0
+
+
+def test_ties_are_cut_as_sql_rounds_them():
+    raw = np.array([-1.0000000004, -1.0000000006, -1.0, -2.0, 0.0, -1.0000000001])
+    assert retrieval._first(raw, np.array([5, 4, 3, 2, 1, 0]), 3).tolist() == [3, 1, 5]
+    assert sorted(retrieval._first(raw, np.arange(6), 9)) == [0, 1, 2, 3, 5]
+
+
 def test_texts_that_hold_a_question(spark):
     docs = spark.createDataFrame([(1, "so one two three four five six"), (2, "someone two three four fives"), (3, "tiny"), (4, None)], "doc_id int, text string")
     asked = spark.createDataFrame([("a", "one two three four five"), ("b", "tiny"), ("c", None), ("d", "one two three four six")], "query_id string, question string")
