@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import admission, chains, gates, graph, imports, packets, scope
+from quern.operators import admission, chains, gates, graph, imports, packets, routing, scope
 from quern.plans import registry
 
 
@@ -314,3 +314,24 @@ def test_imports_equal_a_walk_of_each_object(spark, monkeypatch):
         found = imports.resolved(frame, ["i"]).collect()
         assert Counter((r.i, r.key, r.level, r.fault) for r in found) == want and all((r.id is None) == (r.level is None) for r in found)
     assert {f for *_, f in want} >= {None, "repeated", "unresolved"}
+
+
+def test_routes_keep_only_the_first_of_each_kind(spark, monkeypatch):
+    limits = {"question": 2, "hypothesis": 3, "timeline": 1, "gap": 2}
+    terms = lambda k: [(f"w{(k * j) % 17}", 1 + j % 3) for j in range(k % 9)]
+    objects = [(routing.KINDS[k % 4], f"o{k:03}", k, terms(k)) for k in range(150)] + [("gap", "none", 1, None), ("other", "o", 2, [("w1", 5)])]
+    objects = spark.createDataFrame(objects, "kind string, id string, place long, terms array<struct<term:string,weight:int>>").repartition(3)
+    asked = spark.createDataFrame([(q, [f"w{(q + j) % 20}" for j in range(q % 7)]) for q in range(30)] + [(99, None), (98, ["w1", "w1"])], "query_id long, terms array<string>")
+    every = [tuple(r) for r in routing.ranked(asked, objects).select("query_id", "kind", "id", "place", "score").collect()]
+    want = [r for k, n in limits.items() for q in {r[0] for r in every} for r in sorted((r for r in every if r[:2] == (q, k)), key=lambda r: (-r[4], r[2]))[:n]]
+    for cells in (1_000_000, 40):
+        monkeypatch.setattr(routing, "CELLS", cells)
+        found = routing.best(asked, objects, limits)
+        assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) < len(every)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair of question and object is a row
+    monkeypatch.setattr(routing, "BROADCAST_TERMS", 3)
+    assert sorted(map(tuple, routing.best(asked, objects, limits).select(found.columns).collect())) == sorted(want)
+    pairs = spark.createDataFrame([(q, k, i) for q, k, i, _, _ in every[::5]] + [(0, "gap", "o000"), (1, "gap", None)], "query_id long, kind string, id string")
+    for listed in (10_000, 2):
+        monkeypatch.setattr(routing, "LISTED_IDS", listed)
+        assert sorted(map(tuple, routing.scored(pairs, asked, objects).collect())) == sorted((q, k, i, s) for q, k, i, _, s in every[::5])
