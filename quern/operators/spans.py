@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Places of a bin; a span of a union is joined once for each bin that it touches.
 BIN = 1024
+#: Spans that a task sorts, about.
+SORT_ROWS = 500_000
 #: Terms that may be sent to the tasks that look for them.
 MOST_TERMS = 100_000
 
@@ -33,18 +35,27 @@ def coverage_faults(spans: DataFrame, texts: DataFrame, by: str) -> DataFrame:
     length 0 needs none. Inverted and unknown spans cover nothing.
     """
     length = texts.select(F.col(by).alias("_by"), F.col("length").cast("long").alias("length"))
-    rows = spans.select(by, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).join(length, F.col(by) == F.col("_by"), "left")
+    rows = spans.select(by, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    # a task's sort holds SORT_ROWS spans or so, whatever their number; one sort serves the join and the window
+    tasks = max(-(-rows.count() // SORT_ROWS), 1)
+    if tasks > int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        length, spread = length.repartition(tasks, "_by"), rows.repartition(tasks, by)
+    else:
+        spread = rows.repartition(by)
+    dealt = spread.sortWithinPartitions(by, "lo", "hi").join(length, F.col(by) == F.col("_by"), "left")
     bad = F.when(F.col("_by").isNull(), "unknown").when(~F.coalesce(F.col("hi") > F.col("lo"), F.lit(False)), "inverted").when((F.col("lo") < 0) | (F.col("hi") > F.col("length")), "outside")
-    rows = rows.withColumn("fault", bad)
-    good = rows.filter("fault IS NULL OR fault = 'outside'")
-    order = Window.partitionBy(by).orderBy("lo", "hi")
-    ended = good.withColumn("_end", F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gaps = ended.filter("lo > _end").select(by, F.col("_end").alias("lo"), F.col("lo").alias("hi"), F.lit("gap").alias("fault"))
-    overlaps = ended.filter("lo < _end AND lo >= 0").select(by, "lo", F.least("hi", "_end").alias("hi"), F.lit("overlap").alias("fault"))
-    last = good.groupBy(by).agg(F.max("hi").alias("_last")).select(F.col(by).alias("_own"), "_last")
+    dealt = dealt.withColumn("fault", bad)
+    good = F.col("fault").isNull() | (F.col("fault") == "outside")
+    before = Window.partitionBy(by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    ended = dealt.withColumn("_end", F.coalesce(F.max(F.when(good, F.col("hi"))).over(before), F.lit(0)))
+    lo, hi, end = F.col("lo"), F.col("hi"), F.col("_end")
+    piece = lambda when, lo, hi, fault: F.when(when, F.struct(lo.alias("lo"), hi.alias("hi"), fault.alias("fault")))
+    own = [piece(F.col("fault").isNotNull(), lo, hi, F.col("fault")), piece(good & (lo > end), end, lo, F.lit("gap")), piece(good & (lo < end) & (lo >= 0), lo, F.least(hi, end), F.lit("overlap"))]
+    found = ended.select(by, F.explode(F.array_compact(F.array(*own))).alias("_f")).select(by, "_f.*")
+    last = spread.groupBy(by).agg(F.max(F.when(hi > lo, hi)).alias("_last")).select(F.col(by).alias("_own"), "_last")
     tails = length.filter("length > 0").join(last, F.col("_by") == F.col("_own"), "left")
     tails = tails.filter("_last IS NULL OR _last < length").select(F.col("_by").alias(by), F.coalesce("_last", F.lit(0)).alias("lo"), F.col("length").alias("hi"), F.when(F.col("_last").isNull(), "uncovered").otherwise("gap").alias("fault"))
-    return rows.filter("fault IS NOT NULL").select(by, "lo", "hi", "fault").unionByName(gaps).unionByName(overlaps).unionByName(tails)
+    return found.unionByName(tails)
 
 
 def outside(points: DataFrame, spans: DataFrame, by: str, at: str = "at") -> DataFrame:

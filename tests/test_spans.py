@@ -17,6 +17,30 @@ def test_union_and_faults(spark):
     assert spans.coverage_faults(rows.limit(0), texts.limit(0), "k").count() == 0
 
 
+def test_spans_are_sorted_once_by_bounded_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    own = [(rng.randrange(60), rng.choice([None, rng.randrange(-3, 30)]), rng.randrange(0, 40)) for _ in range(700)] + [(None, 1, 2), (70, 5, 5)]
+    held = [(k, rng.choice([0, 9, 30])) for k in range(70)] + [(70, 4), (None, 3)]
+    rows, texts = spark.createDataFrame(own, "k int, lo int, hi int"), spark.createDataFrame(held, "k int, length int")
+    want = []
+    for key, n in held:
+        mine = sorted((a, b) for k, a, b in own if k is not None and k == key and a is not None and b > a)
+        end = 0
+        for a, b in mine:
+            want += [(key, a, b, "outside")] * (a < 0 or b > n) + [(key, end, a, "gap")] * (a > end) + [(key, a, min(b, end), "overlap")] * (0 <= a < end)
+            end = max(end, b)
+        want += [(key, end if mine else 0, n, "gap" if mine else "uncovered")] * (n > 0 and (not mine or end < n))
+    known = {k for k, _ in held if k is not None}
+    want += [(k, a, b, "inverted" if k in known else "unknown") for k, a, b in own if k not in known or a is None or b <= a]
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    for most in (1_000_000, 20):
+        monkeypatch.setattr(spans, "SORT_ROWS", most)
+        found = spans.coverage_faults(rows, texts, "k")
+        assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window ") == 1 and f", {-(-len(own) // 20)})" in found._jdf.queryExecution().executedPlan().toString()  # one window, 20 spans a task
+
+
 def test_points_outside_equal_brute_force(spark):
     rng = random.Random(2)
     own = [(k, lo := rng.randrange(5000), lo + rng.choice([0, 1, 30, 4000])) for k in range(6) for _ in range(12)]
