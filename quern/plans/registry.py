@@ -54,12 +54,14 @@ TOK = r"regexp_extract_all(translate(lower(coalesce({}, '')), 'äçèéêíñó
 LINES = r"(SELECT doc_id, lang, source, CAST(i - 1 AS INTEGER) AS ordinal, ls[i] AS text FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(ls[i]) <> '')"
 
 
-def bm25_sql(rows: str, key: str, questions: str, most: int) -> str:
-    """BM25 in plain SQL: `rows` has (id, text), `questions` has (query_id, question)."""
+def bm25_sql(rows: str, key: str, questions: str, most: int, terms: int | None = retrieval.MOST_TERMS) -> str:
+    """BM25 in plain SQL: `rows` has (id, text), `questions` has (query_id, question), asked by `terms` terms at most or by all."""
+    own = f"list_distinct({TOK.format('question')})"
+    asked = own if terms is None else f"list_slice({own}, 1, {terms})"
     return f"""
 WITH f AS ({rows}), p AS (SELECT id, {TOK.format("text")} AS ts FROM f), l AS (SELECT id, len(ts) AS dl FROM p),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
-q AS (SELECT DISTINCT query_id, unnest(list_slice(list_distinct({TOK.format("question")}), 1, 64)) AS term FROM ({questions})),
+q AS (SELECT DISTINCT query_id, unnest({asked}) AS term FROM ({questions})),
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM p) x GROUP BY id, term),
 m AS (SELECT tf.* FROM tf SEMI JOIN q USING (term)), d AS (SELECT term, count(*) AS df FROM m GROUP BY term),
 w AS (SELECT m.id, m.term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w
@@ -98,10 +100,15 @@ def scoped_bm25_top10(spark, sf_dir):
     return _session(spark, _scoped(spark, sf_dir), "doc_id").search(asked, 10).select("rank", F.col("id").alias("doc_id"), "score", "candidates")
 
 
-@query(bm25_sql("SELECT doc_id AS id, text FROM documents", "doc_id", "SELECT item_id AS query_id, text AS question FROM benchmark", 10))
-def bm25_batch(spark, sf_dir):
+def _batch(spark: SparkSession, sf_dir: str, terms: int | None) -> DataFrame:
+    """The first ten documents of each item, asked by `terms` terms at most or by all."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return _session(spark, table(spark, sf_dir, "documents"), "doc_id").search(asked, 10).withColumnRenamed("id", "doc_id")
+    return _session(spark, table(spark, sf_dir, "documents"), "doc_id").search(asked, 10, terms).withColumnRenamed("id", "doc_id")
+
+
+@query(bm25_sql("SELECT doc_id AS id, text FROM documents", "doc_id", "SELECT item_id AS query_id, text AS question FROM benchmark", 10, None))
+def bm25_batch(spark, sf_dir):
+    return _batch(spark, sf_dir, None)
 
 
 @query(bm25_sql(f"SELECT doc_id || '#' || ordinal AS id, text FROM {LINES} x", "fragment_id", f"SELECT 1 AS query_id, '{QUESTION}' AS question", 25))
@@ -133,7 +140,7 @@ SELECT count(DISTINCT e.query_id) AS questions, count(DISTINCT h.query_id) AS fo
 def recall_at_k(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     expected = retrieval.holding(docs, "doc_id", items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")))
-    return retrieval.recall_at(bm25_batch(spark, sf_dir).withColumnRenamed("doc_id", "id"), expected, 10).select("questions", F.coalesce("found", F.lit(0)).alias("found"))
+    return retrieval.recall_at(_batch(spark, sf_dir, retrieval.MOST_TERMS).withColumnRenamed("doc_id", "id"), expected, 10).select("questions", F.coalesce("found", F.lit(0)).alias("found"))
 
 
 @query(f"""WITH hits AS ({bm25_sql("SELECT doc_id AS id, text FROM documents", "doc_id", "SELECT item_id AS query_id, text AS question FROM benchmark", 10)}),
@@ -144,7 +151,7 @@ def recall_by_language(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     expected = retrieval.holding(docs, "doc_id", items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")))
     expected = expected.join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
-    found = bm25_batch(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    found = _batch(spark, sf_dir, retrieval.MOST_TERMS).withColumnRenamed("doc_id", "id")
     met = expected.join(found.select("query_id", "id", F.lit(1).alias("h")), ["query_id", "id"], "left").groupBy("query_id", "lang").agg(F.max(F.coalesce("h", F.lit(0))).alias("hit"))
     return met.groupBy("lang").agg(F.count(F.lit(1)).alias("questions"), F.sum("hit").alias("found"))
 

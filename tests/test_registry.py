@@ -58,3 +58,15 @@ def test_query_equals_its_sql(spark, tables, name):
         want = [{c: plain(v) for c, v in zip(columns, r, strict=True)} for r in found.fetchall()]
         key = lambda r: repr(sorted(r.items()))
         assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_bm25_batch_asks_with_every_term_of_an_item(spark, tmp_path):
+    """A text that holds only the seventieth term of an item is among its candidates, in SQL as well."""
+    docs = [(1, "w69 alone"), (2, "nothing of it"), (3, "w0 w1"), (4, "other words")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(70)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted(tuple(r) for r in registry.QUERIES["bm25_batch"](spark, str(tmp_path)).select("query_id", "rank", "doc_id", "score", "candidates").collect())
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert [(r[2], r[4]) for r in found] == [(3, 2), (1, 2)] and found == sorted(con.sql(registry.ORACLES["bm25_batch"]).fetchall())
